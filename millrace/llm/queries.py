@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import decontaminate, mixing, simhash
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op6_simhash_groups": simhash.op6_simhash_groups,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op9_decontaminate": decontaminate.OP9_SQL,
 }
