@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, simhash
+from . import decontaminate, mixing, quality, simhash, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
+    "op2_quality_rules": quality.op2_quality_rules,
+    "op4_token_counts": tokens.op4_token_counts,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
+    "op2_quality_rules": quality.OP2_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
