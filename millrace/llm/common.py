@@ -181,3 +181,8 @@ def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
 def n_words(column: str = "text"):
     """Native count of the words of a text column; null counts none."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def bound(value, body):
+    """body(value) as a native expression in which value is computed once."""
+    return F.transform(F.array(value), body)[0]

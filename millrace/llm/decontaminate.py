@@ -155,6 +155,14 @@ def contaminated():
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that are not contaminated; texts are judged once for all rows that hold them."""
+    key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = find_benchmark(docs.select(key.alias("doc_id"), "text"), benchmark)
+    leave = found.where(contaminated()).select(F.col("doc_id").alias("__key")).distinct()
+    return docs.withColumn("__tkey", key).join(leave, F.col("__tkey") == F.col("__key"), "left_anti").drop("__tkey")
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), contaminated().alias("contaminated"))

@@ -72,13 +72,13 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
     return ranked.withColumn("target", target).select("source", "source_size", "rank", "target")
 
 
-def assign_positions(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: float = 1.0, most: float = 3.0, bucket_digits: int = 3) -> DataFrame:
+def assign_positions(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: float = 1.0, most: float = 3.0, bucket_digits: int = 3, carry: Sequence[Column] = ()) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken, positions (one for each copy begun).
 
     The order of a source's documents is that of the MD5 of doc_id.  Running sums go by buckets of that hash
-    (16 ** bucket_digits for each source), so the largest source is spread as widely as any.
+    (16 ** bucket_digits for each source), so the largest source is spread as widely as any.  `carry`: more columns.
     """
-    sized = docs.select("doc_id", "source", n_words().alias("size")).withColumn("dice", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    sized = docs.select("doc_id", "source", n_words().alias("size"), *carry).withColumn("dice", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = sized.withColumn("bucket", F.substring("dice", 1, bucket_digits))
     cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,7 +100,8 @@ def assign_positions(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULU
             mine = F.col("rank") % len(curriculum) == j
             when = F.when(mine, _inverse(schedule, u)) if when is None else when.when(mine, _inverse(schedule, u))
         at.append(F.when(take > 0, when))
-    return placed.select("doc_id", "source", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), F.array_compact(F.array(*at)).alias("positions"))
+    carried = [c for c in placed.columns if c.startswith("__")]
+    return placed.select("doc_id", "source", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), F.array_compact(F.array(*at)).alias("positions"), *carried)
 
 
 def in_training_order(assigned: DataFrame) -> DataFrame:
@@ -111,6 +112,13 @@ def in_training_order(assigned: DataFrame) -> DataFrame:
     return ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
+def mixed(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM) -> DataFrame:
+    """The documents that the mix takes, in training order, with size, taken and position."""
+    own = [c for c in docs.columns if c not in ("size", "taken", "position")]
+    assigned = assign_positions(docs, curriculum, carry=[F.struct(*[f"`{c}`" for c in own]).alias("__row")])
+    return in_training_order(assigned.where("taken > 0")).select("__row.*", "size", "taken", "position")
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = assign_positions(table(spark, sf_dir, "documents"))
     return in_training_order(assigned).select("doc_id", "size", "source_size", "target", "taken", "position")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, stored, table
+from .common import bound as _bound
 
 #: Characters that count as symbols, and white space of the contract.
 SYMBOLS = "#*$%&|<>"
@@ -25,11 +26,6 @@ BLANKS = " \t\n\x0b\x0c\r"
 WINDOW = 5
 
 
-def _bound(value: Column, body) -> Column:
-    """body(value), with value computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _repeated(words: Column) -> Column:
     """Words inside windows of WINDOW words whose sequence stands twice or more in the text."""
     hashes = F.transform(words, lambda w: F.xxhash64(w))

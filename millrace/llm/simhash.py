@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import mix64, stored, table
@@ -53,17 +53,21 @@ def fingerprint(text: bytes, shingle: int) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("tkey")
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp, tkey): the fingerprint as a signed long, and the 64-bit hash that names the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             fps = np.array([fingerprint(x.as_py() or b"", shingle) for x in texts], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64)), batch.column(2)], ["doc_id", "fp", "tkey"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", F.col("text").cast("string"), text_key()).mapInArrow(run, f"doc_id {kind}, fp long, tkey long")
 
 
 def embedding(fps: np.ndarray) -> np.ndarray:
@@ -161,13 +165,25 @@ def near_links(prints: DataFrame, bits: int = 4, cell_limit: int = 8192) -> Data
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) for every row of docs; component_id is the least doc_id reachable through links."""
+    """(doc_id, tkey, fp, root, component_id) for every row of docs; component_id is the least doc_id reachable."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(classes.select("fp"), bits))
     named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root"), "fp", "left").join(names, "root", "left").select("doc_id", "fp", "component_id")
+    return prints.join(named.select("fp", "root"), "fp", "left").join(names, "root", "left").select("doc_id", "tkey", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
+    """docs with one row of each near-duplicate group: that of the least doc_id (then text hash), once."""
+    groups = near_groups(docs, shingle, bits)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tkey"))
+    stay = groups.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tkey").alias("__key"))
+    keyed = docs.withColumn("__tkey", text_key())
+    kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key")), "left_semi")
+    # rows that repeat both doc_id and text are one document
+    first = F.row_number().over(Window.partitionBy("doc_id", "__tkey").orderBy(F.lit(1)))
+    return kept.withColumn("__n", first).where("__n = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
