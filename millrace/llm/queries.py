@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, pii, quality, simhash, tokens
+from . import decontaminate, html_text, mixing, pii, quality, simhash, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
     "op4_token_counts": tokens.op4_token_counts,
+    "op5_main_text": html_text.op5_main_text,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op7_private_spans": pii.op7_private_spans,
     "op9_decontaminate": decontaminate.op9_decontaminate,
