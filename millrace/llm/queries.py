@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, mixing, pii, quality, simhash, tokens
+from . import decontaminate, html_text, mixing, pii, quality, simhash, substring_dedup, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
     "op2_quality_rules": quality.op2_quality_rules,
+    "op3_substring_dedup": substring_dedup.op3_substring_dedup,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_main_text": html_text.op5_main_text,
     "op6_simhash_groups": simhash.op6_simhash_groups,
@@ -16,5 +17,6 @@ QUERIES = {
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
+    "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }
