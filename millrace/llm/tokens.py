@@ -31,13 +31,14 @@ from .common import table
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Segments that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 
 # The contractions of the public split pattern.
 CONTRACTION = "'(?:s|t|re|ve|m|ll|d)"
 UNIT = r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+"
 #: White space and the unit after it, or the white space at the end.
 SEGMENT = regex.compile(rf"(?:\s*[^\S ])?{CONTRACTION}|\s*(?:{UNIT})|\s+")
+_MARKS = frozenset(".,;:!?")
 _BLANK = regex.compile(r"\s*")
 #: White space (the Unicode property) and what follows up to the next: whole segments, found by the faster library.
 _SPACES = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -59,15 +60,15 @@ class PrefixCounter:
             spec = json.load(f)
         letters = _byte_letters()
         raw = lambda s: bytes(letters[c] for c in s)
-        self.tokens = {raw(t) for t in spec["model"]["vocab"] if all(c in letters for c in t)}
+        self.tokens = {raw(t): i for t, i in spec["model"]["vocab"].items() if all(c in letters for c in t)}
+        self.names = {i: t for t, i in self.tokens.items()} | {-1: b""}
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.longest = max(map(len, self.tokens))
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.follows: dict[tuple[bytes, bytes], bool] = {}
+        self.follows: dict[int, bool] = {}
 
     def merged(self, piece: bytes) -> list[bytes]:
         """The encoding of a few bytes, merge by merge."""
@@ -79,22 +80,23 @@ class PrefixCounter:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _may_follow(self, a: bytes, b: bytes) -> bool:
-        if len(self.follows) > 4 * REMEMBERED:
+    def _may_follow(self, before: int, token: int) -> bool:
+        if len(self.follows) > REMEMBERED:
             self.follows.clear()
+        a, b = self.names[before], self.names[token]
         # two tokens that merge are never neighbours in an encoding
-        ok = self.follows[a, b] = (a, b) not in self.rank and self.merged(a + b) == ([a, b] if a else [b])
+        ok = self.follows[before << 32 | token] = (a, b) not in self.rank and self.merged(a + b) == ([a, b] if a else [b])
         return ok
 
     def piece(self, data: bytes) -> list[int]:
         """The number of tokens of each byte prefix of a piece (from the empty one on)."""
-        counts, last, follows, tokens, longest = [0], [b""], self.follows, self.tokens, self.longest
+        counts, last, follows, tokens, longest = [0], [-1], self.follows, self.tokens.get, self.longest
         for i in range(1, len(data) + 1):
-            for s in range(max(0, i - longest), i):
-                token = data[s:i]
-                if token in tokens:
+            for s in range(i - longest if i > longest else 0, i):
+                token = tokens(data[s:i])
+                if token is not None:
                     before = last[s]
-                    ok = follows.get((before, token))
+                    ok = follows.get(before << 32 | token)
                     if ok or ok is None and self._may_follow(before, token):
                         break
             counts.append(counts[s] + 1)
@@ -128,7 +130,9 @@ class PrefixCounter:
             else:
                 tail = self._piece(rest)[2 if glued else 1 :]
             counts = [*run, *(base + c for c in tail)]
-        change = bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)])
+        return self._remember(text, bytes([(b - a) & 255 for a, b in zip(counts, counts[1:], strict=False)]))
+
+    def _remember(self, text: str, change: bytes) -> bytes:
         if len(text) <= 64:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
@@ -136,16 +140,16 @@ class PrefixCounter:
         return change
 
     def _chunk(self, text: str) -> bytes:
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():  # letters alone are one segment
+            return self.segment(text)
         known, make = self.known.get, self.segment
-        change = b"".join([known(s) or make(s) for s in SEGMENT.findall(text)])
-        if len(text) <= 64:
-            if len(self.chunks) >= REMEMBERED:
-                self.chunks.clear()
-            self.chunks[text] = change
-        return change
+        if word[-1:] in _MARKS and word[:-1].isalpha():
+            return self._remember(text, (known(text[:-1]) or make(text[:-1])) + (known(word[-1]) or make(word[-1])))
+        return self._remember(text, b"".join([known(s) or make(s) for s in SEGMENT.findall(text)]))
 
     def _plain(self, text: str) -> bytes:
-        known, make = self.chunks.get, self._chunk
+        known, make = self.known.get, self._chunk
         return b"".join([known(s) or make(s) for s in _CHUNK.findall(text)])
 
     def changes(self, text: str) -> bytes:
