@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_model, mixing, pii, quality, simhash, substring_dedup, tokens
+from . import decontaminate, html_text, language_model, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, tokens
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_main_text": html_text.op5_main_text,
     "op6_simhash_groups": simhash.op6_simhash_groups,
     "op7_private_spans": pii.op7_private_spans,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_language_model": language_model.op10_language_model,
 }
