@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .functions import engine, ids, outcomes
 from .operators import records, resume, telemetry
+from .plans.calls import Policy, call_rows
+from .streaming import control
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -548,3 +550,36 @@ SELECT lane, max(1706745600000000 - at_us) // 1000000 AS oldest_s FROM o WHERE d
 def oldest_inflight(spark, sf_dir):
     done = F.lead("at").over(Window.partitionBy("lane").orderBy("event_id"))
     return attempts(spark, sf_dir).withColumn("done", done).where("done is null").groupBy("lane").agg(F.floor(F.max(F.lit(1706745600000000) - F.col("at")) / 1000000).cast("long").alias("oldest_s"))
+
+
+# ---- runs with state: rows only --------------------------------------------------------------------------------
+
+
+@query(None)
+def controller_replay(spark, sf_dir):
+    h = hours(spark, sf_dir)
+    lanes = h.select(F.floor(F.col("t") / 120).alias("lane"), "t", "ok", "bp", (F.col("ok") + F.col("bp") + 50).alias("inflight"), (F.col("tokens") % 20).alias("waiting"), F.lit(None).cast("double").alias("latency_s"), F.lit(False).alias("input_bound"))
+    return control.replay(lanes)
+
+
+@query("""SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 11 = 3 THEN 'http 400: refused' WHEN doc_id % 11 = 4 THEN 'client: ValueError: no reply' END AS error,
+  CASE WHEN doc_id % 11 NOT IN (3, 4) THEN length(text)::BIGINT END AS size FROM documents""")
+def pump_local_model(spark, sf_dir):
+    """The call stage with a local function in place of an endpoint."""
+    from pyspark.sql import types as T
+
+    from .plans.calls import Failed
+
+    def send(body: dict) -> dict:
+        if body["n"] % 11 == 3:
+            raise Failed("http 400: refused")
+        return {"size": len(body["text"])} if body["n"] % 11 != 4 else {}
+
+    def parse(row: dict, reply: dict) -> dict:
+        if "size" not in reply:
+            raise ValueError("no reply")
+        return {"size": reply["size"]}
+
+    rows = ids.with_id(table(spark, sf_dir, "documents").select("doc_id", "text"), id_key="doc_id")
+    out = T.StructType([T.StructField("id", T.StringType()), T.StructField("error", T.StringType()), T.StructField("size", T.LongType())])
+    return call_rows(rows, lambda row: {"n": row["doc_id"], "text": row["text"]}, send, parse, out, Policy(window=4, attempts=1))

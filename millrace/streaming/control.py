@@ -1,0 +1,143 @@
+"""Replay of a self-tuning window of calls over observed ticks, one state per lane.
+
+The state is a small dictionary; a tick's rules are asked in order and the first that applies sets the window:
+drain after a change, overload, full cache, stall, starved input, queue over its band, an open trial, an idle
+window, and else a new trial.  Trials move the window by the factors in MOVES and are kept if throughput agrees.
+"""
+
+from __future__ import annotations
+
+import random
+from dataclasses import dataclass, field
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+MOVES = (2.0, 4.0, 1.5, 1.25, 0.875)
+TICK_S, KEPT_TICKS, RELEASE_S = 2.0, 16, 300.0
+Tick = dict[str, Any]
+
+
+@dataclass
+class Controller:
+    initial: int = 64
+    lowest: int = 2
+    highest: int = 512
+    target_waiting: int = 8
+    gain: float = 1.05
+    overload: float = 0.05
+    seed: int = 0
+    limit: int = 0
+    clock: float = 0.0
+    mode: str = "steady"  # steady, trial or drain
+    until: float = 0.0
+    evidence: list[tuple[int, float]] = field(default_factory=list)
+    trial: dict[str, Any] = field(default_factory=dict)
+    move: int = 0
+    backoff: int = 1
+    waited: int = 0
+    ceiling: tuple[int, float] | None = None
+    silent: float = 0.0
+    woken: bool = False
+    reason: str = "hold"
+
+    def __post_init__(self) -> None:
+        self.limit = self.limit or min(self.highest, max(self.lowest, self.initial))
+        self.dice = random.Random(self.seed)
+
+    def _bounded(self, n: float) -> int:
+        top = self.highest if self.ceiling is None else min(self.highest, self.ceiling[0] - max(1, self.ceiling[0] // 8))
+        return int(max(self.lowest, min(top, round(n))))
+
+    def _change(self, n: float, reason: str, latency: float | None) -> None:
+        new = self._bounded(n)
+        if self.mode == "trial":
+            self.move, self.backoff = self.move + 1, min(32, 2 * self.backoff)
+        self.mode, self.evidence, self.silent, self.woken = "drain", [], 0.0, False
+        self.until = self.clock + (3 * TICK_S if latency is None else max(2 * TICK_S, latency))
+        self.reason = reason if new < self.limit or reason == "revert" else "hold:floor"
+        self.limit = min(self.limit, new) if reason != "revert" else new
+
+    def _throughput(self) -> float | None:
+        if len(self.evidence) < 2 or sum(n for n, _ in self.evidence) < self.limit:
+            return None
+        rates = [r for _, r in self.evidence[1:]]
+        return sum(rates) / len(rates)
+
+    def step(self, tick: Tick) -> int:
+        """The window after a tick: ok, bp, inflight; waiting, kv, hits, latency_s may be None; input_bound."""
+        self.clock += TICK_S
+        ok, bp, waiting, latency = tick["ok"], tick["bp"], tick.get("waiting"), tick.get("latency_s")
+        if self.ceiling and self.clock - self.ceiling[1] >= RELEASE_S:
+            self.ceiling = None
+        if self.mode == "drain":
+            if self.clock <= self.until:
+                self.reason = "hold:cooldown"
+                return self.limit
+            self.mode = "steady"
+        self.woken = self.woken or ok > 0
+        used = tick["inflight"] >= int(0.8 * self.limit)
+        self.silent = self.silent + TICK_S if ok == 0 and tick["inflight"] >= self.limit else 0.0
+        if used and not tick.get("input_bound"):
+            self.evidence = [*self.evidence, (ok, ok / TICK_S)][-KEPT_TICKS:]
+        patience = 3 * max(TICK_S, latency or 0.0)
+        if bp > 0 and bp >= self.overload * (bp + ok):
+            known = self.ceiling is not None and self.limit <= self.ceiling[0] * 9 // 8
+            self.ceiling = (min(self.limit, self.ceiling[0]) if self.ceiling else self.limit, self.clock)
+            self._change(self.limit * 7 // 8 if known else self.limit // 2, "cut:bp", latency)
+        elif (tick.get("kv") or 0.0) >= 0.9 and (tick.get("hits") is None or tick["hits"] < 0.5):
+            self._change(self.limit // 2, "cut:kv", latency)
+        elif self.woken and self.silent >= patience:
+            self._change(self.limit // 2, "cut:stall", latency)
+        elif tick.get("input_bound"):
+            self.reason = "hold:input_bound"
+        elif self.woken and waiting is not None and waiting > 2 * self.target_waiting:
+            self._change(self.limit - min(max(8, waiting - 2 * self.target_waiting), self.limit // 2), "cut:queue", latency)
+        elif self.mode == "trial":
+            self._judge(latency)
+        elif not used or (waiting is not None and waiting >= max(1, self.target_waiting // 4)):
+            self.reason = "hold"
+        else:
+            self._open(latency)
+        return self.limit
+
+    def _judge(self, latency: float | None) -> None:
+        rate, up = self._throughput(), self.limit > self.trial["from"]
+        if rate is None or len(self.evidence) < 3 and rate < self.gain * self.trial["rate"]:
+            self.reason = "hold:ack"
+        elif rate >= self.gain * self.trial["rate"] if up else rate * self.gain >= self.trial["rate"]:
+            self.mode, self.evidence, self.reason = "steady", [], "hold:kept"
+            self.move, self.backoff = (0 if up else self.move), 1
+        else:
+            self._change(self.trial["from"], "revert", latency)
+
+    def _open(self, latency: float | None) -> None:
+        rate = self._throughput()
+        if not rate or self.silent > 0:
+            self.reason = "hold:ack"
+            return
+        self.waited += 1
+        if self.waited < self.backoff + (self.dice.randint(0, 4) if self.backoff > 1 else 0):
+            self.reason, self.evidence = "hold:plateau", []
+            return
+        new, self.waited = self._bounded(self.limit * MOVES[self.move % len(MOVES)]), 0
+        if new == self.limit:
+            self.move, self.evidence, self.reason = self.move + 1, [], "hold:ceiling"
+            return
+        self.trial, self.mode, self.evidence = {"from": self.limit, "rate": rate}, "trial", []
+        self.reason = "trial:up" if new > self.limit else "trial:down"
+        self.limit = new
+
+
+def replay(ticks: DataFrame, lane: str = "lane", order: str = "t", **settings: Any) -> DataFrame:
+    """(lane, t, window, reason): what the controller of each lane decides at each of its ticks, in order."""
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        c, out = Controller(**settings), []
+        for tick in frame.sort_values(order).astype(object).where(lambda x: x.notna(), None).to_dict("records"):
+            out.append((tick[lane], tick[order], c.step(tick), c.reason))
+        return pd.DataFrame(out, columns=["lane", "t", "window", "reason"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in ticks.schema.fields}
+    return ticks.groupBy(lane).applyInPandas(one, f"lane {kinds[lane]}, t {kinds[order]}, window long, reason string")
