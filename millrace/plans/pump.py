@@ -65,7 +65,7 @@ def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[di
     output.append(call(todo), path, flush_rows)
     now = output.id_errors(spark, path)
     wanted = keyed.select("id").distinct().join(resume.existing_ids(prior, retry_errors), "id", "left_anti")
-    state = resume.id_states(now).join(wanted, "id").agg(F.count_if("done").alias("ok"), F.count_if("failed and not done").alias("bad")).first()
+    state = resume.id_states(now).join(wanted, "id").agg(F.count_if("done").alias("ok"), F.count_if(F.expr("failed and not done")).alias("bad")).first()
     stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, state["ok"], state["bad"], time.time() - began)
     if stats.rows_unaccounted:
         raise RowsLost(f"{stats.rows_unaccounted} of {stats.rows_total} rows are neither done, deduplicated, processed nor failed")
