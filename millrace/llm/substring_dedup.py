@@ -119,18 +119,19 @@ def _window_hashes(chosen: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, k: int = SEED_WORDS) -> DataFrame:
     """(row, first, n): runs of windows of `length` words whose words also start anywhere else."""
-    twice = anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor")
+    # stored, so that a join has plain shuffles on both sides and a hot anchor's rows can be split
+    twice = stored(anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
     met = stored(anchors(rows, length, k, False).join(twice, "anchor", "left_semi"), "anchors")
     one = F.min(F.struct("row", "first", "n"))
     blocks = met.groupBy("anchor", "block").agg(F.count("*").alias("copies"), one.alias("one"))
     blocks = stored(blocks, "blocks")
     whole = met.join(blocks.where("copies > 1").select("anchor", "block"), ["anchor", "block"], "left_semi").select("row", "first", "n")
-    differ = blocks.groupBy("anchor").count().where("count > 1").select("anchor")
+    differ = stored(blocks.groupBy("anchor").count().where("count > 1").select("anchor"), "differ")
     edges = blocks.join(differ, "anchor", "left_semi").select("one.*", (F.col("copies") == 1).alias("lone"))
     ranges = edges.groupBy("row").agg(F.collect_list(F.struct("first", "n", "lone")).alias("ranges"))
     windows = _window_hashes(rows.join(ranges, "row").select("row", "doc_id", "text", "ranges"), length)
     windows = stored(windows, "windows")
-    again = windows.groupBy("window").count().where("count > 1").select("window")
+    again = stored(windows.groupBy("window").count().where("count > 1").select("window"), "again")
     parts = windows.where("lone").join(again, "window", "left_semi").select("row", "first", F.lit(1).alias("n"))
     return whole.union(parts)
 
