@@ -167,11 +167,13 @@ def near_links(prints: DataFrame, bits: int = 4, cell_limit: int = 8192) -> Data
 def near_groups(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     """(doc_id, tkey, fp, root, component_id) for every row of docs; component_id is the least doc_id reachable."""
     prints = stored(fingerprints(docs, shingle), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     roots = components(near_links(classes.select("fp"), bits))
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return prints.join(named.select("fp", "root"), "fp", "left").join(names, "root", "left").select("doc_id", "tkey", "fp", "root", "component_id")
+    named = stored(classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "named")
+    # stored, so that a join has plain shuffles on both sides and a hot group's rows can be split
+    names = stored(named.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    by_print = stored(named.join(names, "root").select("fp", "root", "component_id"), "by-print")
+    return prints.join(by_print, "fp").select("doc_id", "tkey", "fp", "root", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
