@@ -171,7 +171,8 @@ def find_private(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, supp
     # one kind for each place, the surest
     best = found.groupBy("tkey", "start", "stop").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = best.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).cast(SPAN).alias("__added"))
-    joined = keyed.join(added, "__tkey", "left")
+    # stored, so that the join has plain shuffles on both sides and the rows of a text with many copies can be split
+    joined = keyed.join(stored(added, "added"), "__tkey", "left")
     fresh = F.filter(F.coalesce("__added", F.array().cast(SPAN)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
     every = F.concat(base, fresh)
     return joined.withColumn(spans, F.concat(*[F.array_sort(of_kind(every, k)) for k in KINDS])).drop("__tkey", "__added")
