@@ -552,6 +552,49 @@ def oldest_inflight(spark, sf_dir):
     return attempts(spark, sf_dir).withColumn("done", done).where("done is null").groupBy("lane").agg(F.floor(F.max(F.lit(1706745600000000) - F.col("at")) / 1000000).cast("long").alias("oldest_s"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 5 = 0 OR value = 0 THEN 30.0 ELSE least(value, 30.0) END::DOUBLE AS capped, CASE WHEN event_id % 5 <> 0 AND value <> 0 THEN value + 30.0 + 1800.0 END::DOUBLE AS total FROM events""")
+def timeouts(spark, sf_dir):
+    limit = F.when(F.col("event_id") % 5 != 0, F.col("value"))
+    return table(spark, sf_dir, "events").select("event_id", outcomes.capped_timeout(limit, 30).alias("capped"), outcomes.total_timeout(limit, F.lit(30.0), F.lit(1800.0)).alias("total"))
+
+
+@query(r"""SELECT page_id, regexp_replace(regexp_replace(replace(url, '/', '--'), '[^A-Za-z0-9._@-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages""")
+def slugs(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", outcomes.slug(F.col("url")).alias("slug"))
+
+
+@query(f"""WITH {HOURS}, v AS (SELECT t, t // 120 AS lane, CASE WHEN t % 6 < 3 THEN 0 ELSE ok END AS ok, 20 + t % 2 AS inflight, 21 AS lim FROM ticks),
+m AS (SELECT *, ok = 0 AND inflight >= lim AS silent, sum(CASE WHEN ok = 0 AND inflight >= lim THEN 0 ELSE 1 END) OVER (PARTITION BY lane ORDER BY t) AS g FROM v)
+SELECT t, sum(CASE WHEN silent THEN 2.0::DOUBLE ELSE 0.0::DOUBLE END) OVER (PARTITION BY lane, g ORDER BY t) AS silent_s FROM m""")
+def silent_seconds(spark, sf_dir):
+    t = F.col("t")
+    v = hours(spark, sf_dir).select("t", F.floor(t / 120).alias("lane"), F.when(t % 6 < 3, 0).otherwise(F.col("ok")).alias("ok"), (20 + t % 2).alias("inflight"), F.lit(21).alias("lim"))
+    return telemetry.silent_seconds(v, "t", "lane", 2.0).select("t", "silent_s")
+
+
+@query(f"""WITH {HOURS} SELECT t, ok - least(bp, ok) AS processed, bp + least(bp, ok) AS failed FROM ticks""")
+def demotion_recount(spark, sf_dir):
+    h = hours(spark, sf_dir).select("t", telemetry.recounted(F.col("ok"), F.col("bp"), F.col("bp")).alias("r"))
+    return h.select("t", "r.*")
+
+
+@query("""SELECT event_id, round_even(value, 1) AS t, round_even(value / 3, 3) AS seconds FROM events""")
+def tick_rounding(spark, sf_dir):
+    t, _, seconds = telemetry.rounded_tick(F.col("value"), F.col("value"), F.col("value") / 3)
+    return table(spark, sf_dir, "events").select("event_id", t.alias("t"), seconds.alias("seconds"))
+
+
+@query(f"""WITH {STORED} SELECT (('0x' || substr(sha1(doc_id::VARCHAR), 1, 16))::UBIGINT % 3)::BIGINT AS rank, count(*) AS left_to_do FROM documents WHERE doc_id::VARCHAR NOT IN (SELECT id FROM states) GROUP BY 1""")
+def fanout_by_rank(spark, sf_dir):
+    rows = ids.with_id(table(spark, sf_dir, "documents").select("doc_id"), id_key="doc_id")
+    each = None
+    for rank in range(3):
+        left = resume.skip_done(ids.shard_select(rows, rank, 3), stored(spark, sf_dir), "doc_id")
+        one = left.select(F.lit(rank).cast("long").alias("rank"))
+        each = one if each is None else each.union(one)
+    return each.groupBy("rank").agg(F.count("*").alias("left_to_do"))
+
+
 # ---- runs with state: rows only --------------------------------------------------------------------------------
 
 

@@ -50,3 +50,22 @@ def token_count(body: Column, path: str) -> Column:
 
 def is_json_object(body: Column) -> Column:
     return F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
+
+
+def capped_timeout(limit: Column, cap: float) -> Column:
+    """A phase's limit of at most cap seconds; null or 0 means it had none."""
+    return F.when(limit.isNull() | (limit == 0), F.lit(float(cap))).otherwise(F.least(limit, F.lit(float(cap))))
+
+
+def total_timeout(*limits: Column) -> Column:
+    """The limit of a whole request: the sum of its phases' limits, or none if a phase has none."""
+    lacks = F.lit(False)
+    for x in limits:
+        lacks = lacks | x.isNull() | (x == 0)
+    return F.when(~lacks, sum(limits[1:], limits[0]))
+
+
+def slug(text: Column) -> Column:
+    """A text as a path part: separators doubled to dashes, runs of other odd characters to one."""
+    plain = F.regexp_replace(F.replace(text, F.lit("/"), F.lit("--")), "[^A-Za-z0-9._@-]+", "-")
+    return F.regexp_replace(plain, "^-+|-+$", "")

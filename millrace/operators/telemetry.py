@@ -118,3 +118,25 @@ def advise_input(of: DataFrame) -> DataFrame:
     loop = F.least(F.lit(100), F.bround(100 * F.sum("loop_lag_s") / F.greatest(F.max("t"), F.lit(1e-9)), 0)).cast("long")
     seen = F.count("*") >= 3
     return of.agg(F.when(seen & (share("prep") >= 0.3), prep).alias("prep_ms"), F.when(seen & (share("source") >= 0.3), source).alias("source_ms"), F.when(seen & (share("loop") >= 0.3), loop).alias("loop_pct"))
+
+
+def silent_seconds(of: DataFrame, order: str, lane: str, seconds: float) -> DataFrame:
+    """ticks (ok, inflight, lim) with the seconds so far in which a full window completed nothing."""
+    w = Window.partitionBy(lane).orderBy(order)
+    silent = (F.col("ok") == 0) & (F.col("inflight") >= F.col("lim"))
+    island = F.sum(F.when(silent, 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    marked = of.withColumn("__silent", silent).withColumn("__island", island)
+    run = Window.partitionBy(lane, "__island").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    so_far = F.sum(F.when(F.col("__silent"), F.lit(float(seconds))).otherwise(0.0)).over(run)
+    return marked.withColumn("silent_s", so_far).drop("__silent", "__island")
+
+
+def rounded_tick(t: Column, tok_s: Column, *seconds: Column) -> list[Column]:
+    """A tick's numbers as they are stored: t and tok_s to one place, seconds to three, halves to even."""
+    return [F.bround(t, 1), F.bround(tok_s, 1), *[F.bround(s, 3) for s in seconds]]
+
+
+def recounted(processed: Column, failed: Column, demoted: Column) -> Column:
+    """struct(processed, failed) after rows that a flush turned into errors; at most those that were processed."""
+    moved = F.least(demoted, processed)
+    return F.struct((processed - moved).alias("processed"), (failed + moved).alias("failed"))
