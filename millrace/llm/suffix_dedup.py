@@ -24,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import BASE, BYTE_VALUE, mix64, powers, stored, string_bytes, table
 
 LENGTH = 100
-SEED_BYTES = 32
+SEED_BYTES = 24
 PIECE = 1 << 19
 #: Suffixes in a bucket of the merge, on average, at most.
 BUCKET_SUFFIXES = 100_000
 GROUP_LIMIT = 50_000
+#: Bits of a span's counts.
+_BITS = 12
 _BACK = np.uint64(pow(int(BASE), -1, 2**64))
 _UP, _DOWN = powers(BASE, PIECE + 4096), powers(_BACK, PIECE + 4096)
 
@@ -87,7 +89,12 @@ def _owners(piece: Piece, starts: np.ndarray, n: int, length: int, k: int) -> np
 
 
 def anchors(rows: DataFrame, length: int, k: int, only_seeds: bool) -> DataFrame:
-    """(anchor) of each block; with block, row, doc_id, first, n, place (of the anchor, from first) unless only_seeds."""
+    """(anchor) of each block; with block, row, doc_id and span unless only_seeds.
+
+    span is one long, to keep the shuffled rows small: first start, number of starts, place of the anchor from first.
+    """
+    if length >= 1 << _BITS:
+        raise ValueError(f"strings of {length} bytes are too long; the most is {(1 << _BITS) - 1}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,10 +122,17 @@ def anchors(rows: DataFrame, length: int, k: int, only_seeds: bool) -> DataFrame
                     block = mix64(piece.runs(first, first + count - 1 + length) ^ mix64((count * 256 + place).astype(np.uint64)))
                 of = a + doc[first]
                 where = first + begin - offsets[of]
-                columns = [seed, pa.array(block.view(np.int64)), pa.array(row[of], pa.int64()), ids.take(pa.array(of)), pa.array(where, pa.int64()), pa.array(count, pa.int32()), pa.array(place, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", "row", "doc_id", "first", "n", "place"])
+                span = (where << 2 * _BITS) | (count << _BITS) | place
+                columns = [seed, pa.array(block.view(np.int64)), pa.array(row[of], pa.int64()), ids.take(pa.array(of)), pa.array(span, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", "row", "doc_id", "span"])
+
+    return rows.mapInArrow(run, "anchor long" if only_seeds else "anchor long, block long, row long, doc_id long, span long")
+
 
-    return rows.mapInArrow(run, "anchor long" if only_seeds else "anchor long, block long, row long, doc_id long, first long, n int, place int")
+def _parts(span: Column) -> list[Column]:
+    """first, n and place of a span."""
+    low = F.lit((1 << _BITS) - 1)
+    return [F.shiftright(span, 2 * _BITS).alias("first"), F.shiftright(span, _BITS).bitwiseAND(low).cast("int").alias("n"), span.bitwiseAND(low).cast("int").alias("place")]
 
 
 def _common(a: bytes, b: bytes, known: int) -> int:
@@ -288,14 +302,15 @@ def _string_rows(chosen: DataFrame, length: int) -> DataFrame:
 
 def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(row, first, n): runs of starts of strings that also start earlier in the corpus."""
-    twice = anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor")
+    # stored, so that a join has plain shuffles on both sides and a hot anchor's rows can be split
+    twice = stored(anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
     met = stored(anchors(rows, length, k, False).join(twice, "anchor", "left_semi"), "byte-anchors")
-    earliest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first", "n", "place")).alias("one")
+    earliest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "span")).alias("one")
     blocks = stored(met.groupBy("anchor", "block").agg(F.count("*").alias("copies"), earliest), "byte-blocks")
-    copied = blocks.where("copies > 1").select("anchor", "block", F.col("one.row").alias("r"), F.col("one.first").alias("f"))
-    whole = met.join(copied, ["anchor", "block"]).where("NOT (row = r AND first = f)").select("row", "first", "n")
-    groups = blocks.groupBy("anchor").count().where("count > 1")
-    edges = stored(blocks.join(groups, "anchor").select("anchor", "one.row", "one.first", "one.n", "one.place", "count"), "byte-edges")
+    copied = blocks.where("copies > 1").select("anchor", "block", F.col("one.row").alias("r"), F.col("one.span").alias("s"))
+    whole = met.join(copied, ["anchor", "block"]).where("NOT (row = r AND span = s)").select("row", *_parts(F.col("span"))[:2])
+    groups = stored(blocks.groupBy("anchor").count().where("count > 1"), "groups")
+    edges = stored(blocks.join(groups, "anchor").select("anchor", "one.row", *_parts(F.col("one.span")), "count"), "byte-edges")
     size = edges.agg(F.count("*").alias("all"), F.count_if(F.col("count") > group_limit).alias("large")).first()
 
     def with_text(of: DataFrame) -> DataFrame:
@@ -308,7 +323,7 @@ def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, gr
     if size["large"]:
         strings = stored(_string_rows(with_text(edges.where(F.col("count") > group_limit)), length), "strings")
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first")
-        least = strings.groupBy("string").agg(F.min(order).alias("one"), F.count("*").alias("c")).where("c > 1")
+        least = stored(strings.groupBy("string").agg(F.min(order).alias("one"), F.count("*").alias("c")).where("c > 1"), "least")
         found = found.union(strings.join(least, "string").where(order > F.col("one")).select("row", "first", F.lit(1).alias("n")))
     return found
 
