@@ -69,7 +69,8 @@ def test_finished_rows_survive_a_killed_job(spark, rows, tmp_path):
         for f in frames:
             if (f.n == 59).any():
                 raise RuntimeError("killed")
-            yield f.assign(said="x", error=None)[["id", "error", "said"]]
+            # more than the pipes between the workers hold
+            yield f.assign(said="x" * 50_000, error=None)[["id", "error", "said"]]
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
     try:
