@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import concat_slices, stored, string_bytes, table, words_of
+from .common import release, stored, string_bytes, table, words_of
 
 BLOCK_BYTES = 2_000_000
 #: Bytes of benchmark text that the driver holds at a time.
@@ -135,8 +135,12 @@ def search_index(index: DataFrame, terms: np.ndarray, phrases: dict, slop: int =
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside occurrences), items (sorted), spans."""
+    return find_in_index(stored(build_index(docs), "positions"), benchmark, window, slop)
+
+
+def find_in_index(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
+    """As find_benchmark, over an index that is stored already."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    index = stored(build_index(docs), "positions")
     chunks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
     found = []
     for i in range(chunks):
@@ -158,8 +162,10 @@ def contaminated():
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated; texts are judged once for all rows that hold them."""
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = find_benchmark(docs.select(key.alias("doc_id"), "text"), benchmark)
-    leave = found.where(contaminated()).select(F.col("doc_id").alias("__key")).distinct()
+    index = stored(build_index(docs.select(key.alias("doc_id"), "text")), "positions")
+    found = find_in_index(index, benchmark)
+    leave = stored(found.where(contaminated()).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
+    release(index)
     return docs.withColumn("__tkey", key).join(leave, F.col("__tkey") == F.col("__key"), "left_anti").drop("__tkey")
 
 
