@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE, BYTE_VALUE, mix64, powers, stored, string_bytes, table
+from .common import BASE, BYTE_VALUE, mix64, powers, release, stored, string_bytes, table
 
 LENGTH = 100
 SEED_BYTES = 24
@@ -301,16 +301,20 @@ def _string_rows(chosen: DataFrame, length: int) -> DataFrame:
 
 
 def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(row, first, n): runs of starts of strings that also start earlier in the corpus."""
+    """(row, first, n), stored: runs of starts of strings that also start earlier in the corpus."""
     # stored, so that a join has plain shuffles on both sides and a hot anchor's rows can be split
     twice = stored(anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
     met = stored(anchors(rows, length, k, False).join(twice, "anchor", "left_semi"), "byte-anchors")
+    release(twice)
     earliest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "span")).alias("one")
     blocks = stored(met.groupBy("anchor", "block").agg(F.count("*").alias("copies"), earliest), "byte-blocks")
     copied = blocks.where("copies > 1").select("anchor", "block", F.col("one.row").alias("r"), F.col("one.span").alias("s"))
-    whole = met.join(copied, ["anchor", "block"]).where("NOT (row = r AND span = s)").select("row", *_parts(F.col("span"))[:2])
+    later = met.join(copied, ["anchor", "block"]).where("NOT (row = r AND span = s)").select("row", *_parts(F.col("span"))[:2])
+    whole = stored(later, "copied-blocks")
+    release(met)
     groups = stored(blocks.groupBy("anchor").count().where("count > 1"), "groups")
     edges = stored(blocks.join(groups, "anchor").select("anchor", "one.row", *_parts(F.col("one.span")), "count"), "byte-edges")
+    release(blocks, groups)
     size = edges.agg(F.count("*").alias("all"), F.count_if(F.col("count") > group_limit).alias("large")).first()
 
     def with_text(of: DataFrame) -> DataFrame:
@@ -325,13 +329,15 @@ def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, gr
         order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "first")
         least = stored(strings.groupBy("string").agg(F.min(order).alias("one"), F.count("*").alias("c")).where("c > 1"), "least")
         found = found.union(strings.join(least, "string").where(order > F.col("one")).select("row", "first", F.lit(1).alias("n")))
-    return found
+    out = stored(found, "later")
+    release(whole, edges)
+    return out
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(doc_id, n_bytes, spans, kept): the removed runs of bytes, and the bytes that are left."""
     rows = keyed(docs)
-    found = stored(later_strings(rows, length, k, group_limit), "later")
+    found = later_strings(rows, length, k, group_limit)
     ranges = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
