@@ -65,25 +65,30 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end_symbol: int, width: int) -
     return Lanes(target, before, begins, doc)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
-
-
 def _forward(p: Params, table: np.ndarray, before: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool):
     """(states after each step, last state, what the way back needs)."""
     steps, width = before.shape
-    states = np.empty((steps, width, HIDDEN), np.float32)
-    held, wh, bn, k = [], p["wh"], p["bn"], HIDDEN
-    for t in range(steps):
-        if begins[t].any():
+    states = np.empty((steps, width, HIDDEN), table.dtype)
+    # of each step: the state before it, both gates, the candidate's recurrent part and the candidate
+    held = [np.empty((steps, width, k), table.dtype) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)] if keep else None
+    wh, bn, k = p["wh"], p["bn"], HIDDEN
+    for t, new in enumerate(begins.any(axis=1).tolist()):
+        if new:
             h = h * ~begins[t][:, None]
         x, u = table[before[t]], h @ wh
-        zr = _sigmoid(x[:, : 2 * k] + u[:, : 2 * k])
+        zr = x[:, : 2 * k] + u[:, : 2 * k]
+        zr *= 0.5
+        np.tanh(zr, out=zr)
+        zr += 1
+        zr *= 0.5
         z, r = zr[:, :k], zr[:, k:]
         un = u[:, 2 * k :] + bn
-        n = np.tanh(x[:, 2 * k :] + r * un)
+        n = r * un
+        n += x[:, 2 * k :]
+        np.tanh(n, out=n)
         if keep:
-            held.append((h, z, r, un, n))
+            for into, value in zip(held, (h, zr, un, n), strict=True):
+                into[t] = value
         h = n + z * (h - n)
         states[t] = h
     return states, h, held
@@ -150,49 +155,71 @@ def gradients(p: Params, table: np.ndarray, data: Lanes, h: np.ndarray) -> tuple
     d *= real[:, None] / np.float32(n)
     g["wc"], g["bc"] = flat.T @ d, d.sum(axis=0)
     dflat = d @ p["wc"].T
-    for c in np.unique(kind[real]):
-        own = np.flatnonzero(real & (kind == c))
-        logs = _log_softmax(flat[own] @ p["ww"][c] + p["bw"][c])
-        word = target[own] % PER_CLASS
-        loss -= logs[np.arange(len(own)), word].sum()
-        d = np.exp(logs)
-        d[np.arange(len(own)), word] -= 1
+    # by class, so that a class's words are one slice
+    order = np.argsort(np.where(real, kind, CLASSES), kind="stable")
+    edges = np.searchsorted(kind[order][: int(real.sum())], np.arange(CLASSES + 1))
+    for c in np.flatnonzero(np.diff(edges)).tolist():
+        own = order[edges[c] : edges[c + 1]]
+        mine, word, at = flat[own], target[own] % PER_CLASS, rows[: len(own)]
+        logs = _log_softmax(mine @ p["ww"][c] + p["bw"][c])
+        loss -= logs[at, word].sum()
+        d = np.exp(logs, out=logs)
+        d[at, word] -= 1
         d /= np.float32(n)
-        g["ww"][c], g["bw"][c] = flat[own].T @ d, d.sum(axis=0)
+        g["ww"][c], g["bw"][c] = mine.T @ d, d.sum(axis=0)
         dflat[own] += d @ p["ww"][c].T
-    dstates, dh = dflat.reshape(steps, width, HIDDEN), np.zeros((width, HIDDEN), np.float32)
-    dtable = np.zeros_like(table)
+    dstates, dh, k = dflat.reshape(steps, width, HIDDEN), np.zeros((width, HIDDEN), table.dtype), HIDDEN
+    h0, zr, un, m = held
+    z, r = zr[:, :, :k], zr[:, :, k:]
+    # what does not hang on the gradient that comes back is one product for all steps
+    for_z, for_m, for_r = (h0 - m) * z * (1 - z), (1 - z) * (1 - m * m), un * r * (1 - r)
+    du, dm = np.empty((steps, width, 3 * k), table.dtype), np.empty((steps, width, k), table.dtype)
+    wh, new = np.ascontiguousarray(p["wh"].T), data.begins.any(axis=1).tolist()
     for t in range(steps - 1, -1, -1):
-        h0, z, r, un, m = held[t]
         dh = dh + dstates[t]
-        dz, dm = dh * (h0 - m) * z * (1 - z), dh * (1 - z) * (1 - m * m)
-        dr = dm * un * r * (1 - r)
-        du = np.concatenate([dz, dr, dm * r], axis=1)
-        np.add.at(dtable, data.before[t], np.concatenate([dz, dr, dm], axis=1))
-        g["wh"] += h0.T @ du
-        g["bn"] += (dm * r).sum(axis=0)
-        dh = dh * z + du @ p["wh"].T
-        dh = dh * ~data.begins[t][:, None]
-    g["emb"], g["wx"], g["bx"] = dtable @ p["wx"].T, p["emb"].T @ dtable, dtable.sum(axis=0)
+        step, candidate = du[t], dm[t]
+        np.multiply(dh, for_z[t], out=step[:, :k])
+        np.multiply(dh, for_m[t], out=candidate)
+        np.multiply(candidate, for_r[t], out=step[:, k : 2 * k])
+        np.multiply(candidate, r[t], out=step[:, 2 * k :])
+        dh *= z[t]
+        dh += step @ wh
+        if new[t]:
+            dh *= ~data.begins[t][:, None]
+    g["wh"], g["bn"] = h0.reshape(-1, k).T @ du.reshape(-1, 3 * k), du[:, :, 2 * k :].sum(axis=(0, 1))
+    du[:, :, 2 * k :] = dm
+    # the symbols of the window, each with the sum over its places
+    before = data.before.ravel()
+    order = np.argsort(before, kind="stable")
+    edges = np.flatnonzero(np.concatenate([[True], np.diff(before[order]) != 0]))
+    used, dtable = before[order[edges]], np.add.reduceat(du.reshape(-1, 3 * k)[order], edges, axis=0)
+    g["emb"][used], g["wx"], g["bx"] = dtable @ p["wx"].T, p["emb"][used].T @ dtable, dtable.sum(axis=0)
     return g, last, float(loss), n
 
 
 def train(p: Params, data: Lanes, rate: float = 0.01, clip: float = 1.0) -> Params:
     """One pass of Adam over the lanes, window by window."""
-    p = {k: v.copy() for k, v in p.items()}
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
+    # all weights in one row, of which p's are views
+    flat = np.concatenate([x.ravel() for x in p.values()])
+    edges = np.cumsum([0, *(x.size for x in p.values())])
+    p = {k: flat[a:b].reshape(x.shape) for (k, x), a, b in zip(p.items(), edges, edges[1:], strict=False)}
+    # output biases begin at the frequencies and move slowly
+    rates = np.concatenate([np.full(x.size, rate * (0.1 if k in ("bc", "bw") else 1.0), flat.dtype) for k, x in p.items()])
+    m, v = np.zeros_like(flat), np.zeros_like(flat)
     h = np.zeros((data.target.shape[1], HIDDEN), np.float32)
     for i, t in enumerate(range(0, len(data.target), WINDOW), 1):
         piece = slice(t, t + WINDOW)
         g, h, _, _ = gradients(p, _table(p), Lanes(data.target[piece], data.before[piece], data.begins[piece], data.doc[piece]), h)
-        norm = float(np.sqrt(sum(float((x * x).sum()) for x in g.values())))
-        for k, x in g.items():
-            x = x * np.float32(min(1.0, clip / max(norm, 1e-9)))
-            m[k] += 0.1 * (x - m[k])
-            v[k] += 0.01 * (x * x - v[k])
-            # output biases begin at the frequencies and move slowly
-            p[k] -= np.float32(rate * (0.1 if k in ("bc", "bw") else 1.0)) * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + np.float32(1e-6))
-    return p
+        x = np.concatenate([g[k].ravel() for k in p])
+        x *= np.float32(min(1.0, clip / max(float(np.sqrt(x @ x)), 1e-9)))
+        m += np.float32(0.1) * (x - m)
+        x *= x
+        v += np.float32(0.01) * (x - v)
+        root = np.sqrt(v)
+        root *= np.float32((1 - 0.99**i) ** -0.5)
+        root += np.float32(1e-6)
+        flat -= rates * m / root * np.float32(1 / (1 - 0.9**i))
+    return {k: x.copy() for k, x in p.items()}
 
 
 def packed(p: Params) -> bytes:

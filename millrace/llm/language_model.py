@@ -4,8 +4,8 @@ The corpus is read once into chunks of about CHUNK_BYTES of text: the documents'
 chunk's own words.  The words of all chunks meet by hash bucket, where training counts are added up over the whole
 corpus and sent back to the chunks.  The most frequent words are the model's symbols; every other word is one of
 FALLBACKS symbols (by its last bytes), and its share of that symbol is its smoothed training count.  The model is
-trained in `rounds` passes, each over another `share` of every chunk's training documents: partitions train copies,
-and the copies are averaged, a square root of them to a task and then those.  Scoring carries the state over windows, so a
+trained in `rounds` passes.  A chunk's training documents are dealt to the rounds by a hash of their place, so that
+each trains in exactly `share` of the rounds, by default in one: partitions train copies, and the copies are averaged, a square root of them to a task and then those.  Scoring carries the state over windows, so a
 document's score is that of its whole text.
 
 Edge cases: null and empty texts are one end token; rows without doc_id count as training rows; repeated rows
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import gru
-from .common import stored, string_bytes, table, words_of
+from .common import mix64, stored, string_bytes, table, words_of
 
 CHUNK_BYTES = 12_000_000
 #: Words that a bucket holds at most, on average, over all chunks.
@@ -162,14 +162,20 @@ class Symbols:
         return out
 
 
-def _train_round(held: DataFrame, symbols: Symbols, start: gru.Params, turn: int, share: float) -> gru.Params:
+def dealt(chunk: int, n: int, turn: int, rounds: int, share: float) -> np.ndarray:
+    """Which of a chunk's n documents train in a turn: over all turns each does in share of the rounds, once at least."""
+    with np.errstate(over="ignore"):
+        place = mix64(mix64(np.full(1, chunk, np.uint64)) + np.arange(n, dtype=np.uint64)) % np.uint64(rounds)
+    return (place + np.uint64(turn)) % np.uint64(rounds) < max(1, round(rounds * share))
+
+
+def _train_round(held: DataFrame, symbols: Symbols, start: gru.Params, turn: int, rounds: int, share: float) -> gru.Params:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen = start, 0
         for batch in batches:
             for row in batch.to_pylist():
                 n, out = np.array(row["n_tokens"], np.int64), np.array(row["held"], bool)
-                dice = np.random.default_rng((row["chunk"], turn)).random(len(n))
-                chosen = np.flatnonzero(~out & (dice < share))
+                chosen = np.flatnonzero(~out & dealt(row["chunk"], len(n), turn, rounds, share))
                 if not len(chosen):
                     continue
                 ids = symbols.of(np.frombuffer(row["words"], np.uint64))[np.frombuffer(row["tokens"], np.uint32)]
@@ -196,7 +202,7 @@ def _train_round(held: DataFrame, symbols: Symbols, start: gru.Params, turn: int
     return gru.unpacked(bytes(rows[0]["params"]), start) if rows else start
 
 
-def document_scores(docs: DataFrame, rounds: int = 3, share: float = 1 / 24) -> DataFrame:
+def document_scores(docs: DataFrame, rounds: int = 3, share: float = 1 / 3) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10 probabilities."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     held = stored(chunks(docs), "chunks")
@@ -219,7 +225,7 @@ def document_scores(docs: DataFrame, rounds: int = 3, share: float = 1 / 24) ->
     frequency[: len(top)], frequency[KNOWN : KNOWN + FALLBACKS], frequency[-1] = top[:, 1], rest_n, n_end
     params = gru.initial(frequency)
     for turn in range(rounds):
-        params = _train_round(held, symbols, params, turn, share)
+        params = _train_round(held, symbols, params, turn, rounds, share)
 
     def score(part: pa.Table, back: pa.Table) -> pa.Table:
         rows, replies = part.to_pylist(), sorted(zip(back["bucket"].to_pylist(), back["totals"].to_pylist(), strict=True))

@@ -374,6 +374,17 @@ def test_base_scores_and_held_out_likelihood(spark):
     assert sum(r.score for r in tested) > sum(r.base_score for r in tested) + 0.1 * sum(r.n_tokens for r in tested)
 
 
+def test_every_training_token_trains_once(spark, monkeypatch):
+    copies, keep = [], language_model.stored
+    monkeypatch.setattr(language_model, "stored", lambda df, name: (out := keep(df, name), copies.append(out) if name.startswith("copies") else None)[0])
+    rows = corpora.odd_rows() + [(1000 + i, corpora.words(i, 60), "en", "s", 0) for i in range(100)] + [(30, corpora.words(5, 6000), "en", "s", 0)]
+    got = language_model.document_scores(spark.createDataFrame(rows, corpora.SCHEMA).repartition(2)).collect()
+    trained = [c.agg(F.sum("weight").alias("n")).first().n for c in copies]
+    assert len(trained) == 3 and sum(trained) == got[0].train_tokens == sum(r.n_tokens for r in got if not r.held_out)
+    turns = np.sum([language_model.dealt(5 << 32, 1000, t, 3, 1 / 3) for t in range(3)], axis=0)
+    assert (turns == 1).all()
+
+
 def test_gradients_are_those_of_the_loss():
     from millrace.llm import gru
 
