@@ -319,7 +319,8 @@ def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, gr
 
     def with_text(of: DataFrame) -> DataFrame:
         lists = of.groupBy("row").agg(F.collect_list(F.struct("anchor", "first", "n", "place")).alias("blocks"))
-        return rows.join(lists, "row").select("row", "doc_id", "text", "blocks")
+        # rows that stand twice are one document: a second copy would be the first's repeat
+        return rows.join(lists, "row").select("row", "doc_id", "text", "blocks").dropDuplicates(["row"])
 
     buckets = max(rows.sparkSession.sparkContext.defaultParallelism, -(-size["all"] // BUCKET_SUFFIXES))
     runs = sorted_runs(with_text(edges.where(F.col("count") <= group_limit)), buckets, length, k)

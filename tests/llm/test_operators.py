@@ -231,6 +231,16 @@ def test_suffix_dedup(docs, length, k, limit):
     assert key([(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), sha(bytes(r.kept))) for r in got]) == key(brute_bytes(corpora.odd_rows(), length))
 
 
+@pytest.mark.parametrize("limit", [50000, 2])
+def test_suffix_dedup_keeps_one_of_a_passage_in_repeated_rows(spark, limit):
+    passage = corpora.words(11, 60)
+    texts = [(1, f"{corpora.words(12, 40)} {passage} {corpora.words(13, 40)}"), (2, f"{corpora.words(14, 40)} {passage} {corpora.words(15, 40)}"), (3, corpora.words(16, 90))]
+    rows = [(i, t, "en", "s", len(t)) for i, t in [*texts, *texts[:2], texts[0]]]
+    got = suffix_dedup.without_repeats(spark.createDataFrame(rows, corpora.SCHEMA).repartition(3), 100, 32, limit).collect()
+    assert key([(r.doc_id, r.n_bytes, sum(s.stop - s.start for s in r.spans), len(r.spans), sha(bytes(r.kept))) for r in got]) == key(brute_bytes(rows, 100))
+    assert all(bytes(r.kept).decode() == texts[0][1] for r in got if r.doc_id == 1)
+
+
 def test_loser_tree_merges_front_coded_runs():
     r = random.Random(2)
     suffixes = [bytes(r.choice(b"ab") for _ in range(r.randint(1, 12))) for _ in range(400)]
