@@ -33,7 +33,7 @@ LESSONS = 500
 # The elements of HTML by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 UNREAD = frozenset("script style noscript template textarea select iframe object svg math canvas audio video head title button datalist".split())
-RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template", "svg", "math")
+RAW = ("script", "style", "textarea", "title", "iframe")
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that a start tag of the same group closes, up to the element that holds the group.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}

@@ -40,6 +40,12 @@ def test_odd_pages(model, source):
     assert isinstance(h.extract(source, model), str)
 
 
+@pytest.mark.parametrize("before", ['<svg class="icon"/>', "<math/>", "<svg><title>t</title><path d='M0'/>unread</svg>", "<div><noscript>unread</div>", "<div><svg><g>unread</div>", "<template><p>unread</p></template>"])
+def test_text_after_elements_that_are_not_read(model, before):
+    text = "A first sentence, as an article has. It goes on for some time, as paragraphs do."
+    assert h.extract(f"<html><body>{before}<article><p>{text}</p></article></body></html>", model) == text
+
+
 def test_rows(spark, model):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", None), (2, None, "<article><p>Hello, world. A text.</p></article>")], "page_id long, url string, html string")
     got = sorted((r.page_id, r.text) for r in h.main_text(pages.selectExpr("*", "'x' as text")).collect())
