@@ -1,144 +1,196 @@
 """The call stage: every row of a partition is sent to a function, several at a time, with retries and a breaker.
 
-These are small helpers of a task; Spark deals out the rows and a partition has its own window of calls.
+These are small helpers of a task; Spark deals out the rows and a partition has its own window of calls.  Records
+leave a task as their calls end, in no order, so a slow call holds nobody up.
 """
 
 from __future__ import annotations
 
-import json
 import random
 import threading
 import time
-import urllib.error
-import urllib.request
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from dataclasses import asdict, dataclass
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .. import schema as lattice
+from ..settings import Bounds, require
+from .requests import Failed, Request, as_request, http_json, probe_body
 
+__all__ = ["Breaker", "Failed", "Policy", "Request", "ServerLost", "attempt", "call_rows", "ended_calls", "http_json"]
 
-class Failed(Exception):
-    """An attempt that failed: whether to try again, whether it speaks against the server, and the server's own wait."""
 
-    def __init__(self, error: str, retry: bool = False, breaker: bool = False, wait: float | None = None):
-        super().__init__(error)
-        self.retry, self.breaker, self.wait = retry, breaker, wait
+class ServerLost(RuntimeError):
+    """The breaker has given up: the run ends, and no row is told that it failed."""
+
+
+#: What a policy's numbers must be.
+BOUNDS = (
+    Bounds("window", whole=True, low=1),
+    Bounds("attempts", whole=True, low=1),
+    Bounds("first_delay", low=0),
+    Bounds("longest_delay", low=0),
+    Bounds("budget_s", low=0, over=True),
+    Bounds("breaker", whole=True, low=1),
+    Bounds("probe_s", low=0, over=True),
+    Bounds("open_s", low=0, over=True),
+    Bounds("ramp_s", low=0),
+)
 
 
 @dataclass
 class Policy:
+    """window: calls at a time in a task.  breaker: failures in a row that open it; it ends the run after open_s.
+
+    ramp_s: a window that opens over that time, so that many tasks do not begin all at once.
+    """
+
     window: int = 16
     attempts: int = 5
     first_delay: float = 1.0
     longest_delay: float = 60.0
     budget_s: float = 300.0
     breaker: int = 8
+    probe_s: float = 1.0
+    open_s: float = 600.0
+    ramp_s: float = 0.0
+
+    def __post_init__(self) -> None:
+        require("Policy", BOUNDS, asdict(self))
 
 
 class Breaker:
-    """Holds calls back after a run of failures; one call at a time then tries whether the server is back."""
+    """Holds calls back after a run of failures.  One caller then tries whether the server is back, the rest wait."""
 
-    def __init__(self, limit: int, pause: float = 1.0):
-        self.limit, self.pause, self.run = limit, pause, 0
-        self.lock, self.probe = threading.Lock(), threading.Lock()
+    def __init__(self, limit: int, probe_s: float = 1.0, open_s: float = 600.0):
+        self.limit, self.probe_s, self.open_s, self.run, self.lost = limit, probe_s, open_s, 0, False
+        self.lock, self.probing = threading.Lock(), threading.Lock()
 
     def note(self, failed: bool) -> None:
         with self.lock:
             self.run = self.run + 1 if failed else 0
 
-    def call(self, f: Callable[[], dict]) -> dict:
-        if self.run < self.limit:
-            return f()
-        with self.probe:
-            if self.run >= self.limit:
-                time.sleep(self.pause)
-            return f()
-
-
-def http_json(endpoint: str, route: str, timeout: float = 1800.0) -> Callable[[dict], dict]:
-    """A sender of JSON requests over HTTP; replies that are no JSON object and lost connections are tried again."""
-
-    def send(body: dict) -> dict:
-        request = urllib.request.Request(endpoint.rstrip("/") + route, json.dumps(body).encode(), {"Content-Type": "application/json"})
-        try:
-            with urllib.request.urlopen(request, timeout=timeout) as r:
-                text, status = r.read(), r.status
-        except urllib.error.HTTPError as e:
-            said, code, wait = e.read().decode(errors="replace")[:300], e.code, e.headers.get("Retry-After")
-            if code == 429 or code >= 500:
-                delay = float(wait) if wait and wait.replace(".", "", 1).isdigit() else None
-                raise Failed(f"http {code} after retries: {said}", True, code >= 500, delay) from e
-            raise Failed(f"http {code}: {said}" if code >= 400 else f"http {code}: endpoint redirects — use the final URL") from e
-        except OSError as e:
-            raise Failed(f"transport: {type(e).__name__}: {e}", True, True) from e
-        try:
-            reply = json.loads(text)
-        except ValueError:
-            reply = None
-        if not isinstance(reply, dict):
-            raise Failed(f"http {status}: response is not a JSON object: {text[:300].decode(errors='replace')}", True, True)
-        return reply
-
-    return send
-
-
-def attempt(send: Callable[[dict], dict], body: dict, policy: Policy, breaker: Breaker, dice: random.Random) -> dict:
-    """Send until it works or the attempts or the budget are used up; the error names the first failure too."""
-    errors: list[str] = []
+    def gate(self, alive: Callable[[], bool]) -> float:
+        """Wait while the breaker is open; the seconds that took."""
+        if self.run < self.limit and not self.lost:
+            return 0.0
+        began = time.monotonic()
+        with self.probing:
+            while self.run >= self.limit and not self.lost:
+                if alive():
+                    self.note(False)
+                elif time.monotonic() - began >= self.open_s:
+                    self.lost = True
+                else:
+                    time.sleep(self.probe_s)
+        if self.lost:
+            raise ServerLost(f"circuit breaker open for {self.open_s:g}s — server is not coming back")
+        return time.monotonic() - began
+
+
+def _alive(send: Callable, request: Request) -> bool:
+    """Whether a least request gets an answer that speaks for the server: any refusal of its own will do."""
+    model = (request.body or {}).get("model")
+    probe = probe_body(model if isinstance(model, str) else None)
+    try:
+        send(Request(probe, route=request.route, headers=request.headers) if request.route or request.headers else probe)
+    except Failed as e:
+        return not e.breaker
+    except Exception:  # a sender of the user's own that knows no such request
+        return True
+    return True
+
+
+def attempt(send: Callable[[Request | dict], dict], asked: Request | dict, policy: Policy, breaker: Breaker, dice: random.Random) -> dict:
+    """Send until it works or the attempts or the budget are used up; the error names the first failure too.
+
+    Time at an open breaker is not taken from the budget.  A request with an open file is sent once.
+    """
+    request, errors = as_request(asked), []
+    body = request if isinstance(asked, Request) else asked
     delay, end = policy.first_delay, time.monotonic() + policy.budget_s
     for _ in range(policy.attempts):
+        end += breaker.gate(lambda: _alive(send, request))
         try:
-            reply = breaker.call(lambda: send(body))
+            reply = send(body)
             breaker.note(False)
             return reply
         except Failed as e:
             breaker.note(e.breaker)
             errors.append(str(e))
-            wait = e.wait * dice.uniform(1, 1.2) if e.wait is not None else dice.uniform(0, delay)
-            if not e.retry or time.monotonic() + wait > end:
+            pause = e.wait * dice.uniform(1, 1.2) if e.wait is not None else dice.uniform(0, delay)
+            if not e.retry or not request.resendable or time.monotonic() + pause > end:
                 break
             delay = min(2 * delay, policy.longest_delay)
-            time.sleep(wait)
+            time.sleep(pause)
     last = errors[-1]
     raise Failed(last if last == errors[0] else f"{last} (first attempt: {errors[0]})")
 
 
-def call_rows(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy | None = None) -> DataFrame:
-    """A record (of schema, with id and error) for every row: what parse made of the reply, or the error."""
+def ended_calls(frames: Iterator[pd.DataFrame], to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy, tick_s: float = 0.2) -> Iterator[list[dict]]:
+    """Records of the calls that have ended, at least every tick_s seconds (then maybe none)."""
+    empty, breaker, dice = dict.fromkeys(schema.fieldNames()), Breaker(policy.breaker, policy.probe_s, policy.open_s), random.Random()
+
+    def one(row: dict) -> dict:
+        try:
+            try:
+                asked = to_request(row)
+                as_request(asked)
+            except Exception as e:
+                raise Failed(f"client: {type(e).__name__}: {e}") from e
+            reply = attempt(send, asked, policy, breaker, dice)
+            try:
+                out = parse(row, reply)
+            except Exception as e:
+                raise Failed(f"client: {type(e).__name__}: {e}") from e
+            if not isinstance(out, dict):
+                raise Failed(f"client: parse returned {type(out).__name__}, not a dict")
+            try:
+                return lattice.conform({**out, "id": row["id"], "error": None}, schema)
+            except lattice.DoesNotFit as e:
+                raise Failed(f"parse output not storable: {e}") from e
+        except Failed as e:
+            return {**empty, "id": row["id"], "error": str(e)}
+
+    rows = (row for frame in frames for row in frame.to_dict("records"))
+    began = time.monotonic()
+    with ThreadPoolExecutor(policy.window) as pool:
+        running: set[Future] = set()
+        try:
+            while True:
+                open_ = policy.window if not policy.ramp_s else max(1, min(policy.window, int(policy.window * (time.monotonic() - began) / policy.ramp_s)))
+                running |= {pool.submit(one, row) for row in islice(rows, max(0, open_ - len(running)))}
+                if not running:
+                    return
+                done, running = wait(running, tick_s, FIRST_COMPLETED)
+                yield [f.result() for f in done]
+        finally:
+            for f in running:
+                f.cancel()
+
+
+def call_rows(rows: DataFrame, to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy | None = None, together: int = 500) -> DataFrame:
+    """A record (of schema, with id and error) for every row: what parse made of the reply, or the error.
+
+    Records go on in frames of about `together`, or each second.
+    """
     lattice.check_declared(schema)
     policy = policy or Policy()
-    empty = dict.fromkeys(schema.fieldNames())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        breaker, dice = Breaker(policy.breaker), random.Random()
-
-        def one(row: dict) -> dict:
-            try:
-                try:
-                    body = to_request(row)
-                except Exception as e:
-                    raise Failed(f"client: {type(e).__name__}: {e}") from e
-                reply = attempt(send, body, policy, breaker, dice)
-                try:
-                    out = parse(row, reply)
-                except Exception as e:
-                    raise Failed(f"client: {type(e).__name__}: {e}") from e
-                if not isinstance(out, dict):
-                    raise Failed(f"client: parse returned {type(out).__name__}, not a dict")
-                try:
-                    return lattice.conform({**out, "id": row["id"], "error": None}, schema)
-                except lattice.DoesNotFit as e:
-                    raise Failed(f"parse output not storable: {e}") from e
-            except Failed as e:
-                return {**empty, "id": row["id"], "error": str(e)}
-
-        with ThreadPoolExecutor(policy.window) as pool:
-            for frame in frames:
-                yield pd.DataFrame(list(pool.map(one, frame.to_dict("records"))), columns=schema.fieldNames(), dtype=object)
+        held, since = [], time.monotonic()
+        made = lambda records: pd.DataFrame(records, columns=schema.fieldNames(), dtype=object)
+        for records in ended_calls(frames, to_request, send, parse, schema, policy):
+            held += records
+            if len(held) >= together or held and time.monotonic() - since >= 1:
+                yield made(held)
+                held, since = [], time.monotonic()
+        if held:
+            yield made(held)
 
     return rows.mapInPandas(run, schema)

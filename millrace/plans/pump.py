@@ -4,17 +4,20 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import schema as lattice
 from ..functions import ids
 from ..operators import resume
-from ..sources import output
-from .calls import Policy, call_rows
+from ..settings import Bounds, require
+from ..sources.sinks import Sink, as_sink
+from .calls import Policy, call_rows, ended_calls
 
 
 class RowsLost(RuntimeError):
@@ -40,34 +43,57 @@ class Stats:
         return self.rows_total - self.rows_done_prior - self.rows_deduped - self.rows_processed - self.rows_failed
 
 
-def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], path: str, schema: T.StructType, *, id_key: str | None = None, order: str | None = None, shard: tuple[int, int] = (0, 1), retry_errors: bool = False, fail_fast: int = 32, partitions: int | None = None, flush_rows: int = 1000, policy: Policy | None = None) -> Stats:
-    """Run every row of a shard that the output at `path` does not have yet.
+BOUNDS = (Bounds("fail_fast", whole=True, low=0), Bounds("partitions", whole=True, low=1, optional=True), Bounds("flush_rows", whole=True, low=1, optional=True))
+
+
+def call_and_store(todo: DataFrame, to_request: Callable, send: Callable, parse: Callable, sink: Sink, schema: T.StructType, policy: Policy) -> DataFrame:
+    """(ok, failed) of each task that called its rows and stored their records, each soon after its call has ended."""
+    lattice.check_declared(schema)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, ok, failed = sink.rows(schema), 0, 0
+        try:
+            for records in ended_calls(frames, to_request, send, parse, schema, policy):
+                for _, error in out.add(records):
+                    ok, failed = ok + (error is None), failed + (error is not None)
+                out.due()
+        finally:
+            out.close()  # what has ended is kept, whatever ends the task
+        yield pd.DataFrame({"ok": [ok], "failed": [failed]})
+
+    return todo.mapInPandas(run, "ok long, failed long")
+
+
+def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], target: str | Sink, schema: T.StructType, *, id_key: str | None = None, order: str | None = None, shard: tuple[int, int] = (0, 1), retry_errors: bool = False, fail_fast: int = 32, partitions: int | None = None, flush_rows: int | None = None, policy: Policy | None = None) -> Stats:
+    """Run every row of a shard that the output (a path or a Sink) does not have yet.
 
     order: the column that says which of several rows with one id comes first (default: id, for content ids).
     fail_fast: if that many rows of a first batch all fail, AllFailed is raised and none is stored; 0 turns it off,
     and so does retry_errors.  Calls run in `partitions` tasks with a window of calls each.
     """
-    spark, began, name = rows.sparkSession, time.time(), uuid.uuid4().hex[:12]
+    require("pump", BOUNDS, {"fail_fast": fail_fast, "partitions": partitions, "flush_rows": flush_rows})
+    spark, began, name, policy, sink = rows.sparkSession, time.time(), uuid.uuid4().hex[:12], policy or Policy(), as_sink(target, flush_rows)
     keyed = ids.shard_select(rows if "id" in rows.columns else ids.with_id(rows, id_key=id_key), *shard)
-    prior = output.id_errors(spark, path)
+    prior = sink.known(spark)
     counts = resume.resume_counts(keyed, prior, retry_errors).first()
     todo = resume.skip_done(keyed, prior, order or "id", retry_errors)
-    if partitions:
-        todo = todo.repartition(partitions, "id")
-    call = lambda df: call_rows(df, to_request, send, parse, schema, policy)
+    ok = failed = 0
     if fail_fast > 0 and not retry_errors and (counts["rows_to_do"] or 0) >= fail_fast:
-        canary = todo.orderBy(F.xxhash64("id")).limit(fail_fast)
-        tried = call(canary).collect()  # fail_fast rows
+        first = spark.createDataFrame(todo.limit(fail_fast).collect(), todo.schema)  # fail_fast rows
+        tried = [r.asDict(True) for r in call_rows(first, to_request, send, parse, schema, policy).collect()]
         if all(r["error"] is not None for r in tried):
             raise AllFailed(f"the first {fail_fast} rows failed: {tried[0]['error']}")
-        output.append(spark.createDataFrame(tried, schema), path, flush_rows)
-        todo = todo.join(canary.select("id"), "id", "left_anti")
-    output.append(call(todo), path, flush_rows)
-    now = output.id_errors(spark, path)
-    wanted = keyed.select("id").distinct().join(resume.existing_ids(prior, retry_errors), "id", "left_anti")
-    state = resume.id_states(now).join(wanted, "id").agg(F.count_if("done").alias("ok"), F.count_if(F.expr("failed and not done")).alias("bad")).first()
-    stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, state["ok"], state["bad"], time.time() - began)
+        out = sink.rows(schema)
+        stored = out.add(tried)
+        out.close()
+        ok, failed = sum(e is None for _, e in stored), sum(e is not None for _, e in stored)
+        todo = todo.join(first.select("id"), "id", "left_anti")
+    if partitions:
+        todo = todo.repartition(partitions, "id")
+    state = call_and_store(todo, to_request, send, parse, sink, schema, policy).agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed")).first()
+    ok, failed = ok + (state["ok"] or 0), failed + (state["failed"] or 0)
+    stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, ok, failed, time.time() - began)
     if stats.rows_unaccounted:
         raise RowsLost(f"{stats.rows_unaccounted} of {stats.rows_total} rows are neither done, deduplicated, processed nor failed")
-    output.finish(path, f"shard-{shard[0]}-{name}", asdict(stats))
+    sink.finish(f"shard-{shard[0]}-{name}", asdict(stats))
     return stats

@@ -7,7 +7,9 @@ is killed keeps what it finished.  Layout: `part-{ms}-{seq}-{uuid}.parquet` besi
 
 from __future__ import annotations
 
+import contextlib
 import json
+import sys
 import time
 import uuid
 from collections.abc import Iterator
@@ -30,37 +32,66 @@ def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
-def _publish(path: str, name: str, data: pa.Table) -> None:
-    """Write under a hidden name, then rename."""
-    fs, root = _filesystem(path)
-    fs.create_dir(root, recursive=True)
-    hidden = f"{root}/.{name}.{uuid.uuid4().hex[:8]}"
-    with fs.open_output_stream(hidden) as out:
-        pq.write_table(data, out, compression="zstd")
-    fs.move(hidden, f"{root}/{name}")
+def _publish(path: str, name: str, data: pa.Table, attempts: int = 4, pause: float = 1.0) -> None:
+    """Write under a hidden name, then rename; a write that fails is tried again after 1, 2 and 4 seconds."""
+    for turn in range(attempts):
+        fs, root = _filesystem(path)
+        hidden = f"{root}/.{name}.{uuid.uuid4().hex[:8]}"
+        try:
+            fs.create_dir(root, recursive=True)
+            with fs.open_output_stream(hidden) as out:
+                pq.write_table(data, out, compression="zstd")
+            fs.move(hidden, f"{root}/{name}")
+            return
+        except OSError:
+            with contextlib.suppress(OSError):
+                fs.delete_file(hidden)
+            if turn == attempts - 1:
+                raise
+            time.sleep(pause * 2**turn)
+
+
+class PartWriter:
+    """Collects records in a task and publishes a part when `flush_rows` are held or the oldest is `flush_s` old."""
+
+    def __init__(self, path: str, flush_rows: int = 1000, flush_s: float = 10.0):
+        self.path, self.flush_rows, self.flush_s = path, flush_rows, flush_s
+        self.held: list[pa.RecordBatch] = []
+        self.rows, self.since, self.seq = 0, 0.0, 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        if batch.num_rows:
+            self.since = self.since if self.rows else time.monotonic()
+            self.held.append(batch)
+            self.rows += batch.num_rows
+        self.flush_due()
+
+    def flush_due(self) -> None:
+        if self.rows >= self.flush_rows or self.rows and time.monotonic() - self.since >= self.flush_s:
+            self.flush()
+
+    def flush(self) -> None:
+        if not self.rows:
+            return
+        data = pa.Table.from_batches(self.held)
+        name = f"part-{int(time.time() * 1000):013d}-{self.seq:06d}-{uuid.uuid4().hex[:8]}.parquet"
+        _publish(self.path, name, data)
+        try:
+            _publish(f"{self.path}/{SIDE}/manifest", f"ids-{name}", data.select(["id", "error"]))
+        except OSError as e:  # the part is read where no manifest covers it
+            print(f"no manifest of {name}: {e}", file=sys.stderr)
+        self.held, self.rows, self.seq = [], 0, self.seq + 1
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str, flush_rows: int):
-        self.path, self.flush_rows = path, flush_rows
-
-    def _flush(self, batches: list[pa.RecordBatch], seq: int) -> int:
-        data = pa.Table.from_batches(batches)
-        name = f"part-{int(time.time() * 1000):013d}-{seq:06d}-{uuid.uuid4().hex[:8]}.parquet"
-        _publish(self.path, name, data)
-        _publish(f"{self.path}/{SIDE}/manifest", f"ids-{name}", data.select(["id", "error"]))
-        return data.num_rows
+    def __init__(self, path: str, flush_rows: int, flush_s: float):
+        self.path, self.flush_rows, self.flush_s = path, flush_rows, flush_s
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        held, rows, seq = [], 0, 0
+        out = PartWriter(self.path, self.flush_rows, self.flush_s)
         for batch in iterator:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows >= self.flush_rows:
-                self._flush(held, seq)
-                held, rows, seq = [], 0, seq + 1
-        if rows:
-            self._flush(held, seq)
+            out.add(batch)
+        out.flush()
         return WriterCommitMessage()
 
     def abort(self, messages: list) -> None:
@@ -80,7 +111,7 @@ class DurableParts(DataSource):
         names = schema.fieldNames()
         if "id" not in names or "error" not in names:
             raise ValueError("records need the columns id and error")
-        return _Writer(self.options["path"], int(self.options.get("flush_rows", 1000)))
+        return _Writer(self.options["path"], int(self.options.get("flush_rows", 1000)), float(self.options.get("flush_s", 10)))
 
 
 def append(records: DataFrame, path: str, flush_rows: int = 1000) -> None:

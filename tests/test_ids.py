@@ -30,6 +30,38 @@ def test_content_ids_equal_pythons(spark):
     assert got == [python_id(r) for r in rows]
 
 
+@pytest.mark.parametrize("x", [0.0, -0.0, 1.0, -1.5, 12.5, 0.1, 1e-4, 1.5e-5, 123456789.125, 1e15, 1e16, 1.25e22, 3.0e100, 100.0, 0.001, 7e-10, float("nan"), float("inf"), float("-inf"), 9007199254740993.0, 1234567890123456.7])
+def test_floats_are_written_as_python_writes_them(spark, x):
+    assert spark.createDataFrame([(x,)], "x double").select(ids.float_text(F.col("x"))).first()[0] == json.dumps(x)
+
+
+def python_bytes_id(row):
+    """The id of a row with bytes: their SHA-1 in the JSON, and where they are before it."""
+    paths = []
+
+    def plain(value, path):
+        if isinstance(value, dict):
+            return {k: plain(v, [*path, k]) for k, v in value.items()}
+        if isinstance(value, list):
+            return [plain(v, [*path, i]) for i, v in enumerate(value)]
+        if isinstance(value, bytes):
+            paths.append(path)
+            return hashlib.sha1(value).hexdigest()
+        return value
+
+    body = json.dumps(plain(row, []), sort_keys=True, ensure_ascii=False)
+    text = "bytes-v1:" + json.dumps(sorted(paths, key=json.dumps)) + "\n" + body if paths else body
+    return hashlib.sha1(text.encode()).hexdigest()[:16]
+
+
+def test_ids_of_rows_with_bytes(spark):
+    rows = [{"image": b"\x00\xff", "n": 1.5, "more": [b"a", None, b"b"], "in": {"z": b"", "y": "s"}}, {"image": None, "n": None, "more": None, "in": None}, {"image": b"", "n": 2.0, "more": [], "in": {"z": None, "y": hashlib.sha1(b"").hexdigest()}}]
+    got = [r["id"] for r in ids.with_id(spark.createDataFrame(rows, "image binary, n double, more array<binary>, in struct<z: binary, y: string>")).collect()]
+    assert got == [python_bytes_id(r) for r in rows]
+    hexed = {**rows[0], "image": hashlib.sha1(rows[0]["image"]).hexdigest()}
+    assert ids.with_id(spark.createDataFrame([hexed], "image string, n double, more array<binary>, in struct<z: binary, y: string>")).first()["id"] == python_bytes_id(hexed) != got[0]
+
+
 def test_shard_is_the_unsigned_hash_prefix(spark):
     names = [f"id-{i}" for i in range(200)]
     df = spark.createDataFrame([(n,) for n in names], "id string")

@@ -1,5 +1,8 @@
+import io
 import json
+import random
 import threading
+import time
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
@@ -7,9 +10,11 @@ from pyspark.sql import types as T
 
 from millrace.functions import ids
 from millrace.operators import resume
-from millrace.plans.calls import Failed, Policy, http_json
+from millrace.plans import requests
+from millrace.plans.calls import Breaker, Failed, Policy, Request, ServerLost, attempt, call_rows, ended_calls, http_json
 from millrace.plans.pump import AllFailed, pump
-from millrace.sources import output, tables
+from millrace.settings import Bounds
+from millrace.sources import output, sinks, tables
 from millrace.streaming import dedup
 
 OUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("error", T.StringType()), T.StructField("said", T.StringType())])
@@ -165,3 +170,189 @@ def test_stream_admits_each_id_once(spark, tmp_path):
         spark.createDataFrame(batch, schema).write.mode("append").parquet(src)
         dedup.ingest(spark, src, schema, out, chk, id_key="k").awaitTermination()
     assert sorted(r.id for r in output.parts(spark, out).collect()) == ["a", "b", "c"]
+
+
+# ---- calls and writers, without Spark
+
+
+def frames(n, size=10):
+    import pandas as pd
+
+    return iter([pd.DataFrame({"id": [str(i) for i in range(a, min(a + size, n))], "n": range(a, min(a + size, n)), "text": "t"}) for a in range(0, n, size)])
+
+
+def test_records_leave_as_their_calls_end():
+    def send(body):
+        time.sleep(1.5 if body["n"] == 0 else 0.01)
+        return {"said": "x"}
+
+    began, at = time.monotonic(), {}
+    for records in ended_calls(frames(30), REQUEST, send, PARSE, OUT, Policy(window=3, attempts=1)):
+        for r in records:
+            at[r["id"]] = time.monotonic() - began
+    assert len(at) == 30 and at["0"] >= 1.5 and sum(t < 1.2 for t in at.values()) == 29
+
+
+def test_old_rows_are_published_although_few_have_come(tmp_path):
+    sink = sinks.PartsSink(str(tmp_path / "o"), flush_rows=1000, flush_s=0.3)
+    out = sink.rows(OUT)
+    out.add([{"id": "1", "error": None, "said": "x"}])
+    assert not list((tmp_path / "o").glob("*.parquet"))
+    time.sleep(0.35)
+    out.due()
+    assert len(list((tmp_path / "o").glob("*.parquet"))) == 1
+    out.close()
+    assert len(list((tmp_path / "o").glob("*.parquet"))) == 1
+
+
+def test_writes_are_tried_again(tmp_path, monkeypatch):
+    calls, real = [], output.pq.write_table
+
+    def flaky(*a, **k):
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("full")
+        real(*a, **k)
+
+    monkeypatch.setattr(output.pq, "write_table", flaky)
+    monkeypatch.setattr(output.time, "sleep", lambda s: None)
+    out = sinks.PartsSink(str(tmp_path / "o")).rows(OUT)
+    out.add([{"id": "1", "error": None, "said": "x"}])
+    out.close()
+    assert len(list((tmp_path / "o").glob("*.parquet"))) == 1 and not list((tmp_path / "o").glob(".part*"))
+
+
+def test_breaker_ends_the_run_and_its_time_is_not_the_rows():
+    down, policy = Failed("http 503 after retries: ", True, True), Policy(attempts=3, first_delay=0, longest_delay=0, breaker=2, probe_s=0.05, open_s=0.3)
+
+    def never(body):
+        raise down
+
+    with pytest.raises(ServerLost):
+        attempt(never, {"n": 1}, policy, Breaker(2, 0.05, 0.3), random.Random(1))
+    tries = []
+
+    def late(body):
+        tries.append(body)
+        if len(tries) < 6:
+            raise down
+        return {"said": "x"}
+
+    patient = Policy(attempts=3, first_delay=0, budget_s=0.1, breaker=2, probe_s=0.05, open_s=5)
+    assert attempt(late, {"n": 1}, patient, Breaker(2, 0.05, 5), random.Random(1)) == {"said": "x"}
+    assert requests.probe_body() in tries
+
+
+def test_retry_after_is_a_number_or_a_date():
+    at = 1_700_000_000
+    assert [requests.retry_after(x, at) for x in (None, "", "5", "1.5", "1.5.3", "soon", "Tue, 14 Nov 2023 22:13:30 GMT", "Tue, 14 Nov 2023 22:13:10 GMT")] == [None, None, 5.0, 1.5, None, None, 10.0, 0.0]
+
+
+def test_forms_headers_and_kept_connections():
+    seen, lock = [], threading.Lock()
+
+    class Stub(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def do_POST(self):
+            body = self.rfile.read(int(self.headers["Content-Length"]))
+            with lock:
+                seen.append((self.client_address, self.path, dict(self.headers), body))
+            self.send_response(200)
+            self.send_header("Content-Length", "2")
+            self.end_headers()
+            self.wfile.write(b"{}")
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Stub)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    send = http_json(f"http://127.0.0.1:{server.server_port}/v1", "/chat", headers={"Authorization": "Bearer x"})
+    form = Request(form={"model": "m"}, files={"file": ("a.wav", b"\x00\x01", "audio/wav"), "more": io.BytesIO(b"zz")}, route="/audio", headers={"X-One": "1"})
+    for asked in ({"a": 1}, form, {"b": 2}):
+        assert send(asked) == {}
+    server.shutdown()
+    assert len({s[0] for s in seen}) == 1 and [s[1] for s in seen] == ["/v1/chat", "/v1/audio", "/v1/chat"]
+    assert all(s[2]["Authorization"] == "Bearer x" for s in seen) and seen[1][2]["X-One"] == "1"
+    kind, body = seen[1][2]["Content-Type"], seen[1][3]
+    edge = kind.split("boundary=")[1].encode()
+    assert body.count(b"--" + edge) == 4 and b'filename="a.wav"\r\nContent-Type: audio/wav\r\n\r\n\x00\x01' in body and b'name="more"; filename="more"' in body
+    assert form.resendable and not Request(files={"f": io.StringIO("x")}).resendable
+
+
+@pytest.mark.parametrize(
+    "bounds, value, ok, words",
+    [
+        (Bounds("window", whole=True, low=1), 1, True, "window >= 1, a whole number"),
+        (Bounds("window", whole=True, low=1), True, False, "window >= 1, a whole number"),
+        (Bounds("window", whole=True, low=1), 1.0, False, "window >= 1, a whole number"),
+        (Bounds("share", low=0, high=1, over=True), 0, False, "0 < share <= 1, a number"),
+        (Bounds("share", low=0, high=1, over=True), float("nan"), False, "0 < share <= 1, a number"),
+        (Bounds("rows", low=0, high=1_000_000, optional=True), None, True, "0 <= rows <= 1,000,000, a number or None"),
+        (Bounds("x"), "1", False, "x, a number"),
+    ],
+)
+def test_bounds(bounds, value, ok, words):
+    assert bounds.holds(value) is ok and bounds.words() == words
+
+
+def test_settings_are_checked_before_a_run(rows):
+    with pytest.raises(ValueError, match="window >= 1, a whole number"):
+        Policy(window=0)
+    with pytest.raises(ValueError, match="pump requires partitions"):
+        pump(rows, REQUEST, echo, PARSE, "/tmp/never", OUT, partitions=0)
+
+
+# ---- sinks
+
+
+def test_a_file_per_success(spark, rows, tmp_path):
+    sink = sinks.FilesSink(str(tmp_path / "f"), ".txt", "said")
+    odd = lambda row, reply: {"said": None if row["n"] == 7 else reply["said"]}
+    stats = pump(rows, REQUEST, echo, odd, sink, OUT, policy=QUICK, partitions=3)
+    assert (stats.rows_processed, stats.rows_failed) == (53, 7)
+    files = {p.name: p.read_text() for p in (tmp_path / "f").iterdir()}
+    assert files == {f"{i}.txt": f"ROW {i}" for i in range(60) if i % 10 != 3 and i != 7}
+    again = pump(rows, REQUEST, lambda body: {"said": "new"}, PARSE, sink, OUT, policy=QUICK, fail_fast=0)
+    assert (again.rows_done_prior, again.rows_processed) == (53, 7)
+    assert (tmp_path / "f/3.txt").read_text() == "new"
+
+
+def test_files_that_cannot_be_named(spark, tmp_path):
+    unsafe = spark.createDataFrame([(f"a/{i}", i, "t") for i in range(40)], "id string, n int, text string")
+    with pytest.raises(Exception, match="the first 32 records were not written"):
+        pump(unsafe, REQUEST, lambda body: {"said": "x"}, PARSE, sinks.FilesSink(str(tmp_path / "g"), ".txt", "said"), OUT, policy=QUICK, fail_fast=0, partitions=1)
+    for bad in ({"folder": "s3://x/y"}, {"folder": "x", "ending": "txt"}, {"folder": "x", "ending": "./a"}):
+        with pytest.raises(ValueError):
+            sinks.FilesSink(**bad)
+
+
+def test_a_sink_of_ones_own(spark, rows, tmp_path):
+    folder = str(tmp_path / "lines")
+
+    class Lines(sinks.Rows):
+        def add(self, records):
+            with open(folder, "a") as f:
+                f.writelines(f"{r['id']} {r['error'] or 'ok'}\n" for r in records)
+            return [(r["id"], r["error"]) for r in records]
+
+    class Own(sinks.Sink):
+        def known(self, spark):
+            return spark.createDataFrame([("0", None)], "id string, error string")
+
+        def rows(self, schema):
+            return Lines()
+
+    stats = pump(rows, REQUEST, echo, PARSE, Own(), OUT, policy=QUICK, partitions=1)
+    assert (stats.rows_done_prior, stats.rows_processed, stats.rows_failed) == (1, 53, 6)
+    assert len(open(folder).read().splitlines()) == 59
+    with pytest.raises(ValueError):
+        sinks.as_sink(Own(), 10)
+    with pytest.raises(TypeError):
+        sinks.as_sink(7)
+
+
+def test_call_rows_gives_every_row(spark, rows):
+    got = {r.id: (r.error, r.said) for r in call_rows(rows, REQUEST, echo, PARSE, OUT, QUICK, together=7).collect()}
+    assert got == {str(i): ("http 400: poison", None) if i % 10 == 3 else (None, f"ROW {i}") for i in range(60)}
