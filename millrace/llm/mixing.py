@@ -4,11 +4,12 @@ Each source follows a piecewise-linear weight schedule over the run, t in [0, 1]
 schedule is the source's weight in the mix; the schedule's running integral is its cumulative token demand.
 A document that begins at word c of its source's (shuffled, repeated) stream is needed when the demand reaches
 c, so the inverse of the cumulative demand at c is its training position, and the mix is the documents
-range-sorted by position.
+range-sorted by position, a document as often as it is taken.
 
 Edge cases: null texts have no words; a null source is a source of its own, last in order; documents without
-words take nothing and have no position; repeated rows are taken each for itself; extra columns are ignored by
-`assign_positions`; an empty table gives an empty result.
+words take nothing and have no position; repeated rows are taken each for itself; rows that agree in doc_id, source
+and size share a place in an order that may change; extra columns are ignored by `assign_positions`; an empty table
+gives an empty result.  The windows over sources hold a row per source, so sources must be few enough for one task.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import n_words, stored, table
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -73,13 +74,14 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 
 
 def assign_positions(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: float = 1.0, most: float = 3.0, bucket_digits: int = 3, carry: Sequence[Column] = ()) -> DataFrame:
-    """A row per document: doc_id, source, size, source_size, target, taken, positions (one for each copy begun).
+    """A row per document: doc_id, source, size, source_size, target, taken, copies (position and words of each).
 
     The order of a source's documents is that of the MD5 of doc_id.  Running sums go by buckets of that hash
     (16 ** bucket_digits for each source), so the largest source is spread as widely as any.  `carry`: more columns.
+    Sizes are stored, so that words are counted once.
     """
     sized = docs.select("doc_id", "source", n_words().alias("size"), *carry).withColumn("dice", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = sized.withColumn("bucket", F.substring("dice", 1, bucket_digits))
+    sized = stored(sized.withColumn("bucket", F.substring("dice", 1, bucket_digits)), "sizes")
     cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("cell").over(over), F.lit(0)))
@@ -92,36 +94,36 @@ def assign_positions(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULU
     placed = placed.withColumn("begin", F.col("ahead") + F.sum("size").over(within) - F.col("size"))
     whole = F.floor("target")
     takes = [F.greatest(F.lit(0), F.least(F.col("size"), whole - F.col("begin") - F.lit(k) * F.col("source_size"))) for k in range(math.ceil(most))]
-    at = []
+    copies = []
     for k, take in enumerate(takes):
         u = (F.col("begin") + F.lit(k) * F.col("source_size")) / F.col("target")
         when = None
         for j, schedule in enumerate(curriculum):
             mine = F.col("rank") % len(curriculum) == j
             when = F.when(mine, _inverse(schedule, u)) if when is None else when.when(mine, _inverse(schedule, u))
-        at.append(F.when(take > 0, when))
+        copies.append(F.when(take > 0, F.struct(when.alias("position"), take.alias("words"))))
     carried = [c for c in placed.columns if c.startswith("__")]
-    return placed.select("doc_id", "source", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), F.array_compact(F.array(*at)).alias("positions"), *carried)
+    return placed.select("doc_id", "source", "size", "source_size", "target", sum(takes[1:], takes[0]).alias("taken"), F.array_compact(F.array(*copies)).alias("copies"), *carried)
 
 
-def in_training_order(assigned: DataFrame) -> DataFrame:
-    """Documents range-sorted by their first position; those never taken come last, without a position."""
-    first = F.try_element_at("positions", F.lit(1))
-    ordered = assigned.withColumn("position", first)
+def in_training_order(placed: DataFrame) -> DataFrame:
+    """Rows range-sorted by position; those without one come last."""
     keys = [F.col("position").asc_nulls_last(), F.col("doc_id").asc()]
-    return ordered.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
 
 
 def mixed(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM) -> DataFrame:
-    """The documents that the mix takes, in training order, with size, taken and position."""
+    """A row for each copy that the mix takes, in training order: the document with size, taken (of this copy) and position."""
     own = [c for c in docs.columns if c not in ("size", "taken", "position")]
     assigned = assign_positions(docs, curriculum, carry=[F.struct(*[f"`{c}`" for c in own]).alias("__row")])
-    return in_training_order(assigned.where("taken > 0")).select("__row.*", "size", "taken", "position")
+    placed = assigned.select("doc_id", "__row", "size", F.inline("copies").alias("position", "taken"))
+    return in_training_order(placed).select("__row.*", "size", "taken", "position")
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     assigned = assign_positions(table(spark, sf_dir, "documents"))
-    return in_training_order(assigned).select("doc_id", "size", "source_size", "target", "taken", "position")
+    placed = assigned.withColumn("position", F.get("copies", F.lit(0))["position"])
+    return in_training_order(placed).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
 OP1_SQL = r"""
