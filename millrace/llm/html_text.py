@@ -7,8 +7,9 @@ dropped element all is dropped (one pass up, one down).  The model is fitted on
 (LESSONS of them, a fixed bound), with a fixed seed, so every run has the same model.
 
 Edge cases: a null or empty page, or one without an article, has an empty text; unclosed and stray tags are closed
-by what follows; repeated rows are extracted each for itself; pages of any length are read whole; extra columns are
-ignored; an empty table gives an empty result.
+by what follows; a declaration or comment that never ends hides the rest, a tag that never ends is text; repeated
+rows are extracted each for itself; pages of any length are read whole, in time in proportion to their length; extra
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -38,8 +41,9 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 #: Elements that a start tag of the same group closes, up to the element that holds the group.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
-_RAW_END = {t: re.compile(rf"</{t}[^>]*>", re.I) for t in RAW}
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_INSIDE = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|itemprop|data-label)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _WORD = re.compile(r"[a-z]+")
 TAGS = ("html", "body", "div", "section", "p", "article", "main", "nav", "header", "footer", "aside", "form", "ul", "ol", "li", "a", "table", "blockquote", "figure", "h1", "h2", "h3", "pre", "dl")
@@ -56,62 +60,116 @@ class Page:
     text: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
+def _tokens(source: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(name, whether it ends, attributes) of each tag, (None, False, text) of each piece of text.
+
+    After a raw element's start tag its contents are left out.  Quotes hide the end of a tag unless one never closes.
+    """
+    at, n, quotes = 0, len(source), True
+    while at < n:
+        begin = source.find("<", at)
+        if begin < 0:
+            yield None, False, source[at:]
+            return
+        if begin > at:
+            yield None, False, source[at:begin]
+        if source.startswith(("<!", "<?"), begin):
+            end = source.find("-->", begin + 4) if source.startswith("<!--", begin) else source.find(">", begin)
+            if end < 0:
+                return
+            at = end + (3 if source[end] == "-" else 1)
+            continue
+        m = _NAME.match(source, begin + 1)
+        if not m:
+            yield None, False, "<"
+            at = begin + 1
+            continue
+        end = _INSIDE.match(source, m.end()).end() if quotes else n
+        if end == n or source[end] != ">":
+            # a quote is open to the end, so from here on quotes hide nothing
+            quotes, end = False, source.find(">", m.end())
+        if end < 0:
+            yield None, False, source[begin:]
+            return
+        name, at = m[2].lower(), end + 1
+        yield name, bool(m[1]), source[m.end() : end]
+        if name in _RAW_END and not m[1]:
+            stop = _RAW_END[name].search(source, at)
+            at = source.find(">", stop.end()) + 1 if stop else 0
+            if not at:
+                return
+
+
+class _Open:
+    """The open elements of a page, with where each tag stands among them."""
+
+    def __init__(self, page: Page):
+        self.page, self.stack, self.unread = page, [0], 0
+        self.places: dict[str, list[int]] = defaultdict(list)
+        #: For each open element the nearest at or below it that is not inline.
+        self.block = [0]
+
+    def push(self, element: int, name: str) -> None:
+        self.places[name].append(len(self.stack))
+        self.block.append(self.block[-1] if name in INLINE else len(self.stack))
+        self.stack.append(element)
+        self.unread += name in UNREAD
+
+    def close(self, down_to: int) -> None:
+        while len(self.stack) > down_to:
+            name = self.page.tag[self.stack.pop()]
+            self.places[name].pop()
+            self.block.pop()
+            self.unread -= name in UNREAD
+
+    def make_room(self, name: str) -> None:
+        """Close what a block's start ends: an open paragraph, the head, or the item before an item."""
+        ends, holders = CLOSES.get(name, ((), ()))
+        if not ends:
+            k = self.block[-1]
+            tag = self.page.tag[self.stack[k]]
+            if k and (tag == "p" or tag == "head" and name == "body"):
+                self.close(k)
+            return
+        holder = max([0, *(self.places[h][-1] for h in holders if self.places[h])])
+        ended = [places[k] for t in (*ends, "p") if (k := bisect_right(places := self.places[t], holder)) < len(places)]
+        if ended:
+            self.close(min(ended))
+
+
 def parse(source: str) -> Page:
     page = Page(["html"], [-1], [()], [None], [])
-    stack, apart, at, n = [0], True, 0, len(source)
-    skip = 0
-    while at < n:
-        m = _TOKEN.match(source, at)
-        at = m.end()
-        name = m[2]
+    open_, apart = _Open(page), True
+    for name, ends, rest in _tokens(source):
         if name is None:
-            piece = m[0]
-            if (piece[0] != "<" or len(piece) == 1) and not skip:
-                page.text.append((stack[-1], piece, apart))
+            if not open_.unread:
+                page.text.append((open_.stack[-1], rest, apart))
                 apart = False
             continue
-        name = name.lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if page.tag[stack[k]] == name:
-                    skip -= sum(page.tag[i] in UNREAD for i in stack[k:])
-                    del stack[k:]
-                    break
+        if ends:
+            if open_.places[name]:
+                open_.close(open_.places[name][-1])
             apart = apart or name not in INLINE
             continue
         if name in VOID:
-            apart = apart or name in ("br", "hr", "img")
+            apart = apart or name in ("br", "hr")
             continue
-        if name in ("html", "body") and len(page.tag) > 1 and name in (page.tag[i] for i in stack):
+        if name in ("html", "body") and len(page.tag) > 1 and (open_.places[name] or name == "html"):
             continue
         if name not in INLINE:
             apart = True
-            # a block ends an open paragraph; an item ends the item before it
-            ends, holders = CLOSES.get(name, (set(), set()))
-            for k in range(len(stack) - 1, 0, -1):
-                t = page.tag[stack[k]]
-                if t in ends or t == "p" or t == "head" and name == "body":
-                    skip -= sum(page.tag[i] in UNREAD for i in stack[k:])
-                    del stack[k:]
-                    if not ends:
-                        break
-                elif t in holders or t not in INLINE and not ends:
-                    break
+            open_.make_room(name)
         names, label = (), None
-        if m[3] and not m[3].isspace():
-            found = _ATTR.findall(m[3])
+        if rest and not rest.isspace():
+            found = _ATTR.findall(rest)
             label = next((v.strip("\"'") for k, v in found if k == "data-label"), None)
             names = tuple(w for k, v in found if k != "data-label" for w in (_WORD.findall(v.lower()) if v and k.lower() in ("class", "id", "role", "itemprop") else [k.lower()]))
         page.tag.append(name)
-        page.parent.append(stack[-1])
+        page.parent.append(open_.stack[-1])
         page.names.append(names)
         page.label.append(label)
-        if name in _RAW_END:
-            end = _RAW_END[name].search(source, at)
-            at = end.end() if end else n
-        elif not m[3].endswith("/"):
-            stack.append(len(page.tag) - 1)
-            skip += name in UNREAD
+        if name not in _RAW_END and not rest.endswith("/"):
+            open_.push(len(page.tag) - 1, name)
     return page
 
 
