@@ -1,22 +1,27 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
-The base patterns (fixed values, below) give the seeds.  Every text's identifier-like tokens are read with the two
-words before and the word after them; a context (kind aside) is a lexical pattern, a token an instance, and the
+The base patterns (fixed values, below) give the seeds, and long mixed hexadecimal strings are seeds of a fifth kind,
+secrets.  Every identifier-like token is an instance.  Its lexical patterns are the two words before it, the word
+before it, the word after it (lower-cased, digits as zeros, read within CONTEXT code points; one without a letter is
+none) and its own shape.  The
 graph of patterns and instances is scored in rounds: a pattern's confidence for a kind is the smoothed share of its
-distinct instances' scores, an instance that is no seed scores by the patterns it is met in.  Patterns of high
-confidence and support name unseen identifiers at their other places.  Both sides of the graph are aggregated
-before they are joined, so a context that a third of all texts share is a row.
-
-Positions are code points, from the pieces between matches.  Edge cases: null and empty texts have no spans;
-repeated rows get the same spans; quantifiers that cannot backtrack keep very long texts linear; columns named like
-the result are replaced; an empty table gives an empty result.
+distinct instances' scores.  A seed scores 1; another instance scores as the surest pattern that it is met in, where a
+pattern of words is judged by the instances' own forms and one of forms by the words around them, so that no pattern
+proves itself or its like.  A pattern needs `support`
+instances that score at least `confidence`, seeds or discovered ones.  Patterns of that confidence name unseen
+identifiers at their places, where no base span is; a secret is named only so, whatever its form.  Both sides of the
+graph are aggregated before they are joined, so a context that a third of all texts share is a row.
+
+Positions are code points, from the pieces between matches.  Texts are told apart by a 64-bit hash.  Edge cases: null
+and empty texts have no spans; repeated rows get the same spans; quantifiers that cannot backtrack keep very long
+texts linear; columns named like the result are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound as _bound
@@ -32,10 +37,19 @@ PATTERNS = {
 #: What a text must hold for a kind at all; asked first, because most texts don't.
 HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]"}
 KINDS = tuple(PATTERNS)
+ALL_KINDS = (*KINDS, "secret")
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
 #: A token with a digit or an at sign.
 IDENTIFIER = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-EDGE = r"^[\x22'(<\[{,;:]+|[\x22')>\]},;:.!?]+$"
+#: What is no part of a token: opening signs, and all signs at its end.
+LEAD, TAIL = r"^[\x22'(<\[{,;:]++", r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$"
+#: The form of seeds of the kind secret: 32 hexadecimal digits or more, letters among them.
+SECRET = r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+$"
+#: Code points on each side of a token in which its context is read.
+CONTEXT = 80
+#: The patterns of a token itself; the others are of the words around it.
+OWN = ("shape", "form", "checked")
+_CANDIDATE = "array<struct<token:string,start:int,stop:int,left:string,right:string>>"
 
 
 def _digits(text: Column) -> Column:
@@ -58,18 +72,21 @@ def _valid(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _located(text: Column, pattern: str, block: int = 256) -> Column:
-    """array of (match, start, stop, before): each match of a pattern, its code points, and the piece before it.
+def _located(text: Column, pattern: str, contexts: bool = False, block: int = 256) -> Column:
+    """array of (token, start, stop, left, right): each match of a pattern, its code points, and what stands around it.
 
-    Positions are running sums of lengths, within blocks and then over blocks, so long arrays are not copied often.
+    left and right are null unless contexts are asked for.  Positions are running sums of lengths, within blocks and
+    then over blocks, so long arrays are not copied often.
     """
     matches, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    kind = "array<struct<match:string,start:int,stop:int,before:string>>"
-    placed = lambda x, start: F.struct(x["match"].alias("match"), start.alias("start"), (start + F.length(x["match"])).alias("stop"), x["before"].alias("before"))
+    fields = ("left", "right")
+
+    def placed(x: Column, start: Column) -> Column:
+        return F.struct(x["token"].alias("token"), start.alias("start"), (start + F.length(x["token"])).alias("stop"), *[x[f].alias(f) for f in fields])
 
     def step(a: Column, x: Column) -> Column:
-        start = a["upto"] + F.length(x["before"])
-        return F.struct((start + F.length(x["match"])).alias("upto"), F.array_append(a["found"], placed(x, start)).alias("found"))
+        start = a["upto"] + x["gap"]
+        return F.struct((start + F.length(x["token"])).alias("upto"), F.array_append(a["found"], placed(x, start)).alias("found"))
 
     def shift(a: Column, b: Column) -> Column:
         moved = F.transform(b["found"], lambda x: placed(x, a["upto"] + x["start"]))
@@ -77,15 +94,20 @@ def _located(text: Column, pattern: str, block: int = 256) -> Column:
 
     def by_blocks(both: Column) -> Column:
         blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(both) - 1) / block).cast("int")), lambda i: F.slice(both, i * block + 1, F.lit(block)))
-        local = F.transform(blocks, lambda x: F.aggregate(x, F.struct(F.lit(0).alias("upto"), F.array().cast(kind).alias("found")), step))
-        return F.aggregate(local, F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<{kind}>").alias("found")), shift, lambda a: F.flatten(a["found"]))
+        local = F.transform(blocks, lambda x: F.aggregate(x, F.struct(F.lit(0).alias("upto"), F.array().cast(_CANDIDATE).alias("found")), step))
+        return F.aggregate(local, F.struct(F.lit(0).alias("upto"), F.array().cast(f"array<{_CANDIDATE}>").alias("found")), shift, lambda a: F.flatten(a["found"]))
+
+    def around(p: Column, i: Column) -> list[Column]:
+        if not contexts:
+            return [F.lit(None).cast("string").alias(f) for f in fields]
+        return [F.substring(F.get(p, i), -CONTEXT, CONTEXT).alias("left"), F.substring(F.get(p, i + 1), 1, CONTEXT).alias("right")]
 
-    both = _bound(pieces, lambda p: F.transform(matches, lambda m, i: F.struct(m.alias("match"), F.get(p, i).alias("before"))))
-    return _bound(both, lambda x: F.when(F.size(x) > 0, by_blocks(x)).otherwise(F.array().cast(kind)))
+    both = _bound(pieces, lambda p: F.transform(matches, lambda m, i: F.struct(m.alias("token"), F.length(F.get(p, i)).alias("gap"), *around(p, i))))
+    return _bound(both, lambda x: F.when(F.size(x) > 0, by_blocks(x)).otherwise(F.array().cast(_CANDIDATE)))
 
 
 def _is_valid(kind: str, x: Column) -> Column:
-    return _valid(kind, x["match"])
+    return _valid(kind, x["token"])
 
 
 def _span(kind: str, x: Column) -> Column:
@@ -106,21 +128,16 @@ def base_spans(text: Column) -> Column:
     return F.concat(*found)
 
 
-def _candidates(texts: DataFrame) -> DataFrame:
-    """(tkey, start, stop, token, left, right): identifier-like tokens of distinct texts with their contexts.
+def located(docs: DataFrame) -> DataFrame:
+    """(tkey, base, found): a row per distinct text that may hold an identifier, with base spans and identifier-like tokens.
 
-    A base match is one token, whatever white space it holds.  Contexts are lower-cased, with digits as zeros.
+    A base match is one token, whatever white space it holds.
     """
+    text = F.col("text")
     base = "|".join(f"(?:{p})" for p in PATTERNS.values())
-    rows = texts.where(F.col("text").rlike("[0-9@]")).select("tkey", "text", F.posexplode(_located(F.col("text"), f"{base}|{IDENTIFIER}")).alias("i", "x"))
-    lead = F.length("x.match") - F.length(F.regexp_replace("x.match", EDGE.split("|")[0], ""))
-    token = F.regexp_replace("x.match", EDGE, "")
-    plain = lambda c: F.regexp_replace(F.lower(c), "[0-9]", "0")
-    left = F.regexp_extract("x.before", r"([^\x20\x09-\x0D]{1,40}[\x20\x09-\x0D]{1,3})?[^\x20\x09-\x0D]{0,40}[\x20\x09-\x0D]{0,3}$", 0)
-    after = F.substring("text", F.col("x.stop") + 1, F.lit(60))
-    right = F.regexp_extract(after, r"^[\x20\x09-\x0D]{0,3}[^\x20\x09-\x0D]{0,40}", 0)
-    start = F.col("x.start") + lead
-    return rows.select("tkey", start.alias("start"), (start + F.length(token)).alias("stop"), token.alias("token"), plain(left).alias("left"), plain(right).alias("right")).where(F.length("token") > 0)
+    texts = docs.select(F.col("text").cast("string").alias("text")).where(text.rlike("[0-9@]"))
+    rows = texts.select(F.xxhash64("text").alias("tkey"), base_spans(text).alias("base"), _located(text, f"{base}|{IDENTIFIER}", True).alias("found"))
+    return rows.where("size(found) > 0").dropDuplicates(["tkey"])
 
 
 def _kind_of(token: Column) -> Column:
@@ -131,51 +148,97 @@ def _kind_of(token: Column) -> Column:
     return kind.otherwise(F.lit(None).cast("string"))
 
 
+def _shape(token: Column) -> Column:
+    """Digits as zeros and runs of letters as one; of a long mix of letters and digits only the length."""
+    mixed = (F.length(token) >= 16) & token.rlike("^(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z]++$")
+    runs = F.regexp_replace(F.regexp_replace(F.regexp_replace(token, "[0-9]", "0"), r"\p{Lu}++", "A"), r"[\p{L}&&[^\p{Lu}]]++", "a")
+    return F.when(mixed, F.concat(F.lit("mixed "), F.length(token).cast("string"))).otherwise(runs)
+
+
+def candidates_of(located_: DataFrame) -> DataFrame:
+    """(tkey, start, stop, token, seed, patterns): tokens at their places, the kind they are seeds of, their (side, context)s."""
+    blank = "[\x20\x09-\x0D]"
+    rows = located_.select("tkey", F.inline("found").alias("match", "from", "upto", "left", "right"))
+    bare = F.regexp_replace("match", LEAD, "")
+    plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), rf"{blank}++", " "))
+    rows = rows.select("tkey", (F.col("from") + F.length("match") - F.length(bare)).alias("start"), F.regexp_replace(bare, TAIL, "").alias("token"), plain(F.col("left")).alias("left"), plain(F.col("right")).alias("right"))
+    rows = rows.where(F.length("token") > 0).withColumn("seed", F.coalesce(_kind_of(F.col("token")), F.when(F.col("token").rlike(SECRET), F.lit("secret"))))
+    two, after = F.regexp_extract("left", r"([^ ]++ )?[^ ]++$", 0), F.regexp_extract("right", r"^[^ ]++", 0)
+    sides = {"two before": two, "before": F.regexp_extract("left", r"[^ ]++$", 0), "after": after}
+    spoken = [F.when(c.rlike(r"\p{L}") & (c.contains(" ") if side == "two before" else F.lit(True)), F.struct(F.lit(side).alias("side"), c.alias("context"))) for side, c in sides.items()]
+    shape, digits = _shape(F.col("token")), _digits(F.col("token"))
+    form = F.regexp_replace(shape, "0++", "0")
+    checked = F.when(F.length(digits).between(12, 19) & _luhn(digits), F.concat(F.length(digits), F.lit(" digits")))
+    spoken += [F.when(c.isNotNull(), F.struct(F.lit(side).alias("side"), c.alias("context"))) for side, c in zip(OWN, (shape, form, checked), strict=True)]
+    stop = (F.col("start") + F.length("token")).alias("stop")
+    return rows.select("tkey", "start", stop, "token", "seed", F.array_compact(F.array(*spoken)).alias("patterns"))
+
+
 def _alike(kind: Column, token: Column) -> Column:
     """Whether an unseen token can stand for a kind at all."""
     n = F.length(_digits(token))
-    return F.when(kind == "email", token.contains("@") & (F.length(token) >= 5)).when(kind == "ip", n >= 4).when(kind == "card", n >= 12).otherwise(n >= 7)
+    secret = (F.length(token) >= 16) & (n > 0) & token.rlike("[A-Za-z]") & ~token.contains("@")
+    return F.when(kind == "email", token.contains("@") & (F.length(token) >= 5)).when(kind == "ip", (n >= 4) & token.contains(".")).when(kind == "card", n >= 12).when(kind == "secret", secret).otherwise(n >= 7)
 
 
-def bootstrap(candidates: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3) -> DataFrame:
+def bootstrap(candidates: DataFrame, rounds: int = 3, confidence: float = 0.75, support: int = 5) -> DataFrame:
     """(side, context, kind, confidence) of the patterns that the scored graph trusts."""
-    either = candidates.select("token", F.explode(F.array(F.struct(F.lit("left").alias("side"), F.col("left").alias("context")), F.struct(F.lit("right").alias("side"), F.col("right").alias("context")))).alias("p"))
-    edges = either.select("p.side", "p.context", "token").where(F.length(F.trim("context")) > 0).distinct()
-    shared = edges.groupBy("side", "context").agg(F.count("*").alias("degree")).where(F.col("degree") >= support)
-    edges = stored(edges.join(shared, ["side", "context"]).withColumn("seed", _kind_of(F.col("token"))), "patterns")
-    scores = edges.where("seed is not null").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    p = ["side", "context"]
+    edges = candidates.select("token", "seed", F.inline("patterns")).distinct()
+    # stored, so that a join has plain shuffles on both sides and a hot context's rows can be split
+    edges = stored(edges, "edges")
+    shared = stored(edges.groupBy(p).agg(F.count("*").alias("degree")).where(F.col("degree") >= support), "degrees")
+    edges = stored(edges.join(shared, p), "patterns")
+    seeds = edges.where("seed is not null").groupBy(*p, F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("mass"), F.count("*").alias("strong"), F.first("degree").alias("degree"))
+    unseen, evidence = edges.where("seed is null").drop("seed"), seeds
     for turn in range(rounds):
-        met = edges.join(scores, "token").groupBy("side", "context", "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("seed").isNotNull()).alias("seeds"), F.first("degree").alias("degree"))
-        patterns = stored(met.where(F.col("seeds") >= support).select("side", "context", "kind", ((F.col("mass")) / (F.col("degree") + 0.5)).alias("confidence")), f"scores{turn}")
-        unseen = edges.where("seed is null").join(patterns, ["side", "context"]).where(_alike(F.col("kind"), F.col("token")))
-        # noisy or over the patterns an instance is met in
-        met_in = unseen.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(1e-6), 1 - F.col("confidence")))))).alias("score"))
-        scores = edges.where("seed is not null").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct().union(met_in)
+        judged = evidence.groupBy(*p, "kind").agg(F.sum("mass").alias("mass"), F.sum("strong").alias("strong"), F.first("degree").alias("degree")).where(F.col("strong") >= support)
+        patterns = stored(judged.select(*p, "kind", (F.col("mass") / (F.col("degree") + 0.5)).alias("confidence")), f"scores{turn}")
+        if turn == rounds - 1:
+            break
+        met = unseen.join(patterns, p).where(_alike(F.col("kind"), F.col("token")))
+        # by view: what the words say of a token, and what its form says
+        told = stored(met.groupBy("token", "kind", (~F.col("side").isin(*OWN)).alias("of_form")).agg(F.max("confidence").alias("score")), f"told{turn}")
+        met = unseen.withColumn("of_form", F.col("side").isin(*OWN)).join(told, ["token", "of_form"])
+        gained = met.groupBy(*p, "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= confidence).alias("strong"), F.first("degree").alias("degree"))
+        evidence = seeds.unionByName(gained)
     return patterns.where(F.col("confidence") >= confidence)
 
 
-def find_private(docs: DataFrame, rounds: int = 3, confidence: float = 0.8, support: int = 3, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
+def named_places(candidates: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(tkey, start, stop, kind): tokens that are no base match and stand in a trusted pattern, of its surest kind."""
+    at = candidates.where("seed is null or seed = 'secret'").select("tkey", "start", "stop", "token", F.inline("patterns"))
+    met = at.join(trusted, ["side", "context"]).where(_alike(F.col("kind"), F.col("token")))
+    return met.groupBy("tkey", "start", "stop").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+
+
+def _beside(places: DataFrame, base: DataFrame) -> DataFrame:
+    """The places that meet no base span of their text, by one pass over a text's spans in order."""
+    spans = base.join(places.select("tkey").distinct(), "tkey", "left_semi").select("tkey", F.inline("base").alias("kind", "start", "stop"), F.lit(False).alias("new"))
+    every = spans.unionByName(places.withColumn("new", F.lit(True)))
+    in_order = Window.partitionBy("tkey").orderBy("start", "new")
+    reached = F.max(F.when(~F.col("new"), F.col("stop"))).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.min(F.when(~F.col("new"), F.col("start"))).over(in_order.rowsBetween(1, Window.unboundedFollowing))
+    free = (F.coalesce(reached, F.lit(0)) <= F.col("start")) & (F.coalesce(ahead, F.col("stop")) >= F.col("stop"))
+    return every.withColumn("free", free).where("new and free").select("tkey", "kind", "start", "stop")
+
+
+def find_private(docs: DataFrame, rounds: int = 3, confidence: float = 0.75, support: int = 5, names: tuple[str, str] = ("base_spans", "spans")) -> DataFrame:
     """docs with the columns `names`: base spans, and all spans (base and discovered, by kind as listed, then start)."""
     base, spans = names
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.drop(base, spans, "__tkey").withColumn("__tkey", F.xxhash64(text)).withColumn(base, base_spans(text))
-    texts = docs.select(text.alias("text")).where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("tkey"), "text")
-    candidates = stored(_candidates(texts).distinct(), "identifiers")
-    trusted = bootstrap(candidates, rounds, confidence, support)
-    at = candidates.where(_kind_of(F.col("token")).isNull())
-    found = None
-    for side in ("left", "right"):
-        of = at.withColumn("context", F.col(side)).join(trusted.where(F.col("side") == side).drop("side"), "context")
-        of = of.where(_alike(F.col("kind"), F.col("token"))).select("tkey", "kind", "start", "stop", "confidence")
-        found = of if found is None else found.union(of)
-    # one kind for each place, the surest
-    best = found.groupBy("tkey", "start", "stop").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    added = best.groupBy(F.col("tkey").alias("__tkey")).agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).cast(SPAN).alias("__added"))
+    texts = stored(located(docs), "located")
+    candidates = stored(candidates_of(texts), "identifiers")
+    fresh = _beside(named_places(candidates, bootstrap(candidates, rounds, confidence, support)), texts)
+    added = fresh.groupBy("tkey").agg(F.collect_list(F.struct("kind", F.col("start").cast("int").alias("start"), F.col("stop").cast("int").alias("stop"))).cast(SPAN).alias("added"))
+    every = F.concat("base", F.coalesce("added", F.array().cast(SPAN)))
+    all_ = F.concat(*[F.array_sort(of_kind(every, k)) for k in ALL_KINDS])
+    private = texts.join(added, "tkey", "left").select(F.col("tkey").alias("__key"), F.col("base").alias("__base"), all_.alias("__all")).where("size(__all) > 0")
     # stored, so that the join has plain shuffles on both sides and the rows of a text with many copies can be split
-    joined = keyed.join(stored(added, "added"), "__tkey", "left")
-    fresh = F.filter(F.coalesce("__added", F.array().cast(SPAN)), lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    every = F.concat(base, fresh)
-    return joined.withColumn(spans, F.concat(*[F.array_sort(of_kind(every, k)) for k in KINDS])).drop("__tkey", "__added")
+    private = stored(private, "private")
+    keyed = docs.drop(base, spans).withColumn("__tkey", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    joined = keyed.join(private, F.col("__tkey") == F.col("__key"), "left")
+    none = F.array().cast(SPAN)
+    return joined.withColumns({base: F.coalesce("__base", none), spans: F.coalesce("__all", none)}).drop("__tkey", "__key", "__base", "__all")
 
 
 def as_text(spans: Column) -> Column:
@@ -188,7 +251,7 @@ def masked(docs: DataFrame) -> DataFrame:
     Overlapping spans are masked as one, named after the first.  n_chars, where there is one, follows the text.
     """
     text = F.col("text").cast("string")
-    found = find_private(docs, names=("__base", "__spans"))
+    found = find_private(docs, names=("__first", "__spans"))
     ordered = F.array_sort(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("out"))
 
