@@ -6,6 +6,8 @@ later success), `events` for the log of attempts (an error event is a failed att
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from .functions import engine, ids, outcomes
 from .operators import records, resume, telemetry
 from .plans.calls import Policy, call_rows
-from .streaming import control
+from .sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -109,15 +111,13 @@ def shard_partition_check(spark, sf_dir):
 
 @query("""SELECT doc_id, 'docs:train:' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 9, '0') AS id FROM documents""")
 def index_ids(spark, sf_dir):
-    rows = resume.by_position(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
-    return rows.select("doc_id", ids.index_id(F.col("pos"), "docs", None, "train").alias("id"))
+    return tables.table_rows(spark, f"{sf_dir}/documents.parquet", columns=["doc_id"], index_parts=("docs", None, "train")).select("doc_id", "id")
 
 
 @query("""SELECT doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents)
 WHERE pos < 300 AND ('0x' || substr(sha1('train:' || lpad(pos::VARCHAR, 9, '0')), 1, 16))::UBIGINT % 3 = 1""")
 def limit_then_shard(spark, sf_dir):
-    rows = resume.by_position(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").where("pos < 300")
-    return ids.shard_select(rows.withColumn("id", ids.index_id(F.col("pos"), "train")), 1, 3).select("doc_id")
+    return tables.table_rows(spark, f"{sf_dir}/documents.parquet", columns=["doc_id"], index_parts=("train",), limit=300, shard=(1, 3)).select("doc_id")
 
 
 @query("""SELECT page_id, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://', '') AS id FROM pages""")
@@ -213,10 +213,15 @@ def run_stats_retry(spark, sf_dir):
     return resume.resume_counts(_halved(spark, sf_dir), stored(spark, sf_dir), retry_errors=True)
 
 
-@query("""SELECT count(*) AS rows_total, 0::BIGINT AS unaccounted FROM documents""")
+@query(f"""WITH {STORED}, r AS (SELECT (doc_id // 2)::VARCHAR AS id FROM documents)
+SELECT count(*) AS rows_total, count(*) FILTER (k.id IS NULL) - count(DISTINCT r.id) FILTER (k.id IS NULL) AS rows_deduped, count(DISTINCT r.id) FILTER (k.id IS NULL) AS rows_left, 0::BIGINT AS unaccounted
+FROM r LEFT JOIN (SELECT DISTINCT id FROM stored) k USING (id)""")
 def stats_reconcile(spark, sf_dir):
-    c = resume.resume_counts(_halved(spark, sf_dir), stored(spark, sf_dir))
-    return c.select("rows_total", (F.col("rows_total") - F.col("rows_done_prior") - F.col("rows_deduped") - F.col("rows_to_do")).alias("unaccounted"))
+    """The counts of a run against the rows that its resume join really leaves."""
+    rows, prior = _halved(spark, sf_dir), stored(spark, sf_dir)
+    left = resume.skip_done(rows, prior, "doc_id").agg(F.count("*").alias("rows_left"))
+    both = resume.resume_counts(rows, prior).crossJoin(left)  # one row each
+    return both.select("rows_total", "rows_deduped", "rows_left", (F.col("rows_total") - F.col("rows_done_prior") - F.col("rows_deduped") - F.col("rows_left")).alias("unaccounted"))
 
 
 @query(f"""WITH {STORED} SELECT id, out, NULL::VARCHAR AS note FROM stored WHERE part LIKE '%aaaaaaaa%' UNION ALL BY NAME SELECT id, 'n' || pos AS note, NULL::VARCHAR AS out FROM stored WHERE part LIKE '%bbbbbbbb%'""")
@@ -305,13 +310,12 @@ def classify_status(spark, sf_dir):
     return e.select("event_id", "status", outcomes.classify(F.col("status"), F.col("ra"), F.col("props")).alias("o")).select("event_id", "status", "o.*")
 
 
-@query("""SELECT event_id, least(power(2, event_id % 9), 60)::DOUBLE AS next_delay, least(power(2, event_id % 9) / 2, 60)::DOUBLE * value / 1000 AS wait FROM events WHERE event_id % 9 > 0""")
+@query("""SELECT event_id, least(power(2, event_id % 9), 60)::DOUBLE AS next_delay, least(power(2, event_id % 9) / 2, 60)::DOUBLE * (value / 1000) AS wait FROM events WHERE event_id % 9 > 0""")
 def retry_ladder_wait(spark, sf_dir):
     e = table(spark, sf_dir, "events").where(F.col("event_id") % 9 > 0)
     delay = F.least(F.pow(F.lit(2.0), F.col("event_id") % 9) / 2, F.lit(60.0))
     # the dice come from the table, so that the ladder repeats
-    stepped = outcomes.next_wait(F.lit(1.0) * delay, F.lit(None).cast("double"), F.lit(0.0))
-    return e.select("event_id", stepped["next_delay"].alias("next_delay"), (delay * F.col("value") / 1000).alias("wait"))
+    return e.select("event_id", outcomes.next_wait(delay, F.lit(None).cast("double"), F.col("value") / 1000).alias("x")).select("event_id", "x.next_delay", "x.wait")
 
 
 @query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN (event_id % 100)::DOUBLE END AS seconds FROM events""")
@@ -482,8 +486,7 @@ def bound_by_counts(spark, sf_dir):
 
 @query(f"WITH {_TICKS} SELECT bool_or(bound_by IN ('source', 'prep', 'sink') AND inflight < 0.5 * lim) AS input_bound FROM judged")
 def input_bound_any(spark, sf_dir):
-    starved = F.col("bound_by").isin("source", "prep", "sink") & (F.col("inflight") < 0.5 * F.col("lim"))
-    return _judged(spark, sf_dir).agg(F.bool_or(starved).alias("input_bound"))
+    return _judged(spark, sf_dir).agg(F.bool_or(telemetry.starved(F.col("bound_by"), F.col("inflight"), F.col("lim"))).alias("input_bound"))
 
 
 @query(f"""WITH {HOURS} SELECT reason, count(*) AS n FROM (SELECT CASE t % 4 WHEN 0 THEN 'cut:bp' WHEN 1 THEN 'hold' WHEN 2 THEN 'cut:queue' ELSE 'trial:up' END AS reason FROM ticks) WHERE reason LIKE 'cut:%' GROUP BY 1""")
@@ -515,41 +518,39 @@ def advise_input(spark, sf_dir):
 
 @query(f"""WITH {HOURS} SELECT count(*) AS ticks, max(tokens) AS max_tokens, round(avg(tokens), 6) AS mean_tokens, (arg_max(tokens, t) - arg_min(tokens, t))::BIGINT AS change, max(ok) AS max_ok FROM ticks""")
 def telemetry_rollup(spark, sf_dir):
-    h = hours(spark, sf_dir)
-    return h.agg(F.count("*").alias("ticks"), F.max("tokens").alias("max_tokens"), F.round(F.avg("tokens"), 6).alias("mean_tokens"), (F.max_by("tokens", "t") - F.min_by("tokens", "t")).alias("change"), F.max("ok").alias("max_ok"))
+    return telemetry.rollup(hours(spark, sf_dir))
 
 
-@query("""WITH r AS (SELECT user_id % 10 AS cell, CASE event_type WHEN 'click' THEN 'auto' ELSE event_type END AS arm, value FROM events WHERE event_type <> 'error'),
-m AS (SELECT cell, arm, median(value) AS med FROM r GROUP BY 1, 2)
-SELECT a.cell, round(a.med / max(b.med), 9) AS score FROM m a JOIN m b ON a.cell = b.cell AND b.arm <> 'auto' WHERE a.arm = 'auto' GROUP BY a.cell, a.med""")
+@query("""WITH r AS (SELECT user_id % 10 AS cell, CASE event_type WHEN 'click' THEN 'auto' WHEN 'purchase' THEN 'warmup' ELSE event_type END AS arm, value AS rate, event_id % 9 = 4 AS failed, event_id % 7 <> 2 AS every FROM events),
+m AS (SELECT cell, arm, median(rate) FILTER (NOT failed AND every AND rate > 0) AS med, count(*) FILTER (failed OR NOT every OR rate <= 0) AS dropped FROM r WHERE arm <> 'warmup' GROUP BY 1, 2)
+SELECT cell, round(max(med) FILTER (arm = 'auto') / max(med) FILTER (arm <> 'auto'), 9) AS score, sum(dropped)::BIGINT AS dropped FROM m GROUP BY cell""")
 def matrix_score(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_type <> 'error'")
-    r = e.select((F.col("user_id") % 10).alias("cell"), F.when(F.col("event_type") == "click", "auto").otherwise(F.col("event_type")).alias("arm"), "value")
-    m = r.groupBy("cell", "arm").agg(F.median("value").alias("med"))
-    best = m.groupBy("cell").agg(F.max(F.when(F.col("arm") == "auto", F.col("med"))).alias("auto"), F.max(F.when(F.col("arm") != "auto", F.col("med"))).alias("fixed"))
-    return best.where("auto is not null and fixed is not null").select("cell", F.round(F.col("auto") / F.col("fixed"), 9).alias("score"))
+    e = table(spark, sf_dir, "events")
+    arm = F.when(F.col("event_type") == "click", "auto").when(F.col("event_type") == "purchase", "warmup").otherwise(F.col("event_type"))
+    failed, ok = (F.col("event_id") % 9 == 4).cast("long"), F.when(F.col("event_id") % 7 == 2, 99).otherwise(100)
+    runs = e.select((F.col("user_id") % 10).alias("cell"), arm.alias("arm"), F.col("value").alias("rate"), ok.alias("ok"), failed.alias("failed"), F.lit(100).alias("rows"))
+    return telemetry.window_scores(runs).withColumn("score", F.round("score", 9))
 
 
 @query("""SELECT lang, median(n_chars)::DOUBLE AS median, quantile_cont(n_chars, 0.9)::DOUBLE AS p90 FROM documents GROUP BY lang""")
 def bench_statistics(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.median("n_chars").alias("median"), F.percentile("n_chars", F.lit(0.9)).alias("p90"))
+    return telemetry.spread(table(spark, sf_dir, "documents"), "lang", "n_chars")
 
 
 @query(f"""WITH {ATTEMPTS} SELECT lane, round(sum(tokens) / 60.0::DOUBLE, 1) AS tokens_per_s FROM attempts GROUP BY lane""")
 def tokens_per_sec(spark, sf_dir):
-    return attempts(spark, sf_dir).groupBy("lane").agg(F.round(F.try_divide(F.sum("tokens"), F.lit(60.0)), 1).alias("tokens_per_s"))
+    return telemetry.token_rate(attempts(spark, sf_dir), "lane", 60)
 
 
-@query(f"""WITH {HOURS} SELECT t, (sum(2) OVER (ORDER BY t))::BIGINT AS clock_s FROM ticks""")
+@query(f"""WITH {HOURS} SELECT t, (sum(2) OVER (ORDER BY t))::DOUBLE AS clock_s FROM ticks""")
 def running_clock(spark, sf_dir):
-    return hours(spark, sf_dir).select("t", F.sum(F.lit(2)).over(Window.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)).alias("clock_s"))
+    return telemetry.running_clock(hours(spark, sf_dir), "t", 2.0).select("t", "clock_s")
 
 
 @query(f"""WITH {ATTEMPTS}, o AS (SELECT lane, event_id, at_us, lead(at_us) OVER (PARTITION BY lane ORDER BY event_id) AS done FROM attempts)
 SELECT lane, max(1706745600000000 - at_us) // 1000000 AS oldest_s FROM o WHERE done IS NULL GROUP BY lane""")
 def oldest_inflight(spark, sf_dir):
-    done = F.lead("at").over(Window.partitionBy("lane").orderBy("event_id"))
-    return attempts(spark, sf_dir).withColumn("done", done).where("done is null").groupBy("lane").agg(F.floor(F.max(F.lit(1706745600000000) - F.col("at")) / 1000000).cast("long").alias("oldest_s"))
+    return telemetry.oldest_open(attempts(spark, sf_dir), "lane", "event_id", "at", 1706745600000000)
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 = 0 OR value = 0 THEN 30.0 ELSE least(value, 30.0) END::DOUBLE AS capped, CASE WHEN event_id % 5 <> 0 AND value <> 0 THEN value + 30.0 + 1800.0 END::DOUBLE AS total FROM events""")
@@ -595,14 +596,98 @@ def fanout_by_rank(spark, sf_dir):
     return each.groupBy("rank").agg(F.count("*").alias("left_to_do"))
 
 
-# ---- runs with state: rows only --------------------------------------------------------------------------------
+# ---- more of rows, engines and windows --------------------------------------------------------------------------
 
 
-@query(None)
-def controller_replay(spark, sf_dir):
-    h = hours(spark, sf_dir)
-    lanes = h.select(F.floor(F.col("t") / 120).alias("lane"), "t", "ok", "bp", (F.col("ok") + F.col("bp") + 50).alias("inflight"), (F.col("tokens") % 20).alias("waiting"), F.lit(None).cast("double").alias("latency_s"), F.lit(False).alias("input_bound"))
-    return control.replay(lanes)
+@query("""SELECT 'batch-' || lpad((pos // 50)::VARCHAR, 5, '0') AS id, count(*) AS n, list(lang ORDER BY pos) AS items
+FROM (SELECT lang, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) GROUP BY pos // 50""")
+def request_batches(spark, sf_dir):
+    rows = resume.by_position(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
+    return records.batched(rows, "pos", "lang", 50)
+
+
+@query("""SELECT 'run-' || i AS id, '[run] Summarise in one sentence (item ' || i || '): ' || array_to_string(list_transform(range(6), lambda j: ['red', 'blue', 'green', 'grey', 'pink'][(i * 7 + j * 3) % 5 + 1]), ' ') AS text FROM (SELECT event_id AS i FROM events)""")
+def prompt_templates(spark, sf_dir):
+    return records.template_rows(table(spark, sf_dir, "events"), "event_id", "run", ("red", "blue", "green", "grey", "pink"), 6).select("id", "text")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN (event_id % 50)::DOUBLE WHEN 1 THEN greatest(epoch_us(date_trunc('second', ts)) // 1000000 - 1706000000, 0)::DOUBLE END AS seconds FROM events""")
+def retry_after_dates(spark, sf_dir):
+    n = F.col("event_id") % 3
+    date = F.concat(F.date_format(F.col("ts").cast("timestamp_ntz"), "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
+    text = F.when(n == 0, (F.col("event_id") % 50).cast("string")).when(n == 1, date).otherwise("Tomorrow, 01 Jan")
+    return table(spark, sf_dir, "events").select("event_id", outcomes.retry_after_seconds(text, F.lit(1706000000)).alias("seconds"))
+
+
+@query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN 2 * k WHEN 1 THEN k + 1 WHEN 3 THEN k END AS requests FROM (SELECT event_id, (props->>'$.k')::BIGINT + 1 AS k FROM events)""")
+def rank_capacity_sum(spark, sf_dir):
+    k, n = (F.get_json_object("props", "$.k").cast("long") + 1).cast("string"), F.col("event_id") % 5
+    rank = lambda x: F.concat(F.lit('{"num_running_reqs":3,"max_running_requests":'), x, F.lit("}"))
+    body = (
+        F.when(n == 0, F.concat(F.lit('{"loads":['), rank(k), F.lit(","), rank(k), F.lit("]}")))
+        .when(n == 1, F.concat(F.lit("["), rank(k), F.lit(","), rank(F.lit("1")), F.lit("]")))
+        .when(n == 2, F.concat(F.lit("["), rank(k), F.lit(","), rank(F.lit("true")), F.lit("]")))
+        .when(n == 3, rank(k))
+        .otherwise(F.lit('{"loads":[]}'))
+    )
+    return table(spark, sf_dir, "events").select("event_id", engine.capacity(F.lit("/v1/loads"), body)["requests"].alias("requests"))
+
+
+@query("""SELECT c_custkey, greatest(2, least(CASE WHEN c % 3 = 0 THEN 512 ELSE least(512, g - greatest(1, g // 8)) END, n))::BIGINT AS clamped,
+  greatest(3 * t, CASE WHEN c % 4 > 0 THEN 3 * (c % 5) / 2.0 ELSE 0 END)::DOUBLE AS patience, CASE WHEN b = 0 THEN 'Infinity'::DOUBLE ELSE a / b END AS ratio, (c + 2 * (c % 5) * greatest(1.0, w))::DOUBLE AS settled
+FROM (SELECT c_custkey, c_custkey AS c, c_custkey % 900 AS n, 1 + c_custkey % 300 AS g, 1 + c_custkey % 2 AS t, (c_custkey % 11)::DOUBLE AS a, (c_custkey % 6)::DOUBLE AS b, (c_custkey % 4 / 2.0)::DOUBLE AS w FROM customer)""")
+def window_bounds(spark, sf_dir):
+    c = F.col("c_custkey")
+    ceiling, latency = F.when(c % 3 != 0, 1 + c % 300), F.when(c % 4 > 0, c % 5 / F.lit(2.0))
+    ratio = engine.throughput_ratio(F.when(c % 2 == 0, c % 11).cast("double"), (c % 11).cast("double"), (c % 6).cast("double"), (c % 6).cast("double"))
+    return table(spark, sf_dir, "customer").select(
+        "c_custkey", engine.clamped(c % 900, ceiling).alias("clamped"), engine.patience((1 + c % 2).cast("double"), latency).alias("patience"),
+        ratio.alias("ratio"), engine.settled_by(c.cast("double"), (c % 5).cast("double"), c % 4 / F.lit(2.0)).alias("settled"),
+    )
+
+
+@query(f"""WITH {_TICKS}, a AS (SELECT count(*) AS n, count(*) FILTER (bound_by = 'prep') AS p, count(*) FILTER (bound_by = 'source') AS s, count(*) FILTER (bound_by = 'loop') AS l,
+  sum(prep) AS sp, sum(ok + bp) AS rows_, sum(source) AS ss, sum(lag) AS sl, max(t) AS t FROM judged)
+SELECT 'PREP-BOUND: prep is still the bottleneck at 4 workers (' || round_even(1000 * sp / greatest(1, rows_), 0)::BIGINT || ' ms/row): raise prepare_workers, or move the work to prepare_ahead with a process pool' AS hint FROM a WHERE n >= 3 AND p / n::DOUBLE >= 0.3
+UNION ALL SELECT 'SOURCE-BOUND: the source took ' || round_even(1000 * ss / greatest(1, rows_), 0)::BIGINT || ' ms/row; prefetch it (prepare_ahead / bucket_rows(prefetch=)), select fewer columns, or shard the input' FROM a WHERE n >= 3 AND s / n::DOUBLE >= 0.3
+UNION ALL SELECT 'LOOP-BOUND: the event loop was blocked ' || least(100, round_even(100 * sl / greatest(t, 1e-9), 0)::BIGINT) || '% of the run (parse, and any to_request share under the prep threshold); keep parse cheap and move to_request work off the loop' FROM a WHERE n >= 3 AND l / n::DOUBLE >= 0.3""")
+def input_hints(spark, sf_dir):
+    j = _judged(spark, sf_dir)
+    advice = telemetry.advise_input(j.select("t", "ok", "bp", "bound_by", F.col("prep").alias("prep_s"), F.col("source").alias("source_s"), F.col("lag").alias("loop_lag_s"), (F.col("ok") + F.col("bp")).alias("prep_n")))
+    return telemetry.input_hints(advice, 4)
+
+
+@query("""SELECT n_name, substr(sha1('bytes-v1:[["n_comment"]]' || chr(10) || '{"n_comment": "' || sha1(n_comment) || '", "n_name": ' || to_json(n_name)::VARCHAR || ', "n_nationkey": ' || n_nationkey || ', "share": ' || (n_nationkey / 4.0::DOUBLE)::VARCHAR || '}'), 1, 16) AS id
+FROM (SELECT *, n_name || ' bytes' AS n_comment FROM nation)""")
+def bytes_ids(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select("n_name", "n_nationkey", F.encode(F.concat("n_name", F.lit(" bytes")), "UTF-8").alias("n_comment"), (F.col("n_nationkey") / F.lit(4.0)).alias("share"))
+    return ids.with_id(n).select("n_name", "id")
+
+
+@query(f"""WITH {HOURS} SELECT count(*) AS ticks, sum(ok)::BIGINT AS ok, sum(bp)::BIGINT AS bp, max(t)::DOUBLE AS last FROM ticks""")
+def telemetry_scan(spark, sf_dir):
+    """Ticks written as a run writes them, then read back."""
+    from .sources import telemetry as ticks
+
+    # the file of a run is written by one task; here the table of ticks stands for many runs
+    folder = f"{scratch(spark)}/{ticks.SIDE}/telemetry"
+    lines = hours(spark, sf_dir).select(F.to_json(F.struct(F.col("t").cast("double").alias("t"), "ok", "bp", F.lit("hold").alias("reason"))).alias("value"))
+    lines.repartition(3).write.text(folder)
+    names = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = names.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, f in enumerate(x for x in fs.listStatus(names) if x.getPath().getName().startswith("part-")):
+        fs.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"telemetry-shard{i}-1.jsonl"))
+    return ticks.read_ticks(spark, folder.rsplit("/", 2)[0]).agg(F.count("*").alias("ticks"), F.sum("ok").alias("ok"), F.sum("bp").alias("bp"), F.max("t").alias("last"))
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one for a local master."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return f"{folder.rstrip('/')}/{uuid.uuid4().hex[:12]}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/run"
 
 
 @query("""SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 11 = 3 THEN 'http 400: refused' WHEN doc_id % 11 = 4 THEN 'client: ValueError: no reply' END AS error,

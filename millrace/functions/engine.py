@@ -81,25 +81,30 @@ def capacity(path: Column, body: Column) -> Column:
     v = F.try_parse_json(body)
     has = lambda key: F.try_variant_get(v, f"$.{key}", "variant").isNotNull()
 
-    def count(key: str) -> Column:
-        x = F.try_variant_get(v, f"$.{key}", "variant")
+    def count(of: Column, key: str) -> Column:
+        x = F.try_variant_get(of, f"$.{key}", "variant")
         n = F.try_variant_get(x, "$", "long")
         return F.when((F.schema_of_variant(x) == "BIGINT") & (n > 0), n)
 
-    def of(at: str, key: str, engine: str, queues: bool, *signature: str) -> tuple[Column, Column]:
-        n, there = count(key), path == at
+    def found(n: Column, engine: str, queues: bool) -> Column:
+        return F.struct(n.alias("requests"), F.lit(queues).alias("queues"), F.lit(engine).alias("engine"))
+
+    # an entry a rank, under loads, or the body itself, a list or one; their sum, if all are counts
+    entries = F.coalesce(F.try_variant_get(v, "$.loads", "array<variant>"), F.try_variant_get(v, "$", "array<variant>"), F.when(F.schema_of_variant(v).startswith("OBJECT"), F.array(v)))
+    ranks = F.transform(entries, lambda e: F.when(F.try_variant_get(e, "$.num_running_reqs", "variant").isNotNull(), count(e, "max_running_requests")))
+    all_ = F.when((F.size(ranks) > 0) & F.forall(ranks, lambda n: n.isNotNull()), F.aggregate(ranks, F.lit(0).cast("long"), lambda a, n: a + n))
+    out = F.when((path == "/v1/loads") & all_.isNotNull(), found(all_, "sglang", True))
+    # Where an engine says it, under which key, and the keys that its body has besides.
+    for at, key, engine, queues, *signature in (
+        ("/get_server_info", "max_running_requests", "sglang", True, "max_prefill_tokens"),
+        ("/props", "total_slots", "llamacpp", True, "default_generation_settings"),
+        ("/info", "max_concurrent_requests", "tei", False, "max_batch_tokens", "model_id"),
+        ("/server_info", "max_batch_size", "trtllm", True, "disaggregated_params"),
+    ):
+        there = (path == at) & count(v, key).isNotNull()
         for s in signature:
             there = there & has(s)
-        return there & n.isNotNull(), F.struct(n.alias("requests"), F.lit(queues).alias("queues"), F.lit(engine).alias("engine"))
-
-    out = F
-    for condition, value in (
-        of("/get_server_info", "max_running_requests", "sglang", True, "max_prefill_tokens"),
-        of("/props", "total_slots", "llamacpp", True, "default_generation_settings"),
-        of("/info", "max_concurrent_requests", "tei", False, "max_batch_tokens", "model_id"),
-        of("/server_info", "max_batch_size", "trtllm", True, "disaggregated_params"),
-    ):
-        out = out.when(condition, value)
+        out = out.when(there, found(count(v, key), engine, queues))
     return out
 
 
@@ -136,3 +141,25 @@ def start_window(requests: Column, queues: Column, lowest: int = 2, highest: int
     top = F.when(requests.isNotNull() & ~queues, F.least(F.lit(highest), requests)).otherwise(F.lit(highest))
     low = F.when(requests.isNotNull() & ~queues, F.least(F.lit(lowest), requests)).otherwise(F.lit(lowest))
     return F.least(top, F.greatest(low, start)).cast("long")
+
+
+def clamped(n: Column, ceiling: Column, lowest: int = 2, highest: int = 512) -> Column:
+    """A window within its bounds and under a ceiling where there is one; the lowest bound wins."""
+    top = F.when(ceiling.isNull(), F.lit(highest)).otherwise(F.least(F.lit(highest), below(ceiling)))
+    return F.greatest(F.lit(lowest), F.least(top, n)).cast("long")
+
+
+def patience(tick_s: Column, latency_s: Column, ticks: int = 3) -> Column:
+    """Seconds for which a full, silent window is borne: some ticks, or three times the latency if that is longer."""
+    return F.greatest(ticks * tick_s, 3 * latency_s)  # greatest leaves nulls out
+
+
+def throughput_ratio(tok_s: Column, rows_s: Column, other_tok_s: Column, other_rows_s: Column) -> Column:
+    """One reading over another, in tokens when both have them, else in rows; over nothing it is infinite."""
+    over = lambda a, b: F.when(b == 0, F.lit(float("inf"))).otherwise(F.try_divide(a, b))
+    return F.when(tok_s.isNotNull() & other_tok_s.isNotNull(), over(tok_s, other_tok_s)).otherwise(over(rows_s, other_rows_s))
+
+
+def settled_by(opened: Column, latency_s: Column, widened: Column) -> Column:
+    """When a trial window's own readings have arrived."""
+    return opened + 2 * latency_s * F.greatest(F.lit(1.0), widened)

@@ -22,9 +22,14 @@ def classify(status: Column, retry_after: Column, text: Column) -> Column:
     return F.struct((~lost).alias("retry"), (~lost & (~quota | retry_after.isNull())).alias("pressure"), (~lost & ~quota).alias("breaker_fail"), error.alias("error"))
 
 
-def retry_after_seconds(value: Column) -> Column:
-    """Delta seconds with at most one dot; anything else is null (dates need a clock)."""
-    return F.when(value.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), value.try_cast("double"))
+def retry_after_seconds(value: Column, now: Column | None = None) -> Column:
+    """Delta seconds with at most one dot, or an HTTP date less `now` (seconds since 1970); anything else is null."""
+    number = F.when(value.rlike(r"^(?:[0-9]+\.?[0-9]*|\.[0-9]+)$"), value.try_cast("double"))
+    if now is None:
+        return number
+    date = F.regexp_extract(value, r"^[A-Z][a-z]{2}, ([0-9]{2} [A-Z][a-z]{2} [0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}) GMT$", 1)
+    then = F.unix_seconds(F.try_to_timestamp(F.concat(date, F.lit(" +0000")), F.lit("dd MMM yyyy HH:mm:ss xx")))
+    return F.coalesce(number, F.when(then.isNotNull(), F.greatest(then - now, F.lit(0))).cast("double"))
 
 
 def next_wait(delay: Column, retry_after: Column, dice: Column) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import json_text
@@ -43,5 +45,20 @@ def first_rows_failed(records: DataFrame, position: str, n: int) -> bool:
     return n > 0 and head["n"] == n == head["e"]
 
 
-def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("__n = 1").drop("__n")
+def batched(rows: DataFrame, position: str, value: str, size: int) -> DataFrame:
+    """(id, n, items): the values of each batch of `size` rows in order, as the items of one request; the last may be short."""
+    batch = F.floor(F.col(position) / size).cast("long")
+    grouped = rows.groupBy(batch.alias("b")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(F.col(position).alias("p"), F.col(value).alias("v")))).alias("x"))
+    return grouped.select(F.concat(F.lit("batch-"), F.format_string("%05d", "b")).alias("id"), "n", F.transform("x", lambda x: x["v"]).alias("items"))
+
+
+def template_rows(rows: DataFrame, index: str, run: str, words: Sequence[str], length: int) -> DataFrame:
+    """(id, seed, text) of a synthetic prompt per row: the run's tag, the row's number and words chosen by it.
+
+    The tag leads every text and seeds every row, so no run meets another's cached prefix.
+    """
+    i, bag = F.col(index), F.array(*map(F.lit, words))
+    name = F.concat(F.lit(f"{run}-"), i.cast("string"))
+    chosen = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: F.element_at(bag, ((i * 7 + j * 3) % len(words) + 1).cast("int")))
+    text = F.concat(F.lit(f"[{run}] Summarise in one sentence (item "), i.cast("string"), F.lit("): "), F.array_join(chosen, " "))
+    return rows.select(name.alias("id"), F.crc32(F.encode(name, "UTF-8")).alias("seed"), text.alias("text"))

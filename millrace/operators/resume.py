@@ -7,6 +7,7 @@ null error is a success.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,15 +80,16 @@ def output_audit(records: DataFrame) -> DataFrame:
     return per.agg(F.sum("n").alias("records"), F.count("*").alias("unique_ids"), F.count_if(F.col("n") > 1).alias("repeated_ids"), F.sum("e").alias("errors"))
 
 
-def by_position(rows: DataFrame, column: str, name: str = "pos", buckets: int = 64) -> DataFrame:
+def by_position(rows: DataFrame, column: str, name: str = "pos", buckets: int | None = None) -> DataFrame:
     """rows with their 0-based position in the order of a column of distinct whole numbers.
 
-    Range buckets are counted and summed, so no task sorts more than a bucket.
+    Buckets between approximate quantiles (as many as shuffle partitions, 5,000 at most, whatever the rows) are counted
+    and summed, so no task sorts more than a bucket; the quantiles are all that the driver sees.
     """
-    bounds = rows.agg(F.min(column).alias("lo"), F.max(column).alias("hi"))
-    width = F.greatest((F.col("hi") - F.col("lo") + 1) / buckets, F.lit(1e-9))
-    cut = rows.crossJoin(F.broadcast(bounds)).withColumn("__b", F.floor((F.col(column) - F.col("lo")) / width)).drop("lo", "hi")
+    n = min(buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 5000)
+    cuts = sorted(set(rows.stat.approxQuantile(column, [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
+    cut = Bucketizer(splits=[float("-inf"), *(cuts or [0.0]), float("inf")], inputCol="__at", outputCol="__b").transform(rows.withColumn("__at", F.col(column).cast("double"))).drop("__at")
     sizes = cut.groupBy("__b").agg(F.count("*").alias("__n"))
     ahead = sizes.withColumn("__ahead", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     within = F.row_number().over(Window.partitionBy("__b").orderBy(column)) - 1
-    return cut.join(F.broadcast(ahead), "__b").withColumn(name, (F.col("__ahead") + within).cast("long")).drop("__b", "__ahead")
+    return cut.join(F.broadcast(ahead), "__b").withColumn(name, (F.col("__ahead") + within).cast("long")).drop("__b", "__ahead")  # a row a bucket

@@ -120,6 +120,17 @@ def advise_input(of: DataFrame) -> DataFrame:
     return of.agg(F.when(seen & (share("prep") >= 0.3), prep).alias("prep_ms"), F.when(seen & (share("source") >= 0.3), source).alias("source_ms"), F.when(seen & (share("loop") >= 0.3), loop).alias("loop_pct"))
 
 
+def input_hints(advice: DataFrame, prepare_workers: int = 0) -> DataFrame:
+    """(hint): what advise_input found, in words; a row for each stage that bound the run."""
+    # The texts that are shown.
+    many = f"PREP-BOUND: prep is still the bottleneck at {prepare_workers} workers (%d ms/row): raise prepare_workers, or move the work to prepare_ahead with a process pool"
+    few = "PREP-BOUND: to_request took %d ms/row on average; if it releases the GIL (Pillow, ffmpeg, I/O) set pump(prepare_workers=4), otherwise prepare rows ahead of the pump with prepare_ahead(rows, fn, executor=ProcessPoolExecutor())"
+    source = "SOURCE-BOUND: the source took %d ms/row; prefetch it (prepare_ahead / bucket_rows(prefetch=)), select fewer columns, or shard the input"
+    loop = "LOOP-BOUND: the event loop was blocked %d%% of the run (parse, and any to_request share under the prep threshold); keep parse cheap and move to_request work off the loop"
+    said = [F.when(F.col(c).isNotNull(), F.format_string(text, c)) for c, text in (("prep_ms", many if prepare_workers >= 4 else few), ("source_ms", source), ("loop_pct", loop))]
+    return advice.select(F.explode(F.array_compact(F.array(*said))).alias("hint"))
+
+
 def silent_seconds(of: DataFrame, order: str, lane: str, seconds: float) -> DataFrame:
     """ticks (ok, inflight, lim) with the seconds so far in which a full window completed nothing."""
     w = Window.partitionBy(lane).orderBy(order)
@@ -140,3 +151,46 @@ def recounted(processed: Column, failed: Column, demoted: Column) -> Column:
     """struct(processed, failed) after rows that a flush turned into errors; at most those that were processed."""
     moved = F.least(demoted, processed)
     return F.struct((processed - moved).alias("processed"), (failed + moved).alias("failed"))
+
+
+def token_rate(attempts: DataFrame, key: str, seconds: float, tokens: str = "tokens") -> DataFrame:
+    """(key, tokens_per_s) to one place."""
+    return attempts.groupBy(key).agg(F.round(F.try_divide(F.sum(tokens), F.lit(float(seconds))), 1).alias("tokens_per_s"))
+
+
+def spread(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, median, p90), interpolated."""
+    return rows.groupBy(key).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.9)).alias("p90"))
+
+
+def window_scores(runs: DataFrame) -> DataFrame:
+    """(cell, score, dropped): the self-tuned window's median rate over the best fixed window's, in runs that are complete.
+
+    runs: cell, arm (auto, warmup or a fixed window), rate, ok, failed, rows.  Warm-ups do not count; runs with
+    failures, missing rows or no rate are dropped and counted.  A cell without both sides has no score.
+    """
+    tried = runs.where("arm <> 'warmup'").withColumn("whole", F.expr("failed = 0 and ok = rows and rate > 0"))
+    arms = tried.groupBy("cell", "arm").agg(F.median(F.when(F.col("whole"), F.col("rate"))).alias("rate"), F.count_if(~F.col("whole")).alias("dropped"))
+    auto, fixed = F.max(F.when(F.col("arm") == "auto", F.col("rate"))), F.max(F.when(F.col("arm") != "auto", F.col("rate")))
+    return arms.groupBy("cell").agg(F.try_divide(auto, fixed).alias("score"), F.sum("dropped").alias("dropped"))
+
+
+def running_clock(of: DataFrame, order: str, seconds: float) -> DataFrame:
+    """ticks with clock_s, the seconds that they add up to; ticks of one run, whose number is small."""
+    return of.withColumn("clock_s", F.sum(F.lit(seconds)).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def oldest_open(attempts: DataFrame, lane: str, order: str, at: str, now: int) -> DataFrame:
+    """(lane, oldest_s): the age of each lane's oldest attempt that no later one has followed, in whole seconds."""
+    done = F.lead(at).over(Window.partitionBy(lane).orderBy(order))
+    return attempts.withColumn("__done", done).where("__done is null").groupBy(lane).agg(F.floor(F.max(F.lit(now) - F.col(at)) / 1_000_000).cast("long").alias("oldest_s"))
+
+
+def rollup(of: DataFrame, t: str = "t", tokens: str = "tokens", ok: str = "ok") -> DataFrame:
+    """One row of a run's ticks: how many, most and mean tokens, their change from first to last, most successes."""
+    return of.agg(F.count("*").alias("ticks"), F.max(tokens).alias("max_tokens"), F.round(F.avg(tokens), 6).alias("mean_tokens"), (F.max_by(tokens, t) - F.min_by(tokens, t)).alias("change"), F.max(ok).alias("max_ok"))
+
+
+def starved(bound: Column, inflight: Column, limit: Column) -> Column:
+    """Whether the client side starved the endpoint: a client stage bound the tick with the window under half used."""
+    return bound.isin("source", "prep", "sink") & (inflight < 0.5 * limit)

@@ -64,6 +64,21 @@ class Policy:
         require("Policy", BOUNDS, asdict(self))
 
 
+@dataclass
+class Meter:
+    """What a task's calls have come to since the last tick; pressure counts once a row."""
+
+    ok: int = 0
+    pressure: int = 0
+    retries: int = 0
+    latency: float | None = None
+
+    def taken(self) -> Meter:
+        now = Meter(self.ok, self.pressure, self.retries, self.latency)
+        self.ok = self.pressure = self.retries = 0
+        return now
+
+
 class Breaker:
     """Holds calls back after a run of failures.  One caller then tries whether the server is back, the rest wait."""
 
@@ -106,23 +121,27 @@ def _alive(send: Callable, request: Request) -> bool:
     return True
 
 
-def attempt(send: Callable[[Request | dict], dict], asked: Request | dict, policy: Policy, breaker: Breaker, dice: random.Random) -> dict:
+def attempt(send: Callable[[Request | dict], dict], asked: Request | dict, policy: Policy, breaker: Breaker, dice: random.Random, meter: Meter | None = None) -> dict:
     """Send until it works or the attempts or the budget are used up; the error names the first failure too.
 
     Time at an open breaker is not taken from the budget.  A request with an open file is sent once.
     """
-    request, errors = as_request(asked), []
+    request, errors, meter, pressed = as_request(asked), [], meter or Meter(), False
     body = request if isinstance(asked, Request) else asked
     delay, end = policy.first_delay, time.monotonic() + policy.budget_s
-    for _ in range(policy.attempts):
+    for turn in range(policy.attempts):
+        meter.retries += turn > 0
         end += breaker.gate(lambda: _alive(send, request))
+        began = time.monotonic()
         try:
             reply = send(body)
             breaker.note(False)
+            meter.ok, meter.latency = meter.ok + 1, time.monotonic() - began
             return reply
         except Failed as e:
             breaker.note(e.breaker)
             errors.append(str(e))
+            pressed, meter.pressure = pressed or e.retry, meter.pressure + (e.retry and not pressed)
             pause = e.wait * dice.uniform(1, 1.2) if e.wait is not None else dice.uniform(0, delay)
             if not e.retry or not request.resendable or time.monotonic() + pause > end:
                 break
@@ -132,7 +151,7 @@ def attempt(send: Callable[[Request | dict], dict], asked: Request | dict, polic
     raise Failed(last if last == errors[0] else f"{last} (first attempt: {errors[0]})")
 
 
-def ended_calls(frames: Iterator[pd.DataFrame], to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy, tick_s: float = 0.2) -> Iterator[list[dict]]:
+def ended_calls(frames: Iterator[pd.DataFrame], to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy, tick_s: float = 0.2, meter: Meter | None = None) -> Iterator[list[dict]]:
     """Records of the calls that have ended, at least every tick_s seconds (then maybe none)."""
     empty, breaker, dice = dict.fromkeys(schema.fieldNames()), Breaker(policy.breaker, policy.probe_s, policy.open_s), random.Random()
 
@@ -143,7 +162,7 @@ def ended_calls(frames: Iterator[pd.DataFrame], to_request: Callable[[dict], dic
                 as_request(asked)
             except Exception as e:
                 raise Failed(f"client: {type(e).__name__}: {e}") from e
-            reply = attempt(send, asked, policy, breaker, dice)
+            reply = attempt(send, asked, policy, breaker, dice, meter)
             try:
                 out = parse(row, reply)
             except Exception as e:

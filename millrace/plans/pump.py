@@ -17,7 +17,7 @@ from ..functions import ids
 from ..operators import resume
 from ..settings import Bounds, require
 from ..sources.sinks import Sink, as_sink
-from .calls import Policy, call_rows, ended_calls
+from .calls import Meter, Policy, call_rows, ended_calls
 
 
 class RowsLost(RuntimeError):
@@ -46,19 +46,26 @@ class Stats:
 BOUNDS = (Bounds("fail_fast", whole=True, low=0), Bounds("partitions", whole=True, low=1, optional=True), Bounds("flush_rows", whole=True, low=1, optional=True))
 
 
-def call_and_store(todo: DataFrame, to_request: Callable, send: Callable, parse: Callable, sink: Sink, schema: T.StructType, policy: Policy) -> DataFrame:
+def call_and_store(todo: DataFrame, to_request: Callable, send: Callable, parse: Callable, sink: Sink, schema: T.StructType, policy: Policy, shard: int = 0, tick_s: float = 2.0) -> DataFrame:
     """(ok, failed) of each task that called its rows and stored their records, each soon after its call has ended."""
     lattice.check_declared(schema)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, ok, failed = sink.rows(schema), 0, 0
+        out, ok, failed, meter, began, seen = sink.rows(schema), 0, 0, Meter(), time.monotonic(), 0.0
+        log = sink.ticks(shard)
         try:
-            for records in ended_calls(frames, to_request, send, parse, schema, policy):
+            for records in ended_calls(frames, to_request, send, parse, schema, policy, meter=meter):
                 for _, error in out.add(records):
                     ok, failed = ok + (error is None), failed + (error is not None)
                 out.due()
+                now = time.monotonic() - began
+                if log and now - seen >= tick_s:
+                    m, seen = meter.taken(), now
+                    log.note({"t": round(now, 1), "limit": policy.window, "ok": m.ok, "bp": m.pressure, "retries": m.retries, "latency_s": m.latency, "reason": "hold"})
         finally:
             out.close()  # what has ended is kept, whatever ends the task
+            if log:
+                log.write()
         yield pd.DataFrame({"ok": [ok], "failed": [failed]})
 
     return todo.mapInPandas(run, "ok long, failed long")
@@ -90,7 +97,7 @@ def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[di
         todo = todo.join(first.select("id"), "id", "left_anti")
     if partitions:
         todo = todo.repartition(partitions, "id")
-    state = call_and_store(todo, to_request, send, parse, sink, schema, policy).agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed")).first()
+    state = call_and_store(todo, to_request, send, parse, sink, schema, policy, shard[0]).agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed")).first()
     ok, failed = ok + (state["ok"] or 0), failed + (state["failed"] or 0)
     stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, ok, failed, time.time() - began)
     if stats.rows_unaccounted:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import datetime
 import decimal
-import math
 from typing import Any
 
 from pyspark.sql import types as T
@@ -111,10 +110,3 @@ def check_declared(schema: T.StructType) -> None:
             raise ValueError(f"the output schema must have {name} as a string")
     if not all(f.nullable for f in schema.fields if f.name != "id"):
         raise ValueError("every column of the output schema but id must be nullable")
-
-
-def number(value: Any, name: str, lowest: float = 0.0) -> float:
-    """A setting as a finite number of at least `lowest`; booleans, NaN and text are refused."""
-    if isinstance(value, bool) or not isinstance(value, int | float) or not math.isfinite(value) or value < lowest:
-        raise ValueError(f"{name} must be a finite number of at least {lowest:g}, not {value!r}")
-    return float(value)

@@ -28,14 +28,14 @@ SIDE = "__millrace"
 FORMAT = "millrace_parts"
 
 
-def _filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
 
 
 def _publish(path: str, name: str, data: pa.Table, attempts: int = 4, pause: float = 1.0) -> None:
     """Write under a hidden name, then rename; a write that fails is tried again after 1, 2 and 4 seconds."""
     for turn in range(attempts):
-        fs, root = _filesystem(path)
+        fs, root = filesystem(path)
         hidden = f"{root}/.{name}.{uuid.uuid4().hex[:8]}"
         try:
             fs.create_dir(root, recursive=True)
@@ -121,7 +121,7 @@ def append(records: DataFrame, path: str, flush_rows: int = 1000) -> None:
 
 def finish(path: str, name: str, stats: dict) -> None:
     """The marker of a finished run, with its counts; written last."""
-    fs, root = _filesystem(f"{path}/{SIDE}/runs")
+    fs, root = filesystem(f"{path}/{SIDE}/runs")
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/{name}.done") as out:
         out.write(json.dumps(stats).encode())

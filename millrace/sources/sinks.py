@@ -16,6 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import output
 from .output import PartWriter
+from .telemetry import TickLog
 
 
 class NothingFits(RuntimeError):
@@ -45,6 +46,10 @@ class Sink(ABC):
     @abstractmethod
     def rows(self, schema: T.StructType) -> Rows: ...
 
+    def ticks(self, shard: int) -> TickLog | None:
+        """Where a task's ticks go, if anywhere."""
+        return None
+
     def finish(self, name: str, stats: dict) -> None:
         """The run has ended well."""
 
@@ -80,6 +85,9 @@ class PartsSink(Sink):
     def rows(self, schema: T.StructType) -> Rows:
         return _Parts(self, schema)
 
+    def ticks(self, shard: int) -> TickLog:
+        return TickLog(self.path, shard)
+
     def finish(self, name: str, stats: dict) -> None:
         output.finish(self.path, name, stats)
 

@@ -356,3 +356,27 @@ def test_a_sink_of_ones_own(spark, rows, tmp_path):
 def test_call_rows_gives_every_row(spark, rows):
     got = {r.id: (r.error, r.said) for r in call_rows(rows, REQUEST, echo, PARSE, OUT, QUICK, together=7).collect()}
     assert got == {str(i): ("http 400: poison", None) if i % 10 == 3 else (None, f"ROW {i}") for i in range(60)}
+
+
+def test_ticks_are_written_and_read(spark, rows, tmp_path):
+    from millrace.sources import telemetry
+
+    slow = lambda body: time.sleep(0.15) or echo(body)
+    pump(rows, REQUEST, slow, PARSE, str(tmp_path / "o"), OUT, policy=Policy(window=2, attempts=1), fail_fast=0, partitions=1)
+    got = telemetry.read_ticks(spark, str(tmp_path / "o"))
+    assert got.schema.fieldNames()[:-1] == telemetry.TICK.fieldNames()
+    assert got.count() >= 1 and got.where("limit <> 2 or reason <> 'hold'").count() == 0
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old/telemetry-shard0-1.jsonl").write_text('{"t": 2.0, "ok": 3}\n')
+    assert telemetry.read_ticks(spark, str(tmp_path / "old")).first().ok == 3
+    assert telemetry.read_ticks(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_tick_files_are_rewritten_at_growing_intervals(tmp_path, monkeypatch):
+    from millrace.sources import telemetry
+
+    log, sizes = telemetry.TickLog(str(tmp_path)), []
+    monkeypatch.setattr(log, "write", lambda: sizes.append(len(log.ticks)))
+    for i in range(400):
+        log.note({"t": i})
+    assert sizes[:5] == [30, 60, 90, 120, 150] and sizes[-1] - sizes[-2] > 60
