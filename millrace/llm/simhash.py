@@ -82,15 +82,22 @@ def manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(ua ^ ub)
 
 
-def grid(n: int, bits: int, per_row: float = 128.0) -> list[np.ndarray]:
-    """The masks of the cells: the fewest groups at which a fingerprint meets about per_row others by chance."""
-    for groups in range(bits + 1, 33):
+def grid(n: int, bits: int, row_cost: float = 100.0) -> list[np.ndarray]:
+    """The masks of the cells, of as many groups as cost least for n fingerprints.
+
+    With g groups a fingerprint has comb(g, bits) cells, each of which is shuffled and sorted, and is compared with
+    those that it meets there by chance; a cell costs as much as row_cost comparisons.  At least two groups are equal
+    in a cell: fingerprints of texts in one language are far from random, and a single group tells them badly apart.
+    """
+
+    def cost(groups: int) -> float:
         keep = groups - bits
-        if n * comb(groups, keep) * _SAME ** (32 * keep / groups) <= per_row or comb(groups + 1, bits) > 4000:
-            break
+        return comb(groups, keep) * (row_cost + n * _SAME ** (32 * keep / groups))
+
+    groups = min(range(bits + 2, 33), key=cost)
     edges = np.linspace(0, 32, groups + 1).round().astype(int)
     parts = [sum(3 << (2 * s) for s in range(edges[i], edges[i + 1])) for i in range(groups)]
-    return [np.uint64(sum(chosen)) for chosen in combinations(parts, keep)]
+    return [np.uint64(sum(chosen)) for chosen in combinations(parts, groups - bits)]
 
 
 def _joined(keys: np.ndarray, fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
