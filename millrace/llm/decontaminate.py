@@ -1,21 +1,21 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index has a row per block of documents: its terms (64-bit hashes, sorted) and for each term the ascending
-positions at which it stands in the block.  A phrase is looked up from its rarest term in the block: that term's
-positions, less its offset in the phrase, are the candidates, and each further term, rarest first, keeps those
-candidates at which its own positions less its offset agree (exact phrases) or come within `slop` (proximity).
-The phrases of a benchmark come from the driver in chunks of bounded size; each chunk is searched in all blocks.
-
-Edge cases: null and empty texts have no words and are never hit; items without words have no phrase; repeated
-rows and items count each for itself (an item id once); long texts get a block of their own; a null item id is
-reported as an empty string; extra columns are ignored; empty tables give empty results or no hits.
+The index has a row per block of documents: its terms (64-bit hashes, sorted), and for each term how often and at
+which ascending positions it stands in the block.  The benchmark is a table of phrases.  Corpus counts of its terms
+tell each phrase's rarest term; a phrase is a candidate in the blocks that hold that term, and one with a term that
+the corpus lacks is none.  In a block the rarest term's positions, less its offset in the phrase, are where the
+phrase may begin, and each further term, rarest first, keeps those at which its own positions less its offset agree
+(exact phrases) or come within `slop` (proximity).  Nothing is collected: phrases, postings and hits meet in joins.
+
+Words are known by 64-bit hashes alone.  A task holds one block and its candidate phrases.  Edge cases: null and
+empty texts have no words and are never hit; items without words have no phrase; repeated rows and items count each
+for itself (an item id once); long texts get a block of their own; a null item id is reported as an empty string;
+doc_id keeps its type; extra columns are ignored; empty tables give empty results or no hits.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +26,6 @@ from pyspark.sql import functions as F
 from .common import release, stored, string_bytes, table, words_of
 
 BLOCK_BYTES = 2_000_000
-#: Bytes of benchmark text that the driver holds at a time.
-CHUNK_BYTES = 8_000_000
-
-_INDEX = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.list_(pa.int32())), ("terms", pa.binary()), ("counts", pa.binary()), ("postings", pa.binary())])
 
 
 def build_index(docs: DataFrame) -> DataFrame:
@@ -37,6 +33,7 @@ def build_index(docs: DataFrame) -> DataFrame:
 
     Position p of the block is word p - d of document d of the block, counted over the block: a gap parts documents.
     """
+    names = ["block", "doc_ids", "n_words", "terms", "counts", "postings"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = TaskContext.get().partitionId() << 32
@@ -53,84 +50,103 @@ def build_index(docs: DataFrame) -> DataFrame:
                 posted = position[order].astype(np.uint32)
                 # differences within a term compress better
                 posted[1:] -= posted[:-1].copy()
-                row = [[n], [ids.to_pylist()], [np.bincount(doc, minlength=to - at)], [found.tobytes()], [counts.astype(np.uint32).tobytes()], [posted.tobytes()]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(row, _INDEX, strict=True)], schema=_INDEX)
+                lists = [ids, pa.array(np.bincount(doc, minlength=to - at).astype(np.int64)), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in lists), pa.array([posted.tobytes()], pa.binary())], names)
                 at, n = to, n + 1
 
-    ids = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return ids.mapInArrow(run, "block long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, postings binary")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, terms array<long>, counts array<int>, postings binary")
+
+
+def item_phrases(benchmark: DataFrame, window: int) -> DataFrame:
+    """(item, phrase): the windows of each item's words; an item of fewer words, but not none, is one phrase."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            terms, doc, *_ = words_of(batch.column(1), lower=True, alnum=True)
+            n = np.bincount(doc, minlength=batch.num_rows)
+            first, size = np.cumsum(n) - n, np.minimum(n, window)
+            count = np.where(n > 0, n - size + 1, 0)
+            owner = np.repeat(np.arange(batch.num_rows), count)
+            begin = first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+            edges = np.concatenate([[0], np.cumsum(size[owner])])
+            places = np.arange(edges[-1]) - np.repeat(edges[:-1] - begin, size[owner])
+            phrases = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(terms[places].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), phrases], ["item", "phrase"])
+
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
+    return items.mapInArrow(run, "item string, phrase array<long>").distinct()
 
 
-def phrases_of(rows: list, window: int) -> tuple[np.ndarray, dict]:
-    """(terms, phrases by length) of items (id, text): a phrase is a row of indexes into terms, with its items."""
-    hashes, doc, *_ = words_of(pa.array([r[1] for r in rows], pa.string()), lower=True, alnum=True)
-    terms, index = np.unique(hashes, return_inverse=True)
-    items: dict[int, dict[bytes, set[str]]] = defaultdict(lambda: defaultdict(set))
-    at = np.searchsorted(doc, np.arange(len(rows) + 1))
-    for i, (name, _) in enumerate(rows):
-        own = index[at[i] : at[i + 1]].astype(np.int64)
-        length = min(window, len(own))
-        for s in range(len(own) - length + 1 if length else 0):
-            items[length][own[s : s + length].tobytes()].add(name)
-    return terms, {n: (np.frombuffer(b"".join(x), np.int64).reshape(-1, n), [sorted(v) for v in x.values()]) for n, x in items.items()}
+def candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(block, phrase): distinct phrases all of whose terms the corpus has, in the blocks that hold their rarest term."""
+    terms = stored(phrases.select(F.explode("phrase").alias("term")).distinct(), "phrase-terms")
+    # stored, so that a join has plain shuffles on both sides and the rows of a frequent term can be split
+    met = stored(index.select("block", F.inline(F.arrays_zip("terms", "counts")).alias("term", "n")).join(terms, "term"), "met-terms")
+    counts = stored(met.groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
+    spread = phrases.select("phrase", F.explode(F.array_distinct("phrase")).alias("term")).join(counts, "term")
+    rarest = spread.groupBy("phrase").agg(F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("least")).where(F.col("known") == F.size(F.array_distinct("phrase")))
+    rarest = stored(rarest.select("phrase", F.col("least.term").alias("term")), "rarest")
+    return met.select("block", "term").join(rarest, "term").select("block", "phrase")
 
 
-def _agree(candidates: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
-    at = np.searchsorted(positions, candidates - slop)
-    return candidates[(at < len(positions)) & (positions[np.minimum(at, len(positions) - 1)] <= candidates + slop)]
+def _agree(starts: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
+    at = np.searchsorted(positions, starts - slop)
+    return starts[(at < len(positions)) & (positions[np.minimum(at, len(positions) - 1)] <= starts + slop)]
 
 
-def search_index(index: DataFrame, terms: np.ndarray, phrases: dict, slop: int = 0) -> DataFrame:
-    """Per document of the index: block, place, doc_id, n_words, spans (start, stop of words hit, merged), items.
+def search_index(index: DataFrame, asked: DataFrame, slop: int = 0) -> DataFrame:
+    """Per document with a hit: block, place, spans (start, stop of words hit, merged), phrases; asked: (block, phrase).
 
     With slop 0 spans are exact occurrences; otherwise each term stands within slop of its place in the phrase.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = np.frombuffer(row["terms"], np.uint64)
-                ends = np.cumsum(np.frombuffer(row["counts"], np.uint32).astype(np.int64))
-                posted = np.cumsum(np.frombuffer(row["postings"], np.uint32), dtype=np.uint32).astype(np.int64)
-                n_words = np.array(row["n_words"], np.int64)
-                first = np.cumsum(n_words + 1) - n_words - 1
-                where = np.minimum(np.searchsorted(own, terms), max(len(own) - 1, 0))
-                there = own[where] == terms if len(own) else np.zeros(len(terms), bool)
-                stop = ends[where] if len(own) else where
-                begin = np.where(where > 0, ends[where - 1], 0) if len(own) else where
-                cover = np.zeros(int(first[-1] + n_words[-1]) + 2 if len(n_words) else 2, np.int64)
-                hit_items: dict[int, set[str]] = defaultdict(set)
-                for length, (matrix, names) in phrases.items():
-                    for k in np.flatnonzero(there[matrix].all(axis=1)):
-                        phrase = matrix[k]
-                        rarest = np.argsort((stop - begin)[phrase], kind="stable")
-                        lists = ((posted[begin[phrase[o]] : stop[phrase[o]]] - o) for o in rarest)
-                        starts = next(lists)
-                        for other in lists:
-                            starts = _agree(starts, other, slop)
-                            if not len(starts):
-                                break
-                        if len(starts):
-                            docs = np.searchsorted(first, starts, side="right") - 1
-                            inside = (docs >= 0) & (starts >= first[docs]) & (starts + length <= first[docs] + n_words[docs])
-                            np.add.at(cover, starts[inside], 1)
-                            np.add.at(cover, starts[inside] + length, -1)
-                            for d in set(docs[inside].tolist()):
-                                hit_items[d].update(names[k])
-                covered = np.cumsum(cover) > 0
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], covered]).astype(np.int8)))
-                span_doc = np.searchsorted(first, turns[0::2], side="right") - 1
-                spans: dict[int, list] = defaultdict(list)
-                for d, s, e in zip(span_doc.tolist(), turns[0::2].tolist(), turns[1::2].tolist(), strict=True):
-                    spans[d].append({"start": s - int(first[d]), "stop": e - int(first[d])})
-                places = range(len(n_words))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([row["block"]] * len(places), pa.int64()), pa.array(places, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(n_words, pa.int64()),
-                     pa.array([spans[d] if d in spans else [] for d in places], pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))), pa.array([sorted(hit_items[d]) if d in hit_items else [] for d in places], pa.list_(pa.string()))],
-                    names=["block", "place", "doc_id", "n_words", "spans", "items"],
-                )
-
-    return index.mapInArrow(run, "block long, place int, doc_id long, n_words long, spans array<struct<start:int,stop:int>>, items array<string>")
+    span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(part: pa.Table, wanted: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"block": [], "place": [], "spans": [], "phrases": []}
+        phrases = wanted["phrase"].combine_chunks()
+        size, flat = phrases.value_lengths().to_numpy(), phrases.flatten().to_numpy().view(np.uint64)
+        where = np.cumsum(size) - size
+        for i in range(part.num_rows):
+            values = lambda c: part[c][i].values.to_numpy()  # noqa: B023, E731
+            own, n_words = values("terms").view(np.uint64), values("n_words")
+            ends = np.cumsum(values("counts").astype(np.int64))
+            posted = np.cumsum(np.frombuffer(part["postings"][i].as_buffer(), np.uint32), dtype=np.uint32).astype(np.int64)
+            if not len(own) or not len(flat):
+                continue
+            first = np.cumsum(n_words + 1) - n_words - 1
+            term = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+            whole = np.logical_and.reduceat(own[term] == flat, where)
+            begin = ends - np.diff(ends, prepend=0)
+            cover, hits = np.zeros(int(first[-1] + n_words[-1]) + 2, np.int64), {}
+            for k in np.flatnonzero(whole).tolist():
+                length, phrase = size[k], term[where[k] : where[k] + size[k]]
+                rarest = np.argsort((ends - begin)[phrase], kind="stable")
+                lists = ((posted[begin[phrase[o]] : ends[phrase[o]]] - o) for o in rarest)  # noqa: B023
+                starts = next(lists)
+                for other in lists:
+                    starts = _agree(starts, other, slop)
+                    if not len(starts):
+                        break
+                docs = np.searchsorted(first, starts, side="right") - 1
+                inside = (docs >= 0) & (starts >= first[docs]) & (starts + length <= first[docs] + n_words[docs])
+                np.add.at(cover, starts[inside], 1)
+                np.add.at(cover, starts[inside] + length, -1)
+                for d in set(docs[inside].tolist()):
+                    hits.setdefault(d, []).append(k)
+            turns = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover) > 0]).astype(np.int8)))
+            spans: dict[int, list] = {d: [] for d in hits}
+            for d, s, e in zip((np.searchsorted(first, turns[0::2], side="right") - 1).tolist(), turns[0::2].tolist(), turns[1::2].tolist(), strict=True):
+                spans[d].append({"start": s - int(first[d]), "stop": e - int(first[d])})
+            for d in sorted(hits):
+                for c, x in zip(out, (part["block"][i].as_py(), d, spans[d], [phrases[k].as_py() for k in hits[d]]), strict=True):
+                    out[c].append(x)
+        kinds = (pa.int64(), pa.int32(), span, pa.list_(pa.list_(pa.int64())))
+        return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
+
+    named = asked.select(F.col("block").alias("of"), "phrase")
+    held = index.join(asked.select("block").distinct(), "block", "left_semi").select("block", "n_words", "terms", "counts", "postings")
+    return held.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, "block long, place int, spans array<struct<start:int,stop:int>>, phrases array<array<long>>")
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
@@ -140,18 +156,16 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop
 
 def find_in_index(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
     """As find_benchmark, over an index that is stored already."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.col("text").cast("string").alias("text")).where("text is not null")
-    chunks = max(1, -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // CHUNK_BYTES))
-    found = []
-    for i in range(chunks):
-        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(chunks)) == i).collect()
-        found.append(search_index(index, *phrases_of([tuple(r) for r in rows], window), slop))
-    hits = found[0]
-    if chunks > 1:
-        by = reduce(DataFrame.union, found).groupBy("block", "place")
-        hits = by.agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    counted = F.aggregate("spans", F.struct(F.lit(0).alias("upto"), F.lit(0).cast("long").alias("n")), lambda a, s: F.struct(F.greatest(a["upto"], s["stop"]).alias("upto"), (a["n"] + F.greatest(F.lit(0), s["stop"] - F.greatest(a["upto"], s["start"]))).alias("n")))
-    return hits.select("doc_id", "n_words", counted["n"].alias("n_hit"), "items", "spans")
+    by_item = stored(item_phrases(benchmark, window), "phrases")
+    asked = stored(candidates(index, by_item.select("phrase").distinct()), "candidates")
+    hits = stored(search_index(index, asked, slop), "hits")
+    named = hits.select("block", "place", F.explode("phrases").alias("phrase")).join(by_item, "phrase")
+    items = named.groupBy("block", "place").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    found = stored(hits.select("block", "place", "spans").join(items, ["block", "place"]), "found")
+    rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d")).select("block", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
+    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]), F.lit(0).cast("long"))
+    none = F.array().cast("array<struct<start:int,stop:int>>")
+    return rows.join(found, ["block", "place"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"))
 
 
 def contaminated():
