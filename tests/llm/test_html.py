@@ -1,8 +1,15 @@
+import time
+from collections import Counter
+
 import numpy as np
 import pytest
+from handmade import PAGES
 
 from millrace.llm import html_text as h
 
+#: What the pages written by hand must reach: pages that agree wholly, and the mean F1 of words.
+EXACT, MEAN = 11, 0.95
+
 
 @pytest.fixture(scope="module")
 def model():
@@ -51,3 +58,34 @@ def test_rows(spark, model):
     got = sorted((r.page_id, r.text) for r in h.main_text(pages.selectExpr("*", "'x' as text")).collect())
     assert got == [(1, ""), (1, ""), (2, "Hello, world. A text.")]
     assert h.main_text(pages.where("false")).count() == 0
+
+
+def agreement(got, want):
+    """The F1 of the words of two texts."""
+    a, b = Counter(got.split()), Counter(want.split())
+    both = (a & b).total()
+    return 1.0 if a == b else 2 * both / max(1, a.total() + b.total())
+
+
+def test_pages_written_by_hand(model):
+    """Pages that neither the lessons nor their generator made."""
+    got = [h.extract(source, model) for source, _ in PAGES]
+    scores = [agreement(g, want) for g, (_, want) in zip(got, PAGES, strict=True)]
+    assert sum(g == want for g, (_, want) in zip(got, PAGES, strict=True)) >= EXACT
+    assert sum(scores) / len(scores) >= MEAN
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<!x ", '<div "', "<b>", "</x>", "<script></script ", "<p>", '<x class="', "<a '\">", "<b><div></div>", "<ul><div>"])
+def test_time_grows_with_the_length_only(piece):
+    seconds = []
+    for size in (250_000, 1_000_000):
+        began = time.perf_counter()
+        h.parse(piece * (size // len(piece)))
+        seconds.append(time.perf_counter() - began)
+    assert seconds[1] < 5 and seconds[1] <= 12 * max(seconds[0], 0.02)
+
+
+@pytest.mark.parametrize("source, want", [("foo<img src=x>bar", "foobar"), ("foo<br>bar", "foo bar"), ("a<wbr>b", "ab"), ('<p title="a > b">c</p>', "c"), ("<p title='it\"s'>c</p>", "c"), ('<p title="open>c</p><p>d</p>', "c d"), ("a < b <", "a < b <"), ("<script>x</script >y", "y"), ("<title>t</title\n>y", "y")])
+def test_pieces_of_text(source, want):
+    page = h.parse(source)
+    assert h._text(page, np.ones(len(page.tag), bool)) == want
