@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +32,33 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: The tables stored in each open `scratch`, the innermost last.
+_SCRATCH: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Tables stored within are deleted at the end, but for those that are taken from the list."""
+    _SCRATCH.append(held := [])
+    try:
+        yield held
+    finally:
+        _SCRATCH.pop()
+        release(*held)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
+
+    The table stays until `release` or the `scratch` around it deletes it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    if _SCRATCH:
+        _SCRATCH[-1].append(out)
     return out
 
 
@@ -47,11 +69,6 @@ def release(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def without(docs: DataFrame, *names: str) -> DataFrame:
-    """docs without the columns an operator is about to add, so that clashing names are replaced."""
-    return docs.drop(*names)
-
-
 def string_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of an Arrow string or binary array; nulls have no bytes; offsets start at 0."""
     if isinstance(column, pa.ChunkedArray):
@@ -183,10 +200,6 @@ def concat_slices(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(begin - starts, counts)
 
 
-def record_batch(schema: pa.Schema, *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-
 def n_words(column: str = "text"):
     """Native count of the words of a text column; null counts none."""
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")

@@ -13,6 +13,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs every node on its least neighbour, follows the pointers to their ends by doubling, and
     relabels the links; a round at least halves what is left of a component.  Rounds are cut by stored tables.
+    Links from a node to itself and repeated links say nothing; null ends are dropped; without links no node has a row.
     """
     left = stored(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     found = None

@@ -22,7 +22,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import mix64, stored, table
@@ -190,9 +190,8 @@ def one_of_each(docs: DataFrame, shingle: int = 4, bits: int = 4) -> DataFrame:
     stay = groups.groupBy("root").agg(least.alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.tkey").alias("__key"))
     keyed = docs.withColumn("__tkey", text_key())
     kept = keyed.join(stay, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__tkey") == F.col("__key")), "left_semi")
-    # rows that repeat both doc_id and text are one document
-    first = F.row_number().over(Window.partitionBy("doc_id", "__tkey").orderBy(F.lit(1)))
-    return kept.withColumn("__n", first).where("__n = 1").select(*[f"`{c}`" for c in docs.columns])
+    # rows that repeat both doc_id and text are one document; copies meet before the shuffle
+    return kept.dropDuplicates(["doc_id", "__tkey"]).select(*[f"`{c}`" for c in docs.columns])
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
