@@ -290,6 +290,8 @@ def lesson(seed: int) -> str:
         return f'<{tag}{attr} data-label="{label}">{inner}</{tag}>'
 
     def link_list(a: int, b: int) -> str:
+        if r.random() < 0.12:  # a line of links
+            return r.choice([" | ", " ", " · ", " &gt; "]).join(f'<a href="/{word()}" data-label="drop">{words(1, 3)}</a>' for _ in range(r.randint(a, b)))
         items = "".join(f'<li data-label="drop"><a href="/{word()}" data-label="drop">{words(1, r.choice([1, 3, 8]))}</a></li>' for _ in range(r.randint(a, b)))
         return f'<ul data-label="drop">{items}</ul>'
 
@@ -322,7 +324,9 @@ def lesson(seed: int) -> str:
         return element(tag, "drop", inner, chosen or None)
 
     keep = lambda t, inner: f'<{t} data-label="keep">{inner}</{t}>'
-    blocks = [keep("h1", words(2, 10))] if r.random() < 0.85 else []
+    blocks = [keep("h1", words(1, 10))] if r.random() < 0.85 else []
+    if blocks and r.random() < 0.15:
+        blocks = [keep("header", blocks[0] + (keep("p", words(2, 6)) if r.random() < 0.4 else ""))]
     for _ in range(r.choice([1, 2, 3, 5, 8, 14])):
         x = r.random()
         if x < 0.7:
