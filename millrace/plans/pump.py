@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,22 +84,26 @@ def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[di
     keyed = ids.shard_select(rows if "id" in rows.columns else ids.with_id(rows, id_key=id_key), *shard)
     prior = sink.known(spark)
     counts = resume.resume_counts(keyed, prior, retry_errors).first()
-    todo = resume.skip_done(keyed, prior, order or "id", retry_errors)
+    # kept, so that the resume join runs once for the first rows and the rest
+    todo = kept = resume.skip_done(keyed, prior, order or "id", retry_errors).persist(StorageLevel.DISK_ONLY)
     ok = failed = 0
-    if fail_fast > 0 and not retry_errors and (counts["rows_to_do"] or 0) >= fail_fast:
-        first = spark.createDataFrame(todo.limit(fail_fast).collect(), todo.schema)  # fail_fast rows
-        tried = [r.asDict(True) for r in call_rows(first, to_request, send, parse, schema, policy).collect()]
-        if all(r["error"] is not None for r in tried):
-            raise AllFailed(f"the first {fail_fast} rows failed: {tried[0]['error']}")
-        out = sink.rows(schema)
-        stored = out.add(tried)
-        out.close()
-        ok, failed = sum(e is None for _, e in stored), sum(e is not None for _, e in stored)
-        todo = todo.join(first.select("id"), "id", "left_anti")
-    if partitions:
-        todo = todo.repartition(partitions, "id")
-    state = call_and_store(todo, to_request, send, parse, sink, schema, policy, shard[0]).agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed")).first()
-    ok, failed = ok + (state["ok"] or 0), failed + (state["failed"] or 0)
+    try:
+        if fail_fast > 0 and not retry_errors and (counts["rows_to_do"] or 0) >= fail_fast:
+            first = spark.createDataFrame(todo.limit(fail_fast).collect(), todo.schema)  # fail_fast rows
+            tried = [r.asDict(True) for r in call_rows(first, to_request, send, parse, schema, policy).collect()]
+            if all(r["error"] is not None for r in tried):
+                raise AllFailed(f"the first {fail_fast} rows failed: {tried[0]['error']}")
+            out = sink.rows(schema)
+            stored = out.add(tried)
+            out.close()
+            ok, failed = sum(e is None for _, e in stored), sum(e is not None for _, e in stored)
+            todo = todo.join(first.select("id"), "id", "left_anti")
+        if partitions:
+            todo = todo.repartition(partitions, "id")
+        state = call_and_store(todo, to_request, send, parse, sink, schema, policy, shard[0]).agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed")).first()
+        ok, failed = ok + (state["ok"] or 0), failed + (state["failed"] or 0)
+    finally:
+        kept.unpersist()
     stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, ok, failed, time.time() - began)
     if stats.rows_unaccounted:
         raise RowsLost(f"{stats.rows_unaccounted} of {stats.rows_total} rows are neither done, deduplicated, processed nor failed")
