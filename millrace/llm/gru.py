@@ -11,9 +11,9 @@ from dataclasses import dataclass
 
 import numpy as np
 
-HIDDEN, EMBED, CLASSES, PER_CLASS = 24, 16, 32, 32
+HIDDEN, EMBED, CLASSES, PER_CLASS = 24, 16, 32, 64
 SIZE = CLASSES * PER_CLASS
-WINDOW = 64
+WINDOW = 32
 
 Params = dict[str, np.ndarray]
 
@@ -65,44 +65,43 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end_symbol: int, width: int) -
     return Lanes(target, before, begins, doc)
 
 
-def _forward(p: Params, table: np.ndarray, before: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool):
-    """(states after each step, last state, what the way back needs)."""
-    steps, width = before.shape
-    states = np.empty((steps, width, HIDDEN), table.dtype)
+def _forward(p: Params, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool):
+    """(states after each step, last state, what the way back needs); x: what the symbols before say to the gates."""
+    steps, width = begins.shape
+    states = np.empty((steps, width, HIDDEN), x.dtype)
     # of each step: the state before it, both gates, the candidate's recurrent part and the candidate
-    held = [np.empty((steps, width, k), table.dtype) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)] if keep else None
-    wh, bn, k = p["wh"], p["bn"], HIDDEN
+    held = [np.empty((steps, width, k), x.dtype) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)] if keep else None
+    bn, k = p["bn"], HIDDEN
+    # a gate is 1 / (1 + exp(-x)), so its inputs are negated once
+    wh = p["wh"].copy()
+    wh[:, : 2 * k] *= -1
+    gates, candidates = -x[:, :, : 2 * k], np.ascontiguousarray(x[:, :, 2 * k :])
     for t, new in enumerate(begins.any(axis=1).tolist()):
         if new:
             h = h * ~begins[t][:, None]
-        x, u = table[before[t]], h @ wh
-        zr = x[:, : 2 * k] + u[:, : 2 * k]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
+        u = h @ wh
+        zr = np.add(gates[t], u[:, : 2 * k], out=held[1][t] if keep else gates[t])
+        np.minimum(zr, 60, out=zr)  # exp stays finite
+        np.exp(zr, out=zr)
         zr += 1
-        zr *= 0.5
-        z, r = zr[:, :k], zr[:, k:]
-        un = u[:, 2 * k :] + bn
-        n = r * un
-        n += x[:, 2 * k :]
+        np.reciprocal(zr, out=zr)
+        un = np.add(u[:, 2 * k :], bn, out=held[2][t] if keep else None)
+        n = np.multiply(zr[:, k:], un, out=held[3][t] if keep else None)
+        n += candidates[t]
         np.tanh(n, out=n)
         if keep:
-            for into, value in zip(held, (h, zr, un, n), strict=True):
-                into[t] = value
-        h = n + z * (h - n)
-        states[t] = h
-    return states, h, held
+            held[0][t] = h
+        step = np.subtract(h, n, out=states[t])
+        step *= zr[:, :k]
+        step += n
+        h = step
+    return states, h.copy(), held
 
 
 def _table(p: Params) -> np.ndarray:
     return p["emb"] @ p["wx"] + p["bx"]
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
-
-
 def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The log softmax of each row at its chosen column."""
     np.minimum(x, 60, out=x)  # exp stays finite
@@ -110,6 +109,17 @@ def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return at - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
+def _misses(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(softmax of each row less one at its chosen column, the share that the chosen one has)."""
+    np.minimum(x, 60, out=x)
+    np.exp(x, out=x)
+    x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
+    at = (np.arange(len(x)), chosen)
+    share = x[at]
+    x[at] = share - 1
+    return x, share
+
+
 def log_likelihood(p: Params, data: Lanes, n_docs: int) -> np.ndarray:
     """The natural log probability of each document; states carry over all windows of a lane."""
     table, h = _table(p), np.zeros((data.target.shape[1], HIDDEN), np.float32)
@@ -122,7 +132,7 @@ def log_likelihood(p: Params, data: Lanes, n_docs: int) -> np.ndarray:
             h = h[live]
         if not len(live):
             break
-        states, h, _ = _forward(p, table, data.before[piece], data.begins[piece], h, False)
+        states, h, _ = _forward(p, table[data.before[piece]], data.begins[piece], h, False)
         doc, target = data.doc[piece].ravel(), data.target[piece].ravel()
         real = np.flatnonzero(doc >= 0)
         # by class, so that each class's words are one product
@@ -139,41 +149,57 @@ def log_likelihood(p: Params, data: Lanes, n_docs: int) -> np.ndarray:
     return out
 
 
-def gradients(p: Params, table: np.ndarray, data: Lanes, h: np.ndarray) -> tuple[Params, np.ndarray, float, int]:
+def gradients(p: Params, data: Lanes, h: np.ndarray) -> tuple[Params, np.ndarray, float, int]:
     """(gradients of the mean loss of a window, last state, loss, symbols)."""
-    states, last, held = _forward(p, table, data.before, data.begins, h, True)
     steps, width = data.target.shape
-    real = (data.doc >= 0).ravel()
-    flat, target = states.reshape(-1, HIDDEN), data.target.ravel()
-    n = max(1, int(real.sum()))
+    before = data.before.ravel()
+    said = p["emb"][before]
+    x = said @ p["wx"]
+    x += p["bx"]
+    states, last, held = _forward(p, x.reshape(steps, width, -1), data.begins, h, True)
+    kind_of, ones = x.dtype, np.ones(steps * width, x.dtype)
+    # the places that hold a symbol, by class, so that a class's words are one slice
+    real = np.flatnonzero(data.doc.ravel() >= 0)
+    kind = data.target.ravel()[real] // PER_CLASS
+    order = np.argsort(kind, kind="stable")
+    real, kind = real[order], kind[order]
+    flat, word = states.reshape(-1, HIDDEN)[real], data.target.ravel()[real] % PER_CLASS
+    n = max(1, len(real))
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    kind, rows = target // PER_CLASS, np.arange(len(target))
-    logs = _log_softmax(flat @ p["wc"] + p["bc"])
-    loss = -logs[rows, kind][real].sum()
-    d = np.exp(logs)
-    d[rows, kind] -= 1
-    d *= real[:, None] / np.float32(n)
-    g["wc"], g["bc"] = flat.T @ d, d.sum(axis=0)
-    dflat = d @ p["wc"].T
-    # by class, so that a class's words are one slice
-    order = np.argsort(np.where(real, kind, CLASSES), kind="stable")
-    edges = np.searchsorted(kind[order][: int(real.sum())], np.arange(CLASSES + 1))
+    d, share = _misses(flat @ p["wc"] + p["bc"], kind)
+    loss = -np.log(share).sum()
+    g["wc"], g["bc"] = flat.T @ d, ones[: len(d)] @ d
+    dreal = d @ p["wc"].T
+    edges = np.searchsorted(kind, np.arange(CLASSES + 1))
+    shares = np.empty_like(share)
     for c in np.flatnonzero(np.diff(edges)).tolist():
-        own = order[edges[c] : edges[c + 1]]
-        mine, word, at = flat[own], target[own] % PER_CLASS, rows[: len(own)]
-        logs = _log_softmax(mine @ p["ww"][c] + p["bw"][c])
-        loss -= logs[at, word].sum()
-        d = np.exp(logs, out=logs)
-        d[at, word] -= 1
-        d /= np.float32(n)
-        g["ww"][c], g["bw"][c] = mine.T @ d, d.sum(axis=0)
-        dflat[own] += d @ p["ww"][c].T
-    dstates, dh, k = dflat.reshape(steps, width, HIDDEN), np.zeros((width, HIDDEN), table.dtype), HIDDEN
+        own = slice(edges[c], edges[c + 1])
+        mine, ww = flat[own], p["ww"][c]
+        x = mine @ ww
+        x += p["bw"][c]
+        d, shares[own] = _misses(x, word[own])
+        g["ww"][c], g["bw"][c] = mine.T @ d, ones[: len(d)] @ d
+        dreal[own] += d @ ww.T
+    loss -= np.log(shares).sum()
+    for k in ("wc", "bc", "ww", "bw"):
+        g[k] /= kind_of.type(n)
+    dreal /= kind_of.type(n)
+    dflat = np.zeros((steps * width, HIDDEN), kind_of)
+    dflat[real] = dreal
+    dstates, dh, k = dflat.reshape(steps, width, HIDDEN), np.zeros((width, HIDDEN), kind_of), HIDDEN
     h0, zr, un, m = held
     z, r = zr[:, :, :k], zr[:, :, k:]
     # what does not hang on the gradient that comes back is one product for all steps
-    for_z, for_m, for_r = (h0 - m) * z * (1 - z), (1 - z) * (1 - m * m), un * r * (1 - r)
-    du, dm = np.empty((steps, width, 3 * k), table.dtype), np.empty((steps, width, k), table.dtype)
+    rest = 1 - z
+    for_z = h0 - m
+    for_z *= z
+    for_z *= rest
+    for_m = 1 - m * m
+    for_m *= rest
+    for_r = 1 - r
+    for_r *= r
+    for_r *= un
+    du, dm = np.empty((steps, width, 3 * k), kind_of), np.empty((steps, width, k), kind_of)
     wh, new = np.ascontiguousarray(p["wh"].T), data.begins.any(axis=1).tolist()
     for t in range(steps - 1, -1, -1):
         dh = dh + dstates[t]
@@ -186,18 +212,19 @@ def gradients(p: Params, table: np.ndarray, data: Lanes, h: np.ndarray) -> tuple
         dh += step @ wh
         if new[t]:
             dh *= ~data.begins[t][:, None]
-    g["wh"], g["bn"] = h0.reshape(-1, k).T @ du.reshape(-1, 3 * k), du[:, :, 2 * k :].sum(axis=(0, 1))
+    g["wh"] = h0.reshape(-1, k).T @ du.reshape(-1, 3 * k)
+    g["bn"] = (ones @ du.reshape(-1, 3 * k))[2 * k :]
     du[:, :, 2 * k :] = dm
+    dx = du.reshape(-1, 3 * k)
+    g["wx"], g["bx"] = said.T @ dx, ones @ dx
     # the symbols of the window, each with the sum over its places
-    before = data.before.ravel()
     order = np.argsort(before, kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(before[order]) != 0]))
-    used, dtable = before[order[edges]], np.add.reduceat(du.reshape(-1, 3 * k)[order], edges, axis=0)
-    g["emb"][used], g["wx"], g["bx"] = dtable @ p["wx"].T, p["emb"][used].T @ dtable, dtable.sum(axis=0)
+    g["emb"][before[order[edges]]] = np.add.reduceat((dx @ p["wx"].T)[order], edges, axis=0)
     return g, last, float(loss), n
 
 
-def train(p: Params, data: Lanes, rate: float = 0.01, clip: float = 1.0) -> Params:
+def train(p: Params, data: Lanes, rate: float = 0.01, clip: float = 1.0, block: int = 1 << 13) -> Params:
     """One pass of Adam over the lanes, window by window."""
     # all weights in one row, of which p's are views
     flat = np.concatenate([x.ravel() for x in p.values()])
@@ -205,20 +232,32 @@ def train(p: Params, data: Lanes, rate: float = 0.01, clip: float = 1.0) -> Para
     p = {k: flat[a:b].reshape(x.shape) for (k, x), a, b in zip(p.items(), edges, edges[1:], strict=False)}
     # output biases begin at the frequencies and move slowly
     rates = np.concatenate([np.full(x.size, rate * (0.1 if k in ("bc", "bw") else 1.0), flat.dtype) for k, x in p.items()])
-    m, v = np.zeros_like(flat), np.zeros_like(flat)
+    m, v, x = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
     h = np.zeros((data.target.shape[1], HIDDEN), np.float32)
     for i, t in enumerate(range(0, len(data.target), WINDOW), 1):
         piece = slice(t, t + WINDOW)
-        g, h, _, _ = gradients(p, _table(p), Lanes(data.target[piece], data.before[piece], data.begins[piece], data.doc[piece]), h)
-        x = np.concatenate([g[k].ravel() for k in p])
-        x *= np.float32(min(1.0, clip / max(float(np.sqrt(x @ x)), 1e-9)))
-        m += np.float32(0.1) * (x - m)
-        x *= x
-        v += np.float32(0.01) * (x - v)
-        root = np.sqrt(v)
-        root *= np.float32((1 - 0.99**i) ** -0.5)
-        root += np.float32(1e-6)
-        flat -= rates * m / root * np.float32(1 / (1 - 0.9**i))
+        g, h, _, _ = gradients(p, Lanes(data.target[piece], data.before[piece], data.begins[piece], data.doc[piece]), h)
+        np.concatenate([g[k].ravel() for k in p], out=x)
+        scale = np.float32(min(1.0, clip / max(float(np.sqrt(x @ x)), 1e-9)))
+        root, mean = np.float32((1 - 0.99**i) ** -0.5), np.float32(1 / (1 - 0.9**i))
+        # in blocks that stay in a core's cache
+        for a in range(0, len(flat), block):
+            own = slice(a, a + block)
+            y, mm, vv = x[own], m[own], v[own]
+            y *= scale
+            mm *= np.float32(0.9)
+            mm += np.float32(0.1) * y
+            y *= y
+            vv *= np.float32(0.99)
+            y *= np.float32(0.01)
+            vv += y
+            np.sqrt(vv, out=y)
+            y *= root
+            y += np.float32(1e-6)
+            step = rates[own] * mm
+            step *= mean
+            step /= y
+            flat[own] -= step
     return {k: x.copy() for k, x in p.items()}
 
 

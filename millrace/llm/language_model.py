@@ -1,12 +1,16 @@
 """Log-likelihood of whole documents under a gated recurrent language model learned from the corpus.
 
 The corpus is read once into chunks of about CHUNK_BYTES of text: the documents' tokens as indexes into the
-chunk's own words.  The words of all chunks meet by hash bucket, where training counts are added up over the whole
-corpus and sent back to the chunks.  The most frequent words are the model's symbols; every other word is one of
-FALLBACKS symbols (by its last bytes), and its share of that symbol is its smoothed training count.  The model is
-trained in `rounds` passes.  A chunk's training documents are dealt to the rounds by a hash of their place, so that
-each trains in exactly `share` of the rounds, by default in one: partitions train copies, and the copies are averaged, a square root of them to a task and then those.  Scoring carries the state over windows, so a
-document's score is that of its whole text.
+chunk's own words.  Training counts are rows (word, chunk, count); a window over the word adds them up for all the
+chunks that hold it, and a word of one chunk needs no answer.  The most frequent words are the model's symbols; every
+other word is one of FALLBACKS symbols (by its last bytes), and its share of that symbol is its smoothed training
+count.  The model is trained in `rounds` passes.  A chunk's training documents are dealt to the rounds by a hash of
+their place, so that each trains in exactly `share` of the rounds, by default in one; documents of more than PIECE
+tokens train in pieces side by side.  Partitions train copies, and the copies are averaged, a square root of them to
+a task and then those.  Scoring carries the state over windows, so a document's score is that of its whole text.
+
+Which documents share a copy follows from the partitions that the table is read in, so `score` depends on the
+table's layout; the counts and base scores do not.
 
 Edge cases: null and empty texts are one end token; rows without doc_id count as training rows; repeated rows
 count and score each for itself; very long texts make a chunk of their own; without training rows all counts are
@@ -16,24 +20,26 @@ zero; extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import gru
 from .common import mix64, stored, string_bytes, table, words_of
 
 CHUNK_BYTES = 12_000_000
-#: Words that a bucket holds at most, on average, over all chunks.
-BUCKET_WORDS = 1_000_000
 FALLBACKS = 16
 KNOWN = gru.SIZE - FALLBACKS - 1
 END = np.uint64(0x9D39247E33776D40)
-LANES = 192
+#: Documents that a task scores and trains side by side.
+LANES, TRAIN_LANES = 192, 96
+#: Tokens of a document that train in one lane.
+PIECE = 2048
 
 
 def _word_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -71,77 +77,43 @@ def chunks(docs: DataFrame) -> DataFrame:
                 words, place = found[order], np.empty(len(found), np.uint32)
                 place[order] = np.arange(len(found), dtype=np.uint32)
                 index = place[codes]
-                counts = np.bincount(index, ~out[doc], len(words)).astype(np.uint32)
+                counts = np.bincount(index, ~out[doc], len(words)).astype(np.int64)
                 lists = [pa.array([x]) for x in (number,)] + [pa.ListArray.from_arrays([0, part.num_rows], part.column(0)), pa.ListArray.from_arrays([0, part.num_rows], part.column(1))]
                 sizes = pa.array([np.bincount(doc, minlength=part.num_rows)], pa.list_(pa.int64()))
-                blobs = [pa.array([x.tobytes()], pa.binary()) for x in (index.astype(np.uint32), words, counts)]
-                yield pa.RecordBatch.from_arrays([*lists, sizes, *blobs], ["chunk", "doc_ids", "held", "n_tokens", "tokens", "words", "counts"])
+                tokens = pa.array([index.astype(np.uint32).tobytes()], pa.binary())
+                tables = [pa.ListArray.from_arrays([0, len(words)], pa.array(x)) for x in (words.view(np.int64), counts)]
+                yield pa.RecordBatch.from_arrays([*lists, sizes, tokens, *tables], ["chunk", "doc_ids", "held", "n_tokens", "tokens", "words", "counts"])
                 at, number = to, number + 1
 
     chosen = docs.select("doc_id", held.alias("held"), F.col("text").cast("string"))
-    return chosen.mapInArrow(run, f"chunk long, doc_ids array<{kind.simpleString()}>, held array<boolean>, n_tokens array<long>, tokens binary, words binary, counts binary")
-
-
-def corpus_counts(held: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, chunk, totals): for each chunk the corpus's training counts of its words of the bucket, in order.
-
-    A row with chunk -1 has the bucket's words and totals themselves.
-    """
+    return chosen.mapInArrow(run, f"chunk long, doc_ids array<{kind.simpleString()}>, held array<boolean>, n_tokens array<long>, tokens binary, words array<long>, counts array<long>")
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.uint32)
-                # words are sorted, so a bucket is a range of them
-                cut = np.searchsorted(_bucket(words, buckets), np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cut))
-                parts = [[x[cut[b] : cut[b + 1]].tobytes() for b in full] for x in (words, counts)]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([chunk] * len(full), pa.int64()), *(pa.array(x, pa.binary()) for x in parts)], ["bucket", "chunk", "words", "counts"])
 
-    def add(part: pa.Table) -> pa.Table:
-        words = [np.frombuffer(x, np.uint64) for x in part["words"].to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint32) for x in part["counts"].to_pylist()])
-        found, index = np.unique(np.concatenate(words), return_inverse=True)
-        totals = np.bincount(index, counts, len(found)).astype(np.int64)
-        edges = np.cumsum([0, *map(len, words)])
-        back = [totals[index[a:b]].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
-        bucket = part["bucket"][0].as_py()
-        return pa.table({"bucket": pa.array([bucket] * (len(back) + 1), pa.int32()), "chunk": pa.array([*part["chunk"].to_pylist(), -1], pa.int64()), "words": pa.array([None] * len(back) + [found.tobytes()], pa.binary()), "totals": pa.array([*back, totals.tobytes()], pa.binary())})
+def _chunk_words(held: DataFrame) -> DataFrame:
+    """(chunk, word, n): each chunk's words with their training counts in it."""
+    return held.select("chunk", F.inline(F.arrays_zip("words", "counts")).alias("word", "n"))
 
-    dealt = held.select("chunk", "words", "counts").mapInArrow(deal, "bucket int, chunk long, words binary, counts binary")
-    return dealt.groupBy("bucket").applyInArrow(add, "bucket int, chunk long, words binary, totals binary")
 
+def corpus_counts(held: DataFrame) -> DataFrame:
+    """(word, chunk, n, chunks, first): a row per word and chunk that holds it, with the word's training count in the corpus.
 
-def _bucket(words: np.ndarray, buckets: int) -> np.ndarray:
-    return ((words >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    chunks: how many chunks hold the word; first is true in one row of each word.
+    """
+    by_word = Window.partitionBy("word")
+    number = F.row_number().over(by_word.orderBy("chunk"))
+    return _chunk_words(held).select("word", "chunk", F.sum("n").over(by_word).alias("n"), F.count("*").over(by_word).alias("chunks"), (number == 1).alias("first"))
 
 
 def _top(totals: DataFrame, n: int) -> np.ndarray:
     """The n words of most training tokens (ties by key), with their counts; the end is left out."""
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                order = np.lexsort((words, -counts))[: n + 1]
-                yield pa.RecordBatch.from_arrays([pa.array(words[order].view(np.int64)), pa.array(counts[order])], ["word", "n"])
-
-    rows = totals.select("words", "totals").mapInArrow(best, "word long, n long").where((F.col("n") > 0) & (F.col("word") != int(END.view(np.int64))))
+    rows = totals.where((F.col("n") > 0) & (F.col("word") != int(END.view(np.int64)))).select("word", "n")
     return np.array([(r.word, r.n) for r in rows.orderBy(F.col("n").desc(), "word").limit(n).collect()], np.int64).reshape(-1, 2)
 
 
 def _by_fallback(totals: DataFrame) -> dict[int, tuple[int, int]]:
     """Training tokens and distinct training words by fallback."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                words, counts = np.frombuffer(words, np.uint64), np.frombuffer(counts, np.int64)
-                kind = (words & np.uint64(FALLBACKS - 1)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(FALLBACKS)), pa.array(np.bincount(kind, counts, FALLBACKS).astype(np.int64)), pa.array(np.bincount(kind, counts > 0, FALLBACKS).astype(np.int64))], ["kind", "n", "v"])
-
-    rows = totals.select("words", "totals").mapInArrow(add, "kind long, n long, v long").groupBy("kind").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
-    return {r.kind: (r.n, r.v) for r in rows.collect()}
+    kind = F.col("word").bitwiseAND(F.lit(FALLBACKS - 1)).alias("kind")
+    return {r.kind: (r.n, r.v) for r in totals.groupBy(kind).agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).collect()}
 
 
 class Symbols:
@@ -169,19 +141,35 @@ def dealt(chunk: int, n: int, turn: int, rounds: int, share: float) -> np.ndarra
     return (place + np.uint64(turn)) % np.uint64(rounds) < max(1, round(rounds * share))
 
 
+def pieces(lengths: np.ndarray) -> np.ndarray:
+    """Where the pieces of texts of these lengths, one after another, begin, and the end of the last."""
+    count = -(-lengths // PIECE)
+    inside = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    return np.concatenate([np.repeat(np.cumsum(lengths) - lengths, count) + inside * PIECE, [lengths.sum()]])
+
+
+def _values(rows: pa.RecordBatch | pa.Table, column: str, i: int) -> np.ndarray:
+    """A list column's values in row i."""
+    return rows[column][i].values.to_numpy(zero_copy_only=False)
+
+
+def _tokens(rows: pa.RecordBatch | pa.Table, i: int) -> np.ndarray:
+    return np.frombuffer(rows["tokens"][i].as_buffer(), np.uint32)
+
+
 def _train_round(held: DataFrame, symbols: Symbols, start: gru.Params, turn: int, rounds: int, share: float) -> gru.Params:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p, seen = start, 0
         for batch in batches:
-            for row in batch.to_pylist():
-                n, out = np.array(row["n_tokens"], np.int64), np.array(row["held"], bool)
-                chosen = np.flatnonzero(~out & dealt(row["chunk"], len(n), turn, rounds, share))
+            for i in range(batch.num_rows):
+                n, out, words = (_values(batch, c, i) for c in ("n_tokens", "held", "words"))
+                chosen = np.flatnonzero(~out & dealt(batch["chunk"][i].as_py(), len(n), turn, rounds, share))
                 if not len(chosen):
                     continue
-                ids = symbols.of(np.frombuffer(row["words"], np.uint64))[np.frombuffer(row["tokens"], np.uint32)]
+                ids = symbols.of(words.view(np.uint64))[_tokens(batch, i)]
                 first = np.concatenate([[0], np.cumsum(n)])
                 mine = np.concatenate([ids[first[d] : first[d + 1]] for d in chosen])
-                data = gru.lanes(mine, np.concatenate([[0], np.cumsum(n[chosen])]), gru.SIZE - 1, 16)
+                data = gru.lanes(mine, pieces(n[chosen]), gru.SIZE - 1, TRAIN_LANES)
                 p = gru.train(p, data, 0.02 / 2**turn)
                 seen += len(mine)
         if seen:
@@ -202,14 +190,20 @@ def _train_round(held: DataFrame, symbols: Symbols, start: gru.Params, turn: int
     return gru.unpacked(bytes(rows[0]["params"]), start) if rows else start
 
 
-def document_scores(docs: DataFrame, rounds: int = 3, share: float = 1 / 3) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10 probabilities."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    held = stored(chunks(docs), "chunks")
-    entries = held.agg(F.sum(F.octet_length("words"))).first()[0] or 0
-    buckets = max(held.sparkSession.sparkContext.defaultParallelism, -(-entries // (8 * BUCKET_WORDS)))
-    counted = stored(corpus_counts(held, buckets), "counts")
-    totals = counted.where("chunk = -1")
+class Model(NamedTuple):
+    """What the corpus has taught: the network, its symbols, all training tokens and distinct words, and those behind each fallback."""
+
+    params: gru.Params
+    symbols: Symbols
+    n_train: int
+    distinct: int
+    rest_n: np.ndarray
+    rest_v: np.ndarray
+
+
+def learned(held: DataFrame, counts: DataFrame, rounds: int = 3, share: float = 1 / 3) -> Model:
+    """The model of the stored chunks and their counts."""
+    totals = counts.where("first")
     top, fallback = _top(totals, KNOWN), _by_fallback(totals)
     symbols = Symbols(top)
     n_train, distinct = sum(n for n, _ in fallback.values()), sum(v for _, v in fallback.values())
@@ -226,29 +220,43 @@ def document_scores(docs: DataFrame, rounds: int = 3, share: float = 1 / 3) -> D
     params = gru.initial(frequency)
     for turn in range(rounds):
         params = _train_round(held, symbols, params, turn, rounds, share)
+    return Model(params, symbols, n_train, distinct, rest_n, rest_v)
+
+
+def scored(held: DataFrame, counts: DataFrame, m: Model) -> DataFrame:
+    """The rows of document_scores of the stored chunks."""
 
     def score(part: pa.Table, back: pa.Table) -> pa.Table:
-        rows, replies = part.to_pylist(), sorted(zip(back["bucket"].to_pylist(), back["totals"].to_pylist(), strict=True))
-        counts = np.concatenate([np.frombuffer(x, np.int64) for _, x in replies])
+        at, n_all = back["word"].to_numpy().view(np.uint64), back["n"].to_numpy()
         out = []
-        for row in rows:
-            words, tokens = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["tokens"], np.uint32)
-            n = np.array(row["n_tokens"], np.int64)
+        for i in range(part.num_rows):
+            words, tokens, n = _values(part, "words", i).view(np.uint64), _tokens(part, i), _values(part, "n_tokens", i)
+            counts = _values(part, "counts", i).copy()
+            counts[np.searchsorted(words, at)] = n_all
             first = np.concatenate([[0], np.cumsum(n)])
             add = lambda x: np.add.reduceat(x[tokens], first[:-1])  # noqa: B023, E731
-            base = np.log10((counts + 0.5) / (n_train + 0.5 * (distinct + 1)))
-            ids = symbols.of(words)
+            base = np.log10((counts + 0.5) / (m.n_train + 0.5 * (m.distinct + 1)))
+            ids = m.symbols.of(words)
             other = (ids >= KNOWN) & (ids < gru.SIZE - 1)
             which = np.where(other, ids - KNOWN, 0)
-            within = np.where(other, np.log10((counts + 0.5) / (rest_n[which] + 0.5 * (rest_v[which] + 1))), 0.0)
+            within = np.where(other, np.log10((counts + 0.5) / (m.rest_n[which] + 0.5 * (m.rest_v[which] + 1))), 0.0)
             data = gru.lanes(ids[tokens], first, gru.SIZE - 1, LANES)
-            model = gru.log_likelihood(params, data, len(n)) / np.log(10)
-            out.append(pa.table({"doc_id": part["doc_ids"].combine_chunks().flatten(), "held_out": pa.array(row["held"]), "n_tokens": n, "n_known": add((counts > 0).astype(np.int64)), "train_tokens": np.full(len(n), n_train), "base_score": add(base), "score": model + add(within)}))
+            model = gru.log_likelihood(m.params, data, len(n)) / np.log(10)
+            out.append(pa.table({"doc_id": part["doc_ids"][i].values, "held_out": part["held"][i].values, "n_tokens": n, "n_known": add((counts > 0).astype(np.int64)), "train_tokens": np.full(len(n), m.n_train), "base_score": add(base), "score": model + add(within)}))
         return pa.concat_tables(out)
 
+    kind = held.schema["doc_ids"].dataType.elementType.simpleString()
     result = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = counted.where("chunk >= 0").select("chunk", "bucket", "totals")
-    return held.drop("counts").groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(score, result)
+    # a word of one chunk has all its count there
+    replies = counts.where("chunks > 1").select(F.col("chunk").alias("of"), "word", "n")
+    return held.groupBy("chunk").cogroup(replies.groupBy("of")).applyInArrow(score, result)
+
+
+def document_scores(docs: DataFrame, rounds: int = 3, share: float = 1 / 3) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), scores as log10 probabilities."""
+    held = stored(chunks(docs), "chunks")
+    counts = stored(corpus_counts(held), "counts")
+    return scored(held, counts, learned(held, counts, rounds, share))
 
 
 def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,11 +489,11 @@ def test_scores_are_those_of_a_plain_forward_pass(spark):
 
     rows = corpora.odd_rows() + [(1000 + i, corpora.words(i, 150, 3000), "en", "s", 0) for i in range(60)]
     held = language_model.stored(language_model.chunks(spark.createDataFrame(rows, corpora.SCHEMA).repartition(3)), "chunks")
-    totals = language_model.stored(language_model.corpus_counts(held), "counts")
-    model = language_model.learned(held, totals)
-    counts = {r.word % 2**64: r.n for r in totals.collect()}
+    table = language_model.stored(language_model.corpus_counts(held), "counts")
+    model = language_model.learned(held, table)
+    counts = {r.word % 2**64: r.n for r in table.where("first").collect()}
     got = defaultdict(list)
-    for r in language_model.scored(held, totals, model).collect():
+    for r in language_model.scored(held, table, model).collect():
         got[r.doc_id].append(r.score)
     assert model.symbols.keys.size == language_model.KNOWN < len(counts)
     for i, text, *_ in rows:
@@ -516,8 +516,8 @@ def test_gradients_are_those_of_the_loss():
     data = gru.lanes(ids, np.array([0, 7, 20, 21, 60]), gru.SIZE - 1, 3)
     p = {k: v.astype(np.float64) for k, v in gru.initial(r.integers(0, 50, gru.SIZE)).items()}
     h = np.zeros((data.target.shape[1], gru.HIDDEN))
-    g, _, _, n = gru.gradients(p, gru._table(p), data, h)
-    loss = lambda q: gru.gradients(q, gru._table(q), data, h)[2] / n
+    g, _, _, n = gru.gradients(p, data, h)
+    loss = lambda q: gru.gradients(q, data, h)[2] / n
     for name in ("wh", "wx", "bn", "wc", "emb", "ww"):
         flat = np.flatnonzero(np.abs(g[name].ravel()) > 1e-5)
         at = np.unravel_index(flat[len(flat) // 2], g[name].shape)
