@@ -57,8 +57,8 @@ def template_rows(rows: DataFrame, index: str, run: str, words: Sequence[str], l
 
     The tag leads every text and seeds every row, so no run meets another's cached prefix.
     """
-    i, bag = F.col(index), F.array(*map(F.lit, words))
+    i, bag = F.col("__i"), F.array(*map(F.lit, words))
     name = F.concat(F.lit(f"{run}-"), i.cast("string"))
     chosen = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda j: F.element_at(bag, ((i * 7 + j * 3) % len(words) + 1).cast("int")))
     text = F.concat(F.lit(f"[{run}] Summarise in one sentence (item "), i.cast("string"), F.lit("): "), F.array_join(chosen, " "))
-    return rows.select(name.alias("id"), F.crc32(F.encode(name, "UTF-8")).alias("seed"), text.alias("text"))
+    return rows.select(F.col(index).alias("__i")).select(name.alias("id"), F.crc32(F.encode(name, "UTF-8")).alias("seed"), text.alias("text"))
