@@ -2,10 +2,12 @@
 
 Seeds: the word k-grams of a text are winnowed, so that every window of `length` words has one anchor, the least
 k-gram hash in it, which depends on the window's words alone: equal windows meet at equal anchors.  Join: only
-anchors that stand twice or more are looked at again.  Extend: an anchor reaches left and right over all windows it
-is the anchor of (its block).  Blocks that stand twice are repeated whole.  Where blocks of an anchor differ, the
-match ends somewhere inside: one of each differing block is compared window by window.  Adjacent repeated windows
-are the maximal repeats, and no pair of occurrences is ever listed.
+anchors that stand twice or more are looked at again.  Extend: an anchor with l words before it and length - k - l
+after it is one of its extensions; those of which it is the anchor are its block, and the words that they reach to
+the left and to the right are all that matter.  Blocks that stand twice are repeats whole.  Where the blocks of an
+anchor differ, the match ends somewhere inside: one of each differing block is extended, every split to both sides at
+once, and the extensions that stand elsewhere too are matches of `length` words.  Adjacent matches join to the maximal
+repeats.  Extensions meet by hash, whatever their number: no pair of occurrences is ever listed.
 
 Edge cases: null texts have no words; texts shorter than the window keep everything; rows that repeat are copies of
 each other; very long texts are hashed in slices of whole texts and stay one row; columns beside doc_id and text
@@ -77,28 +79,26 @@ class Windows:
         return grams[owner[turn]], s[turn], count, owner[turn]
 
 
-def anchors(rows: DataFrame, length: int, k: int, only_seeds: bool) -> DataFrame:
-    """(anchor) of each block; with its content's hash, row, first window and number of windows unless only_seeds."""
+def anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
+    """(anchor, block, row, first, n) of each block: its content's hash, first window and number of windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in _slices(batch.column(1)):
                 w = Windows(texts, length)
                 seed, begin, count, owner = w.blocks(length, k)
-                columns = [pa.array(seed.view(np.int64))]
-                if not only_seeds:
-                    with np.errstate(over="ignore"):
-                        block = mix64(w.runs(begin, begin + count - 1 + length) ^ mix64((count * 64 + owner - begin).astype(np.uint64)))
-                    docs = w.doc[begin] if len(begin) else begin
-                    row = batch.column(0).to_numpy(zero_copy_only=False)[at + docs]
-                    columns += [pa.array(block.view(np.int64)), pa.array(row, pa.int64()), pa.array(begin - w.first[docs], pa.int32()), pa.array(count, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", "row", "first", "n"][: len(columns)])
+                with np.errstate(over="ignore"):
+                    block = mix64(w.runs(begin, begin + count - 1 + length) ^ mix64((count * 64 + owner - begin).astype(np.uint64)))
+                docs = w.doc[begin] if len(begin) else begin
+                row = batch.column(0).to_numpy(zero_copy_only=False)[at + docs]
+                columns = [pa.array(seed.view(np.int64)), pa.array(block.view(np.int64)), pa.array(row, pa.int64()), pa.array(begin - w.first[docs], pa.int32()), pa.array(count, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", "row", "first", "n"])
 
-    return rows.select("row", "text").mapInArrow(run, "anchor long" if only_seeds else "anchor long, block long, row long, first int, n int")
+    return rows.select("row", "text").mapInArrow(run, "anchor long, block long, row long, first int, n int")
 
 
-def _window_hashes(chosen: DataFrame, length: int) -> DataFrame:
-    """(row, doc_id, text, ranges) -> (window, row, first, lone) of each window of the ranges."""
+def _extensions(chosen: DataFrame, length: int) -> DataFrame:
+    """(row, doc_id, text, ranges) -> (window, row, first, lone): the hash and first word of each extension of the ranges' anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,9 +119,10 @@ def _window_hashes(chosen: DataFrame, length: int) -> DataFrame:
 
 def repeated_windows(rows: DataFrame, length: int = LENGTH, k: int = SEED_WORDS) -> DataFrame:
     """(row, first, n): runs of windows of `length` words whose words also start anywhere else."""
-    # stored, so that a join has plain shuffles on both sides and a hot anchor's rows can be split
-    twice = stored(anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
-    met = stored(anchors(rows, length, k, False).join(twice, "anchor", "left_semi"), "anchors")
+    # stored, so that texts are hashed once, and a join has plain shuffles on both sides and a hot anchor's rows can be split
+    every = stored(anchors(rows, length, k), "anchors")
+    twice = stored(every.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
+    met = stored(every.join(twice, "anchor", "left_semi"), "met-anchors")
     one = F.min(F.struct("row", "first", "n"))
     blocks = met.groupBy("anchor", "block").agg(F.count("*").alias("copies"), one.alias("one"))
     blocks = stored(blocks, "blocks")
@@ -129,7 +130,7 @@ def repeated_windows(rows: DataFrame, length: int = LENGTH, k: int = SEED_WORDS)
     differ = stored(blocks.groupBy("anchor").count().where("count > 1").select("anchor"), "differ")
     edges = blocks.join(differ, "anchor", "left_semi").select("one.*", (F.col("copies") == 1).alias("lone"))
     ranges = edges.groupBy("row").agg(F.collect_list(F.struct("first", "n", "lone")).alias("ranges"))
-    windows = _window_hashes(rows.join(ranges, "row").select("row", "doc_id", "text", "ranges"), length)
+    windows = _extensions(rows.join(ranges, "row").select("row", "doc_id", "text", "ranges"), length)
     windows = stored(windows, "windows")
     again = stored(windows.groupBy("window").count().where("count > 1").select("window"), "again")
     parts = windows.where("lone").join(again, "window", "left_semi").select("row", "first", F.lit(1).alias("n"))
