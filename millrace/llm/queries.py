@@ -20,5 +20,6 @@ ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
     "op2_quality_rules": quality.OP2_SQL,
     "op3_substring_dedup": substring_dedup.OP3_SQL,
+    "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
 }

@@ -88,8 +88,8 @@ def _owners(piece: Piece, starts: np.ndarray, n: int, length: int, k: int) -> np
     return (least[starts] & np.uint64((1 << 20) - 1)).astype(np.int64), grams
 
 
-def anchors(rows: DataFrame, length: int, k: int, only_seeds: bool) -> DataFrame:
-    """(anchor) of each block; with block, row, doc_id and span unless only_seeds.
+def anchors(rows: DataFrame, length: int, k: int) -> DataFrame:
+    """(anchor, block, row, doc_id, span) of each block.
 
     span is one long, to keep the shuffled rows small: first start, number of starts, place of the anchor from first.
     """
@@ -113,9 +113,6 @@ def anchors(rows: DataFrame, length: int, k: int, only_seeds: bool) -> DataFrame
                 owner, grams = _owners(piece, starts, n, length, k)
                 turn = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | (doc[starts[1:]] != doc[starts[:-1]])]))
                 seed = pa.array(grams[owner[turn]].view(np.int64))
-                if only_seeds:
-                    yield pa.RecordBatch.from_arrays([seed], ["anchor"])
-                    continue
                 count = np.diff(np.concatenate([turn, [len(starts)]]))
                 first, place = starts[turn], owner[turn] - starts[turn]
                 with np.errstate(over="ignore"):
@@ -126,7 +123,7 @@ def anchors(rows: DataFrame, length: int, k: int, only_seeds: bool) -> DataFrame
                 columns = [seed, pa.array(block.view(np.int64)), pa.array(row[of], pa.int64()), ids.take(pa.array(of)), pa.array(span, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, ["anchor", "block", "row", "doc_id", "span"])
 
-    return rows.mapInArrow(run, "anchor long" if only_seeds else "anchor long, block long, row long, doc_id long, span long")
+    return rows.mapInArrow(run, "anchor long, block long, row long, doc_id long, span long")
 
 
 def _parts(span: Column) -> list[Column]:
@@ -302,10 +299,11 @@ def _string_rows(chosen: DataFrame, length: int) -> DataFrame:
 
 def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """(row, first, n), stored: runs of starts of strings that also start earlier in the corpus."""
-    # stored, so that a join has plain shuffles on both sides and a hot anchor's rows can be split
-    twice = stored(anchors(rows, length, k, True).groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
-    met = stored(anchors(rows, length, k, False).join(twice, "anchor", "left_semi"), "byte-anchors")
-    release(twice)
+    # stored, so that texts are hashed once, and a join has plain shuffles on both sides and a hot anchor's rows can be split
+    every = stored(anchors(rows, length, k), "byte-anchors")
+    twice = stored(every.groupBy("anchor").count().where("count > 1").select("anchor"), "twice")
+    met = stored(every.join(twice, "anchor", "left_semi"), "met-anchors")
+    release(every, twice)
     earliest = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "span")).alias("one")
     blocks = stored(met.groupBy("anchor", "block").agg(F.count("*").alias("copies"), earliest), "byte-blocks")
     copied = blocks.where("copies > 1").select("anchor", "block", F.col("one.row").alias("r"), F.col("one.span").alias("s"))
@@ -372,3 +370,15 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = without_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS t, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT rid, doc_id, i, md5(t[i + 1:i + 100]) AS g FROM (SELECT rid, doc_id, t, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+later AS (SELECT rid, i FROM (SELECT rid, i, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM strings) WHERE k > 1),
+turns AS (SELECT rid, i, CASE WHEN i <= lag(i) OVER (PARTITION BY rid ORDER BY i) + 100 THEN 0 ELSE 1 END AS opens FROM later),
+runs AS (SELECT rid, min(i) AS a, max(i) + 100 AS b FROM (SELECT rid, i, sum(opens) OVER (PARTITION BY rid ORDER BY i) AS r FROM turns) GROUP BY rid, r),
+gone AS (SELECT rid, list(a ORDER BY a) AS a, list(b ORDER BY a) AS b, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid),
+pieces AS (SELECT rid, doc_id, n, n_removed, n_spans, list_transform(range(1, len(coalesce(a, [])) + 2), lambda k: hex(t[coalesce(b[k - 1], 0) + 1:coalesce(a[k], n)])) AS p FROM d LEFT JOIN gone USING (rid))
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(array_to_string(p, ''))) AS kept_sha256 FROM pieces
+"""
