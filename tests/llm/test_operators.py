@@ -141,10 +141,13 @@ def test_cascade_spares_what_cheap_rules_reject(spark):
     rows.count()
 
     def seconds(df):
-        df.write.format("noop").mode("overwrite").save()
-        began = time.perf_counter()
-        df.write.format("noop").mode("overwrite").save()
-        return time.perf_counter() - began
+        """The least of some runs: the first also compiles."""
+        took = []
+        for _ in range(4):
+            began = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            took.append(time.perf_counter() - began)
+        return min(took)
 
     order = ["shouting", "symbols", "word_length", "few_words", "repeated_lines", "repeated_words"]
     assert quality._cascade(rows, quality.RULES, order).count() == 0
