@@ -159,28 +159,6 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: in
     return out
 
 
-def run_hashes(values: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of each run of `length` consecutive values (rolling sums of products)."""
-    n = len(values) - length + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        # binary doubling: hash of 2^k values from two hashes of 2^(k-1)
-        done, block, size, up = 0, values, 1, BASE
-        rest = length
-        while rest:
-            if rest & 1:
-                out = out * up + block[done : done + n]
-                done += size
-            rest >>= 1
-            if rest:
-                block = block[:-size] * up + block[size:] if len(block) > size else block[:0]
-                up = up * up
-                size *= 2
-    return mix64(out)
-
-
 def words_of(texts: pa.Array, lower: bool = False, alnum: bool = False):
     """(hash, doc, start, end, data) of all words of an Arrow string array."""
     data, offsets = string_bytes(texts)
