@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_text, language_model, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, tokens
+from . import alignment, decontaminate, html_text, language_model, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, tokens, top_k, vector_codes
 
 QUERIES = {
     "op1_mix_sources": mixing.op1_mix_sources,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_language_model": language_model.op10_language_model,
+    "op11_vector_codes": vector_codes.op11_vector_codes,
+    "op12_cross_tokenizer": alignment.op12_cross_tokenizer,
+    "op13_exact_top_k": top_k.op13_exact_top_k,
 }
 ORACLES = {
     "op1_mix_sources": mixing.OP1_SQL,
@@ -22,4 +25,6 @@ ORACLES = {
     "op3_substring_dedup": substring_dedup.OP3_SQL,
     "op8_suffix_dedup": suffix_dedup.OP8_SQL,
     "op9_decontaminate": decontaminate.OP9_SQL,
+    "op11_vector_codes": vector_codes.OP11_SQL,
+    "op13_exact_top_k": top_k.OP13_SQL,
 }
