@@ -37,8 +37,12 @@ def uncovered_parts(parts: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def first_wins(rows: DataFrame, order: str) -> DataFrame:
-    """One row per id, the first by an input position: a minimum per id, so a repeated id needs no sort of its rows."""
-    return rows.groupBy("id").agg(F.min_by(F.struct(*rows.columns), order).alias("r")).select("r.*")
+    """One row per id, the first by an input position.
+
+    A ranking by id: rows that can't be first leave before the shuffle, and no whole row waits in an aggregate.
+    """
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(order))
+    return rows.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
 
 
 def skip_done(rows: DataFrame, records: DataFrame, order: str, retry_errors: bool = False) -> DataFrame:
@@ -46,20 +50,31 @@ def skip_done(rows: DataFrame, records: DataFrame, order: str, retry_errors: boo
     return first_wins(rows.join(existing_ids(records, retry_errors), "id", "left_anti"), order)
 
 
-def resume_counts(rows: DataFrame, records: DataFrame, retry_errors: bool = False) -> DataFrame:
-    """One row: rows_total, rows_done_prior, rows_errored_prior, rows_deduped, rows_to_do."""
-    states = id_states(records)
-    known = rows.join(states, "id", "left")
-    skip = F.coalesce(F.col("done") if retry_errors else F.lit(True) & F.col("done").isNotNull(), F.lit(False))
-    counted = known.groupBy("id").agg(F.count("*").alias("n"), F.first(skip).alias("skip"), F.first(F.coalesce(F.col("failed") & ~F.col("done"), F.lit(False))).alias("errored"))
+def resume_states(rows: DataFrame, records: DataFrame, retry_errors: bool = False) -> DataFrame:
+    """(id, n, skip, errored) of each id of rows: how many rows, whether they are left out, whether they have only failed.
+
+    Only ids pass the join and the shuffle, whatever else the rows hold.
+    """
+    known = rows.groupBy("id").agg(F.count("*").alias("n")).join(id_states(records), "id", "left")
+    skip = F.coalesce(F.col("done"), F.lit(False)) if retry_errors else F.col("done").isNotNull()
+    return known.select("id", "n", skip.alias("skip"), F.coalesce(F.col("failed") & ~F.col("done"), F.lit(False)).alias("errored"))
+
+
+def state_counts(retry_errors: bool = False) -> list[Column]:
+    """The counters of a run as aggregates over resume_states: rows_total, rows_done_prior, rows_errored_prior, rows_deduped, rows_to_do."""
     n, s = F.col("n"), F.col("skip")
-    return counted.agg(
+    return [
         F.sum(n).alias("rows_total"),
         F.sum(F.when(s, n).otherwise(0)).alias("rows_done_prior"),
         F.sum(F.when(s & F.col("errored") & F.lit(not retry_errors), n).otherwise(0)).alias("rows_errored_prior"),
         F.sum(F.when(~s, n - 1).otherwise(0)).alias("rows_deduped"),
         F.count_if(~s).alias("rows_to_do"),
-    )
+    ]
+
+
+def resume_counts(rows: DataFrame, records: DataFrame, retry_errors: bool = False) -> DataFrame:
+    """One row: rows_total, rows_done_prior, rows_errored_prior, rows_deduped, rows_to_do."""
+    return resume_states(rows, records, retry_errors).agg(*state_counts(retry_errors))
 
 
 def healed(records: DataFrame) -> DataFrame:

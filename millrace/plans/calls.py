@@ -6,23 +6,29 @@ leave a task as their calls end, in no order, so a slow call holds nobody up.
 
 from __future__ import annotations
 
+import http.client
+import inspect
+import queue
 import random
 import threading
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass
-from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .. import schema as lattice
-from ..settings import Bounds, require
-from .requests import Failed, Request, as_request, http_json, probe_body
+from ..settings import checked
+from .ahead import plain_rows
+from .requests import Failed, Request, as_request, http_json, probe_body, transport
 
-__all__ = ["Breaker", "Failed", "Policy", "Request", "ServerLost", "attempt", "call_rows", "ended_calls", "http_json"]
+__all__ = ["Breaker", "Failed", "Policy", "Request", "ServerLost", "attempt", "call_rows", "ended_calls", "http_json", "two_argument_parse"]
+
+#: Rows that a task has read before their calls may begin.
+READ_AHEAD = 64
 
 
 class ServerLost(RuntimeError):
@@ -30,17 +36,17 @@ class ServerLost(RuntimeError):
 
 
 #: What a policy's numbers must be.
-BOUNDS = (
-    Bounds("window", whole=True, low=1),
-    Bounds("attempts", whole=True, low=1),
-    Bounds("first_delay", low=0),
-    Bounds("longest_delay", low=0),
-    Bounds("budget_s", low=0, over=True),
-    Bounds("breaker", whole=True, low=1),
-    Bounds("probe_s", low=0, over=True),
-    Bounds("open_s", low=0, over=True),
-    Bounds("ramp_s", low=0),
-)
+POLICY = {
+    "window": "[1, inf) whole",
+    "attempts": "[1, inf) whole",
+    "first_delay": "[0, inf)",
+    "longest_delay": "[0, inf)",
+    "budget_s": "(0, inf]",
+    "breaker": "[1, inf) whole",
+    "probe_s": "(0, inf)",
+    "open_s": "(0, inf]",
+    "ramp_s": "[0, inf)",
+}
 
 
 @dataclass
@@ -61,7 +67,7 @@ class Policy:
     ramp_s: float = 0.0
 
     def __post_init__(self) -> None:
-        require("Policy", BOUNDS, asdict(self))
+        self.__dict__.update(checked("Policy", POLICY, asdict(self)))
 
 
 @dataclass
@@ -121,95 +127,177 @@ def _alive(send: Callable, request: Request) -> bool:
     return True
 
 
+def _timed(send: Callable) -> Callable[[Request | dict, float | None], dict]:
+    """send with a timeout where it takes one; a sender without one can't be stopped."""
+    try:
+        taken = inspect.signature(send).parameters
+    except (TypeError, ValueError):
+        taken = {}
+    if "timeout" in taken:
+        return lambda body, left: send(body, timeout=left) if left is not None else send(body)
+    return lambda body, left: send(body)
+
+
+def _what_failed(e: Exception) -> Failed:
+    """A sender's exception as a failed attempt: a broken line is tried again, anything else is the row's own fault."""
+    if isinstance(e, Failed):
+        return e
+    if isinstance(e, OSError | http.client.HTTPException):
+        return transport(e)
+    return Failed(f"client: {type(e).__name__}: {e}")
+
+
 def attempt(send: Callable[[Request | dict], dict], asked: Request | dict, policy: Policy, breaker: Breaker, dice: random.Random, meter: Meter | None = None) -> dict:
     """Send until it works or the attempts or the budget are used up; the error names the first failure too.
 
-    Time at an open breaker is not taken from the budget.  A request with an open file is sent once.
+    Time at an open breaker is not taken from the budget.  The first attempt may last as long as the sender allows; a
+    later one begins only within the budget and ends with it.  A request with an open file is sent once.
     """
     request, errors, meter, pressed = as_request(asked), [], meter or Meter(), False
-    body = request if isinstance(asked, Request) else asked
+    body, timed = request if isinstance(asked, Request) else asked, _timed(send)
     delay, end = policy.first_delay, time.monotonic() + policy.budget_s
     for turn in range(policy.attempts):
+        if turn and time.monotonic() >= end:
+            break
         meter.retries += turn > 0
         end += breaker.gate(lambda: _alive(send, request))
         began = time.monotonic()
         try:
-            reply = send(body)
+            reply = timed(body, end - began if turn and end - began < float("inf") else None)
+        except ServerLost:
+            raise
+        except Exception as e:
+            failed = _what_failed(e)
+        else:
             breaker.note(False)
             meter.ok, meter.latency = meter.ok + 1, time.monotonic() - began
             return reply
-        except Failed as e:
-            breaker.note(e.breaker)
-            errors.append(str(e))
-            pressed, meter.pressure = pressed or e.retry, meter.pressure + (e.retry and not pressed)
-            pause = e.wait * dice.uniform(1, 1.2) if e.wait is not None else dice.uniform(0, delay)
-            if not e.retry or not request.resendable or time.monotonic() + pause > end:
-                break
-            delay = min(2 * delay, policy.longest_delay)
-            time.sleep(pause)
+        breaker.note(failed.breaker)
+        errors.append(str(failed))
+        meter.pressure += failed.pressure and not pressed
+        pressed = pressed or failed.pressure
+        if not failed.retry or not request.resendable or turn == policy.attempts - 1:
+            break
+        pause = failed.wait * dice.uniform(1, 1.2) if failed.wait is not None else dice.uniform(0, delay)
+        delay = min(2 * delay, policy.longest_delay)
+        time.sleep(min(pause, max(0.0, end - time.monotonic())))
     last = errors[-1]
     raise Failed(last if last == errors[0] else f"{last} (first attempt: {errors[0]})")
 
 
-def ended_calls(frames: Iterator[pd.DataFrame], to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy, tick_s: float = 0.2, meter: Meter | None = None) -> Iterator[list[dict]]:
-    """Records of the calls that have ended, at least every tick_s seconds (then maybe none)."""
-    empty, breaker, dice = dict.fromkeys(schema.fieldNames()), Breaker(policy.breaker, policy.probe_s, policy.open_s), random.Random()
+def two_argument_parse(parse: Callable) -> Callable[[dict, dict], dict]:
+    """parse(row, reply) from that or from parse(reply); arguments with defaults don't count."""
+    try:
+        needed = [p for p in inspect.signature(parse).parameters.values() if p.default is p.empty and p.kind < p.VAR_POSITIONAL]
+    except (TypeError, ValueError):  # nothing is known of it
+        return parse
+    return (lambda row, reply: parse(reply)) if len(needed) < 2 else parse
 
-    def one(row: dict) -> dict:
+
+class _Reader(threading.Thread):
+    """Reads a task's rows ahead, so that a slow input keeps no finished record back; an error comes after the rows before it."""
+
+    def __init__(self, rows: Iterable[dict]):
+        super().__init__(daemon=True)
+        self.rows, self.held, self.ended = rows, queue.Queue(READ_AHEAD), False
+
+    def run(self) -> None:
+        last: tuple = (None, None)
         try:
+            for row in self.rows:
+                if not self._put((row, None)):
+                    return
+        except BaseException as e:
+            last = (None, e)
+        self._put(last)
+
+    def _put(self, item: tuple) -> bool:
+        while not self.ended:
             try:
-                asked = to_request(row)
-                as_request(asked)
-            except Exception as e:
-                raise Failed(f"client: {type(e).__name__}: {e}") from e
-            reply = attempt(send, asked, policy, breaker, dice, meter)
-            try:
-                out = parse(row, reply)
-            except Exception as e:
-                raise Failed(f"client: {type(e).__name__}: {e}") from e
+                self.held.put(item, timeout=0.2)
+                return True
+            except queue.Full:
+                continue
+        return False
+
+    def next(self) -> dict | None:
+        """The next row if one is there; raises queue.Empty if not yet, gives None at the end."""
+        row, error = self.held.get_nowait()
+        if error is not None:
+            raise error
+        return row
+
+
+def ended_calls(rows: Iterable[dict], to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable, schema: T.StructType, policy: Policy, tick_s: float = 0.2, meter: Meter | None = None) -> Iterator[pa.RecordBatch]:
+    """Records of the calls that have ended, at least every tick_s seconds (then maybe none).
+
+    Whatever goes wrong with a row alone is its error: building or encoding the request, the sender, the reply, parse,
+    a value that the schema does not hold.
+    """
+    breaker, dice, store, parse = Breaker(policy.breaker, policy.probe_s, policy.open_s), random.Random(), lattice.Storing(schema), two_argument_parse(parse)
+
+    def one(row: dict) -> dict:
+        try:
+            out = parse(row, attempt(send, to_request(row), policy, breaker, dice, meter))
             if not isinstance(out, dict):
-                raise Failed(f"client: parse returned {type(out).__name__}, not a dict")
-            try:
-                return lattice.conform({**out, "id": row["id"], "error": None}, schema)
-            except lattice.DoesNotFit as e:
-                raise Failed(f"parse output not storable: {e}") from e
+                raise TypeError(f"parse must return a dict, got {type(out).__name__}")
+            return {**out, "id": row["id"], "error": None}
         except Failed as e:
-            return {**empty, "id": row["id"], "error": str(e)}
-
-    rows = (row for frame in frames for row in frame.to_dict("records"))
-    began = time.monotonic()
+            return {"id": row["id"], "error": str(e)}
+        except ServerLost:
+            raise
+        except Exception as e:
+            return {"id": row["id"], "error": f"client: {type(e).__name__}: {e}"}
+
+    began, source, more = time.monotonic(), _Reader(rows), True
+    source.start()
     with ThreadPoolExecutor(policy.window) as pool:
         running: set[Future] = set()
         try:
-            while True:
+            while more or running:
                 open_ = policy.window if not policy.ramp_s else max(1, min(policy.window, int(policy.window * (time.monotonic() - began) / policy.ramp_s)))
-                running |= {pool.submit(one, row) for row in islice(rows, max(0, open_ - len(running)))}
-                if not running:
-                    return
-                done, running = wait(running, tick_s, FIRST_COMPLETED)
-                yield [f.result() for f in done]
+                idle = False
+                while more and len(running) < open_:
+                    try:
+                        row = source.next()
+                    except queue.Empty:
+                        idle = True
+                        break
+                    if row is None:
+                        more = False
+                    else:
+                        running.add(pool.submit(one, row))
+                if running:
+                    done, running = wait(running, min(tick_s, 0.005) if idle else tick_s, FIRST_COMPLETED)
+                    yield store.batch([f.result() for f in done])
+                elif more:
+                    time.sleep(0.002)
+                    yield store.batch([])
         finally:
+            source.ended = True
             for f in running:
                 f.cancel()
 
 
-def call_rows(rows: DataFrame, to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], schema: T.StructType, policy: Policy | None = None, together: int = 500) -> DataFrame:
+def call_rows(rows: DataFrame, to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable, schema: T.StructType, policy: Policy | None = None, together: int = 500) -> DataFrame:
     """A record (of schema, with id and error) for every row: what parse made of the reply, or the error.
 
-    Records go on in frames of about `together`, or each second.
+    to_request and parse get a row as a dict of plain Python values, whatever its Spark types; parse is called with
+    (row, reply), or with the reply alone if it takes one argument.  Records go on in batches of about `together`, or
+    each second.
     """
     lattice.check_declared(schema)
     policy = policy or Policy()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, since = [], time.monotonic()
-        made = lambda records: pd.DataFrame(records, columns=schema.fieldNames(), dtype=object)
-        for records in ended_calls(frames, to_request, send, parse, schema, policy):
-            held += records
-            if len(held) >= together or held and time.monotonic() - since >= 1:
-                yield made(held)
-                held, since = [], time.monotonic()
-        if held:
-            yield made(held)
-
-    return rows.mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, since = [], 0, time.monotonic()
+        for records in ended_calls(plain_rows(batches), to_request, send, parse, schema, policy):
+            if records.num_rows:
+                held.append(records)
+                size += records.num_rows
+            if size >= together or held and time.monotonic() - since >= 1:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size, since = [], 0, time.monotonic()
+        yield from held
+
+    return rows.mapInArrow(run, schema)

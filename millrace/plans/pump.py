@@ -7,17 +7,18 @@ import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schema as lattice
 from ..functions import ids
 from ..operators import resume
-from ..settings import Bounds, require
+from ..settings import checked
 from ..sources.sinks import Sink, as_sink
+from .ahead import plain_rows
 from .calls import Meter, Policy, call_rows, ended_calls
 
 
@@ -44,20 +45,21 @@ class Stats:
         return self.rows_total - self.rows_done_prior - self.rows_deduped - self.rows_processed - self.rows_failed
 
 
-BOUNDS = (Bounds("fail_fast", whole=True, low=0), Bounds("partitions", whole=True, low=1, optional=True), Bounds("flush_rows", whole=True, low=1, optional=True))
+PUMP = {"fail_fast": "[0, inf) whole", "partitions": "[1, inf) whole or none", "flush_rows": "[1, inf) whole or none"}
 
 
 def call_and_store(todo: DataFrame, to_request: Callable, send: Callable, parse: Callable, sink: Sink, schema: T.StructType, policy: Policy, shard: int = 0, tick_s: float = 2.0) -> DataFrame:
     """(ok, failed) of each task that called its rows and stored their records, each soon after its call has ended."""
     lattice.check_declared(schema)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, ok, failed, meter, began, seen = sink.rows(schema), 0, 0, Meter(), time.monotonic(), 0.0
         log = sink.ticks(shard)
         try:
-            for records in ended_calls(frames, to_request, send, parse, schema, policy, meter=meter):
-                for _, error in out.add(records):
-                    ok, failed = ok + (error is None), failed + (error is not None)
+            for records in ended_calls(plain_rows(batches), to_request, send, parse, schema, policy, meter=meter):
+                if records.num_rows:
+                    good, bad = out.add_batch(records)
+                    ok, failed = ok + good, failed + bad
                 out.due()
                 now = time.monotonic() - began
                 if log and now - seen >= tick_s:
@@ -67,9 +69,9 @@ def call_and_store(todo: DataFrame, to_request: Callable, send: Callable, parse:
             out.close()  # what has ended is kept, whatever ends the task
             if log:
                 log.write()
-        yield pd.DataFrame({"ok": [ok], "failed": [failed]})
+        yield pa.RecordBatch.from_pydict({"ok": [ok], "failed": [failed]})
 
-    return todo.mapInPandas(run, "ok long, failed long")
+    return todo.mapInArrow(run, "ok long, failed long")
 
 
 def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[dict], dict], parse: Callable[[dict, dict], dict], target: str | Sink, schema: T.StructType, *, id_key: str | None = None, order: str | None = None, shard: tuple[int, int] = (0, 1), retry_errors: bool = False, fail_fast: int = 32, partitions: int | None = None, flush_rows: int | None = None, policy: Policy | None = None) -> Stats:
@@ -79,31 +81,36 @@ def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[di
     fail_fast: if that many rows of a first batch all fail, AllFailed is raised and none is stored; 0 turns it off,
     and so does retry_errors.  Calls run in `partitions` tasks with a window of calls each.
     """
-    require("pump", BOUNDS, {"fail_fast": fail_fast, "partitions": partitions, "flush_rows": flush_rows})
-    spark, began, name, policy, sink = rows.sparkSession, time.time(), uuid.uuid4().hex[:12], policy or Policy(), as_sink(target, flush_rows)
+    plain = checked("pump", PUMP, {"fail_fast": fail_fast, "partitions": partitions, "flush_rows": flush_rows})
+    fail_fast, partitions, flush_rows = plain["fail_fast"], plain["partitions"], plain["flush_rows"]
+    began, name, policy, sink = time.time(), uuid.uuid4().hex[:12], policy or Policy(), as_sink(target, flush_rows)
     keyed = ids.shard_select(rows if "id" in rows.columns else ids.with_id(rows, id_key=id_key), *shard)
-    prior = sink.known(spark)
-    counts = resume.resume_counts(keyed, prior, retry_errors).first()
-    # kept, so that the resume join runs once for the first rows and the rest
-    todo = kept = resume.skip_done(keyed, prior, order or "id", retry_errors).persist(StorageLevel.DISK_ONLY)
+    # the one resume join: it moves ids only, is counted as it runs, and is kept for the rows' own join with it
+    seen = Observation()
+    states = resume.resume_states(keyed, sink.known(rows.sparkSession), retry_errors).observe(seen, *resume.state_counts(retry_errors)).persist(StorageLevel.DISK_ONLY)
     ok = failed = 0
     try:
+        states.count()
+        counts = seen.get
+        left = states.where("not skip").select("id")
+        todo = (keyed.repartition(partitions, "id") if partitions else keyed).join(left, "id", "left_semi")
+        if counts["rows_deduped"]:
+            todo = resume.first_wins(todo, order or "id")
         if fail_fast > 0 and not retry_errors and (counts["rows_to_do"] or 0) >= fail_fast:
-            first = spark.createDataFrame(todo.limit(fail_fast).collect(), todo.schema)  # fail_fast rows
-            tried = [r.asDict(True) for r in call_rows(first, to_request, send, parse, schema, policy).collect()]
-            if all(r["error"] is not None for r in tried):
-                raise AllFailed(f"the first {fail_fast} rows failed: {tried[0]['error']}")
+            first = [r["id"] for r in left.limit(fail_fast).collect()]  # fail_fast ids
+            tried = call_rows(todo.where(F.col("id").isin(first)), to_request, send, parse, schema, policy).toArrow()
+            if not tried["error"].null_count:
+                raise AllFailed(f"the first {fail_fast} rows failed: {tried['error'][0]}")
             out = sink.rows(schema)
-            stored = out.add(tried)
+            for batch in tried.to_batches():
+                good, bad = out.add_batch(batch)
+                ok, failed = ok + good, failed + bad
             out.close()
-            ok, failed = sum(e is None for _, e in stored), sum(e is not None for _, e in stored)
-            todo = todo.join(first.select("id"), "id", "left_anti")
-        if partitions:
-            todo = todo.repartition(partitions, "id")
+            todo = todo.where(~F.col("id").isin(first))
         state = call_and_store(todo, to_request, send, parse, sink, schema, policy, shard[0]).agg(F.sum("ok").alias("ok"), F.sum("failed").alias("failed")).first()
         ok, failed = ok + (state["ok"] or 0), failed + (state["failed"] or 0)
     finally:
-        kept.unpersist()
+        states.unpersist()
     stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, ok, failed, time.time() - began)
     if stats.rows_unaccounted:
         raise RowsLost(f"{stats.rows_unaccounted} of {stats.rows_total} rows are neither done, deduplicated, processed nor failed")

@@ -6,11 +6,12 @@ may enter fractional columns, never the other way round; booleans, numbers and t
 
 from __future__ import annotations
 
-import datetime
-import decimal
+from collections.abc import Iterator, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 _KINDS = (
     ("bool", T.BooleanType),
@@ -23,7 +24,6 @@ _KINDS = (
     ("list", T.ArrayType),
     ("struct", T.StructType),
 )
-_RANGE = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 
 class DoesNotFit(ValueError):
@@ -57,35 +57,113 @@ def fit(value: T.DataType, pinned: T.DataType) -> T.DataType | None:
     return pinned if pair[0] == pair[1] or pair == ("int", "float") else None
 
 
-def conform(value: Any, t: T.DataType) -> Any:
-    """A Python value as the declared type holds it; DoesNotFit if that would lose or change anything."""
-    if value is None:
-        return None
-    want = kind(t)
-    if want == "bool" and isinstance(value, bool):
-        return value
-    if isinstance(value, bool):
-        raise DoesNotFit(f"a boolean is no {t.simpleString()}")
-    if want == "int" and isinstance(value, int):
-        bits = next(b for c, b in _RANGE.items() if isinstance(t, c))
-        if not -(2 ** (bits - 1)) <= value < 2 ** (bits - 1):
-            raise DoesNotFit(f"{value} is out of range of {t.simpleString()}")
-        return value
-    if want == "float" and isinstance(value, int | float):
-        if isinstance(value, int) and int(float(value)) != value:
-            raise DoesNotFit(f"{value} loses digits as {t.simpleString()}")
-        return float(value)
-    plain = {"text": str, "bytes": bytes, "decimal": decimal.Decimal, "time": datetime.datetime, "date": datetime.date}
-    if want in plain and isinstance(value, plain[want]):
-        return value
-    if want == "list" and isinstance(value, list | tuple):
-        return [conform(v, t.elementType) for v in value]
-    if want == "struct" and isinstance(value, dict):
-        extra = undeclared(value, t)
+def is_untyped(t: pa.DataType) -> bool:
+    """Whether values of a type say nothing about it: nulls, lists of nothing, objects without fields."""
+    if pa.types.is_list(t) or pa.types.is_large_list(t):
+        return is_untyped(t.value_type)
+    return pa.types.is_null(t) or pa.types.is_struct(t) and t.num_fields == 0
+
+
+_ALIKE = (
+    (pa.types.is_boolean,),
+    (pa.types.is_integer, pa.types.is_floating),
+    (pa.types.is_string, pa.types.is_large_string),
+    (pa.types.is_binary, pa.types.is_large_binary, pa.types.is_fixed_size_binary),
+    (pa.types.is_decimal,),
+    (pa.types.is_timestamp,),
+    (pa.types.is_date,),
+    (pa.types.is_time,),
+    (pa.types.is_duration,),
+)
+
+
+def _alike(value: pa.DataType, stored: pa.DataType) -> bool:
+    group = next((tests for tests in _ALIKE if any(t(value) for t in tests)), ())
+    return any(t(stored) for t in group) and not (pa.types.is_floating(value) and pa.types.is_integer(stored))
+
+
+def stored_as(values: pa.Array, target: pa.DataType, at: str) -> pa.Array:
+    """An Arrow column as the stored type holds it; DoesNotFit if that would lose or change anything."""
+    kind = values.type
+    if kind == target:
+        return values
+    if is_untyped(kind):
+        return pa.nulls(len(values), target)
+    if pa.types.is_struct(kind) and pa.types.is_struct(target):
+        held = dict(zip((f.name for f in kind), values.flatten(), strict=True))
+        extra = sorted(held.keys() - {f.name for f in target})
+        if extra:
+            raise DoesNotFit("undeclared keys: " + ", ".join(f"{at}.{k}" for k in extra))
+        made = [stored_as(held[f.name], f.type, f"{at}.{f.name}") if f.name in held else pa.nulls(len(values), f.type) for f in target]
+        return pa.StructArray.from_arrays(made, fields=list(target), mask=values.is_null())
+    if pa.types.is_list(kind) and pa.types.is_list(target):
+        items = stored_as(values.flatten(), target.value_type, f"{at}[]")
+        lengths = values.value_lengths().fill_null(0).to_pylist()
+        offsets = [0]
+        for n in lengths:
+            offsets.append(offsets[-1] + n)
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), items, type=target, mask=values.is_null())
+    if not _alike(kind, target):
+        raise DoesNotFit(f"{at}: {kind} is no {target}")
+    try:
+        return values.cast(target, safe=True)
+    except pa.ArrowInvalid as e:
+        raise DoesNotFit(f"{at}: {e}") from None
+
+
+def _hollow(value: Any) -> bool:
+    """Whether an object or list holds an object without fields, which no file can tell from null."""
+    inner = value.values() if isinstance(value, dict) else value
+    return any(isinstance(x, dict | list | tuple) and (x == {} or _hollow(x)) for x in inner)
+
+
+class Storing:
+    """Records as batches of a declared schema; a record that does not fit becomes an error row.
+
+    A batch is built and cast column by column.  Only a batch that fails is halved until the records at fault are alone.
+    """
+
+    def __init__(self, schema: T.StructType):
+        self.kind = to_arrow_schema(schema)
+        self.nested = [f.name for f in self.kind if pa.types.is_nested(f.type)]
+        self.binary = [f.name for f in self.kind if pa.types.is_binary(f.type)]
+
+    def _columns(self, records: Sequence[dict]) -> pa.RecordBatch:
+        for name in self.nested:
+            if any(isinstance(r.get(name), dict | list | tuple) and _hollow(r[name]) for r in records):
+                raise DoesNotFit(f"{name}: an object without fields inside a value can't be stored")
+        for name in self.binary:
+            if any(isinstance(r.get(name), str) for r in records):
+                raise DoesNotFit(f"{name}: text is no binary")
+        extra = sorted({k for r in records for k in r if k not in self.kind.names})
         if extra:
-            raise DoesNotFit(f"undeclared keys: {', '.join(extra)}")
-        return {f.name: conform(value.get(f.name), f.dataType) for f in t.fields}
-    raise DoesNotFit(f"{type(value).__name__} is no {t.simpleString()}")
+            raise DoesNotFit(f"undeclared keys: {', '.join(map(str, extra))}")
+        try:
+            made = [pa.array([None if (v := r.get(f.name)) == {} and isinstance(v, dict) else v for r in records]) for f in self.kind]
+        except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
+            raise DoesNotFit(str(e)) from None
+        return pa.RecordBatch.from_arrays([stored_as(x, f.type, f.name) for x, f in zip(made, self.kind, strict=True)], schema=self.kind)
+
+    def _pieces(self, records: Sequence[dict]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield self._columns(records)
+        except DoesNotFit as e:
+            if len(records) == 1:
+                yield pa.RecordBatch.from_pylist([{"id": records[0]["id"], "error": f"parse output not storable: {e}"}], self.kind)
+            else:
+                yield from self._pieces(records[: len(records) // 2])
+                yield from self._pieces(records[len(records) // 2 :])
+
+    def batch(self, records: Sequence[dict]) -> pa.RecordBatch:
+        if not records:
+            return pa.RecordBatch.from_pylist([], self.kind)
+        return pa.concat_batches(list(self._pieces(records)))
+
+
+def conform(value: Any, t: T.DataType) -> Any:
+    """One value as a declared type holds it; DoesNotFit if that would lose or change anything."""
+    row = Storing(T.StructType([T.StructField("value", t)]))._columns([{"value": value}])
+    return row.column(0)[0].as_py()
 
 
 def undeclared(value: Any, t: T.DataType, at: str = "") -> list[str]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import uuid
 from abc import ABC, abstractmethod
+from collections.abc import Iterator
+from itertools import islice
 from pathlib import Path
 from typing import Any
 
@@ -29,6 +31,12 @@ class Rows(ABC):
     @abstractmethod
     def add(self, records: list[dict]) -> list[tuple[str, str | None]]: ...
 
+    def add_batch(self, records: pa.RecordBatch) -> tuple[int, int]:
+        """How many of some records were stored, and how many not: as plain dicts, unless a sink takes batches."""
+        errors = [error for _, error in self.add(records.to_pylist())] if records.num_rows else []
+        failed = sum(e is not None for e in errors)
+        return len(errors) - failed, failed
+
     def due(self) -> None:
         """Called while nothing ends, so that what is held does not grow old."""
 
@@ -64,6 +72,11 @@ class _Parts(Rows):
             self.out.add(pa.RecordBatch.from_pylist(records, self.kind))
         return [(r["id"], r["error"]) for r in records]
 
+    def add_batch(self, records: pa.RecordBatch) -> tuple[int, int]:
+        self.out.add(records)
+        ok = records.column("error").null_count
+        return ok, records.num_rows - ok
+
     def due(self) -> None:
         self.out.flush_due()
 
@@ -139,12 +152,20 @@ class FilesSink(Sink):
         self.folder, self.ending, self.key = str(folder), ending, key
 
     def known(self, spark: SparkSession) -> DataFrame:
-        nothing = spark.createDataFrame([], "id string, error string")
-        if not any(Path(self.folder).glob(f"*{self.ending}")):
-            return nothing
-        name = F.element_at(F.split("path", "/"), -1)
-        found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{self.ending}").load(self.folder).select(name.alias("name"))
-        return found.select(F.url_decode(F.expr(f"substring(name, 1, length(name) - {len(self.ending)})")).alias("id"), F.lit(None).cast("string").alias("error"))
+        """The ids that have a file.  Names are read by the file system, so an id is whatever its file is called."""
+        if not os.path.isdir(self.folder):
+            return spark.createDataFrame([], "id string, error string")
+        ending, folder = self.ending, self.folder
+
+        def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for _ in batches:
+                with os.scandir(folder) as found:
+                    names = (x.name for x in found if x.name.endswith(ending) and not x.name.startswith("."))
+                    while part := list(islice(names, 10_000)):
+                        yield pa.RecordBatch.from_pydict({"id": [n[: -len(ending)] for n in part]})
+
+        # one task reads the folder: a folder can't be listed in parts
+        return spark.range(1, numPartitions=1).mapInArrow(listed, "id string").select("id", F.lit(None).cast("string").alias("error"))
 
     def rows(self, schema: T.StructType) -> Rows:
         Path(self.folder).mkdir(parents=True, exist_ok=True)

@@ -3,8 +3,11 @@ import json
 import random
 import threading
 import time
+from decimal import Decimal
+from fractions import Fraction
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
+import numpy as np
 import pytest
 from pyspark.sql import types as T
 
@@ -13,7 +16,7 @@ from millrace.operators import resume
 from millrace.plans import requests
 from millrace.plans.calls import Breaker, Failed, Policy, Request, ServerLost, attempt, call_rows, ended_calls, http_json
 from millrace.plans.pump import AllFailed, pump
-from millrace.settings import Bounds
+from millrace.settings import Interval
 from millrace.sources import output, sinks, tables
 from millrace.streaming import dedup
 
@@ -175,10 +178,8 @@ def test_stream_admits_each_id_once(spark, tmp_path):
 # ---- calls and writers, without Spark
 
 
-def frames(n, size=10):
-    import pandas as pd
-
-    return iter([pd.DataFrame({"id": [str(i) for i in range(a, min(a + size, n))], "n": range(a, min(a + size, n)), "text": "t"}) for a in range(0, n, size)])
+def call_inputs(n):
+    return iter([{"id": str(i), "n": i, "text": "t"} for i in range(n)])
 
 
 def test_records_leave_as_their_calls_end():
@@ -187,8 +188,8 @@ def test_records_leave_as_their_calls_end():
         return {"said": "x"}
 
     began, at = time.monotonic(), {}
-    for records in ended_calls(frames(30), REQUEST, send, PARSE, OUT, Policy(window=3, attempts=1)):
-        for r in records:
+    for records in ended_calls(call_inputs(30), REQUEST, send, PARSE, OUT, Policy(window=3, attempts=1)):
+        for r in records.to_pylist():
             at[r["id"]] = time.monotonic() - began
     assert len(at) == 30 and at["0"] >= 1.5 and sum(t < 1.2 for t in at.values()) == 29
 
@@ -245,7 +246,7 @@ def test_breaker_ends_the_run_and_its_time_is_not_the_rows():
 
 def test_retry_after_is_a_number_or_a_date():
     at = 1_700_000_000
-    assert [requests.retry_after(x, at) for x in (None, "", "5", "1.5", "1.5.3", "soon", "Tue, 14 Nov 2023 22:13:30 GMT", "Tue, 14 Nov 2023 22:13:10 GMT")] == [None, None, 5.0, 1.5, None, None, 10.0, 0.0]
+    assert [requests.retry_after(x, at) for x in (None, "", "5", "1.5", "1.5.3", "soon", "Tue, 14 Nov 2023 22:13:30 GMT", "Tue, 14 Nov 2023 22:13:10 GMT", "²", "Tue, 99 Nov 99999 22:13:10 GMT")] == [None, None, 5.0, 1.5, None, None, 10.0, 0.0, None, None]
 
 
 def test_forms_headers_and_kept_connections():
@@ -282,26 +283,49 @@ def test_forms_headers_and_kept_connections():
 
 
 @pytest.mark.parametrize(
-    "bounds, value, ok, words",
+    "written, value, plain",
     [
-        (Bounds("window", whole=True, low=1), 1, True, "window >= 1, a whole number"),
-        (Bounds("window", whole=True, low=1), True, False, "window >= 1, a whole number"),
-        (Bounds("window", whole=True, low=1), 1.0, False, "window >= 1, a whole number"),
-        (Bounds("share", low=0, high=1, over=True), 0, False, "0 < share <= 1, a number"),
-        (Bounds("share", low=0, high=1, over=True), float("nan"), False, "0 < share <= 1, a number"),
-        (Bounds("rows", low=0, high=1_000_000, optional=True), None, True, "0 <= rows <= 1,000,000, a number or None"),
-        (Bounds("x"), "1", False, "x, a number"),
+        ("[1, inf) whole", 1, 1),
+        ("[1, inf) whole", np.int32(7), 7),
+        ("[1, inf) whole", True, None),
+        ("[1, inf) whole", 1.0, None),
+        ("(0, 1]", 0, None),
+        ("(0, 1]", Decimal("0.5"), 0.5),
+        ("(0, 1]", Fraction(1, 4), 0.25),
+        ("(0, 1]", np.float32(1), 1.0),
+        ("(0, 1]", float("nan"), None),
+        ("[0, 1]", Decimal("1e-400"), None),
+        ("[0, 1]", Decimal(0), 0.0),
+        ("[0, 1]", Decimal("sNaN"), None),
+        ("[0, inf)", float("inf"), None),
+        ("[0, inf]", float("inf"), float("inf")),
+        ("[0, 9]", "1", None),
+        ("[0, 9]", np.array([1]), None),
+        ("[0, 9]", None, None),
     ],
 )
-def test_bounds(bounds, value, ok, words):
-    assert bounds.holds(value) is ok and bounds.words() == words
+def test_intervals(written, value, plain):
+    if plain is None:
+        with pytest.raises((TypeError, ValueError)):
+            Interval(written).native(value)
+    else:
+        got = Interval(written).native(value)
+        assert got == plain and type(got) is type(plain)
+
+
+def test_an_interval_may_allow_none_and_must_be_written_as_one():
+    assert Interval("[0, 9] or none").native(None) is None
+    for bad in ("0..9", "[0; 9]", "[0, 9", "[a, b]"):
+        with pytest.raises(ValueError):
+            Interval(bad)
 
 
 def test_settings_are_checked_before_a_run(rows):
-    with pytest.raises(ValueError, match="window >= 1, a whole number"):
+    with pytest.raises(ValueError, match=r"Policy: window must be in \[1, inf\) whole; 0 is not in"):
         Policy(window=0)
-    with pytest.raises(ValueError, match="pump requires partitions"):
+    with pytest.raises(ValueError, match="pump: partitions must be in"):
         pump(rows, REQUEST, echo, PARSE, "/tmp/never", OUT, partitions=0)
+    assert type(Policy(first_delay=Decimal("0.5")).first_delay) is float
 
 
 # ---- sinks
