@@ -6,17 +6,16 @@ later success), `events` for the log of attempts (an error event is a failed att
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import engine, ids, outcomes
 from .operators import records, resume, telemetry
 from .plans.calls import Policy, call_rows
 from .sources import tables
+from .sources.shared import scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,9 +55,12 @@ states AS (SELECT id, bool_or(coalesce(error, '') = '') AS done, bool_or(coalesc
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as attempts: at (microseconds), ok, pressure, tokens, latency, lane (the user)."""
-    e = table(spark, sf_dir, "events")
+    return attempts_of(table(spark, sf_dir, "events"))
+
+
+def attempts_of(events: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("long")
-    return e.select("event_id", telemetry.micros().alias("at"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "error").alias("pressure"), k.alias("tokens"), F.col("value").alias("latency"), F.col("user_id").alias("lane"))
+    return events.select("event_id", telemetry.micros().alias("at"), (F.col("event_type") != "error").alias("ok"), (F.col("event_type") == "error").alias("pressure"), k.alias("tokens"), F.col("value").alias("latency"), F.col("user_id").alias("lane"))
 
 
 ATTEMPTS = """attempts AS (
@@ -134,7 +136,7 @@ def path_ids_root(spark, sf_dir):
 @query("""SELECT page_id FROM pages WHERE page_id NOT IN (SELECT doc_id FROM labels)""")
 def path_skip(spark, sf_dir):
     known = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"))
-    return table(spark, sf_dir, "pages").select("page_id").join(known, "page_id", "left_anti")
+    return resume.not_known(table(spark, sf_dir, "pages").select("page_id"), known, "page_id")
 
 
 @query(r"""SELECT page_id, id <> '' AND NOT regexp_matches(id, '[/\\]') AND NOT starts_with(id, '.') AS safe
@@ -229,7 +231,7 @@ def schema_union_parts(spark, sf_dir):
     s = stored(spark, sf_dir)
     one = s.where(F.col("part").contains("aaaaaaaa")).select("id", "out")
     two = s.where(F.col("part").contains("bbbbbbbb")).select("id", F.concat(F.lit("n"), F.col("pos")).alias("note"))
-    return one.unionByName(two, allowMissingColumns=True)
+    return resume.union_parts(one, two)
 
 
 # ---- requests, replies, records --------------------------------------------------------------------------------
@@ -255,8 +257,7 @@ def embedding_batches(spark, sf_dir):
 
 @query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
 def parse_props(spark, sf_dir):
-    parsed = F.from_json("props", "k long")
-    return table(spark, sf_dir, "events").select("event_id", parsed["k"].alias("k"))
+    return records.parsed(table(spark, sf_dir, "events"), "props", "k long").select("event_id", "k")
 
 
 @query("""SELECT event_id, CASE event_id % 5 WHEN 0 THEN (props->>'$.k')::BIGINT WHEN 1 THEN floor((props->>'$.k')::BIGINT / 2)::BIGINT ELSE 0 END AS tokens FROM events""")
@@ -285,8 +286,7 @@ def record_build(spark, sf_dir):
 @query("""SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) <> 1 + doc_id % 3 THEN 'parse: expected ' || (1 + doc_id % 3) || ' items, got ' || len(string_split(text, chr(10))) END AS error FROM documents""")
 def batch_cardinality(spark, sf_dir):
     got, want = F.size(F.split("text", "\n")), (1 + F.col("doc_id") % 3)
-    error = F.when(got != want, F.concat(F.lit("parse: expected "), want, F.lit(" items, got "), got))
-    return table(spark, sf_dir, "documents").select("doc_id", error.alias("error"))
+    return table(spark, sf_dir, "documents").select("doc_id", records.cardinality_error(got, want).alias("error"))
 
 
 @query("""SELECT page_id, 'data:text/html;base64,' || to_base64(encode(url)) AS uri FROM pages""")
@@ -507,13 +507,23 @@ def advise_ceiling(spark, sf_dir):
     return telemetry.advise_ceiling(r, "vllm", 128)
 
 
-@query(f"""WITH {_TICKS}, a AS (SELECT count(*) AS n, count(*) FILTER (bound_by = 'prep') AS p, count(*) FILTER (bound_by = 'source') AS s, count(*) FILTER (bound_by = 'loop') AS l,
-  sum(prep) AS sp, sum(ok + bp) AS rows_, sum(source) AS ss, sum(lag) AS sl, max(t) AS t FROM judged)
+#: A run whose client side is slow: each third of its ticks is bound by another of its stages.
+_BUSY = f"""{_TICKS}, busy AS (SELECT t - (SELECT min(t) FROM judged) AS t, ok, bp, prep, source, lag, CASE row_number() OVER (ORDER BY t) % 3 WHEN 0 THEN 'prep' WHEN 1 THEN 'source' ELSE 'loop' END AS bound_by FROM judged)"""
+
+
+def _busy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    j, at = _judged(spark, sf_dir), Window.orderBy("t")
+    bound = F.element_at(F.array(*map(F.lit, ("prep", "source", "loop"))), (F.row_number().over(at) % 3 + 1).cast("int"))
+    t = F.col("t") - F.min("t").over(at.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return j.select(t.alias("t"), "ok", "bp", bound.alias("bound_by"), F.col("prep").alias("prep_s"), F.col("source").alias("source_s"), F.col("lag").alias("loop_lag_s"), (F.col("ok") + F.col("bp")).alias("prep_n"))
+
+
+@query(f"""WITH {_BUSY}, a AS (SELECT count(*) AS n, count(*) FILTER (bound_by = 'prep') AS p, count(*) FILTER (bound_by = 'source') AS s, count(*) FILTER (bound_by = 'loop') AS l,
+  sum(prep) AS sp, sum(ok + bp) AS rows_, sum(source) AS ss, sum(lag) AS sl, max(t) AS t FROM busy)
 SELECT CASE WHEN n >= 3 AND p / n::DOUBLE >= 0.3 THEN round_even(1000 * sp / greatest(1, rows_), 0)::BIGINT END AS prep_ms, CASE WHEN n >= 3 AND s / n::DOUBLE >= 0.3 THEN round_even(1000 * ss / greatest(1, rows_), 0)::BIGINT END AS source_ms,
   CASE WHEN n >= 3 AND l / n::DOUBLE >= 0.3 THEN least(100, round_even(100 * sl / greatest(t, 1e-9), 0)::BIGINT) END AS loop_pct FROM a""")
 def advise_input(spark, sf_dir):
-    j = _judged(spark, sf_dir)
-    return telemetry.advise_input(j.select("t", "ok", "bp", "bound_by", F.col("prep").alias("prep_s"), F.col("source").alias("source_s"), F.col("lag").alias("loop_lag_s"), (F.col("ok") + F.col("bp")).alias("prep_n")))
+    return telemetry.advise_input(_busy(spark, sf_dir))
 
 
 @query(f"""WITH {HOURS} SELECT count(*) AS ticks, max(tokens) AS max_tokens, round(avg(tokens), 6) AS mean_tokens, (arg_max(tokens, t) - arg_min(tokens, t))::BIGINT AS change, max(ok) AS max_ok FROM ticks""")
@@ -646,15 +656,14 @@ def window_bounds(spark, sf_dir):
     )
 
 
-@query(f"""WITH {_TICKS}, a AS (SELECT count(*) AS n, count(*) FILTER (bound_by = 'prep') AS p, count(*) FILTER (bound_by = 'source') AS s, count(*) FILTER (bound_by = 'loop') AS l,
-  sum(prep) AS sp, sum(ok + bp) AS rows_, sum(source) AS ss, sum(lag) AS sl, max(t) AS t FROM judged)
+# The texts of the hints are shown as they are here.
+@query(f"""WITH {_BUSY}, a AS (SELECT count(*) AS n, count(*) FILTER (bound_by = 'prep') AS p, count(*) FILTER (bound_by = 'source') AS s, count(*) FILTER (bound_by = 'loop') AS l,
+  sum(prep) AS sp, sum(ok + bp) AS rows_, sum(source) AS ss, sum(lag) AS sl, max(t) AS t FROM busy)
 SELECT 'PREP-BOUND: prep is still the bottleneck at 4 workers (' || round_even(1000 * sp / greatest(1, rows_), 0)::BIGINT || ' ms/row): raise prepare_workers, or move the work to prepare_ahead with a process pool' AS hint FROM a WHERE n >= 3 AND p / n::DOUBLE >= 0.3
 UNION ALL SELECT 'SOURCE-BOUND: the source took ' || round_even(1000 * ss / greatest(1, rows_), 0)::BIGINT || ' ms/row; prefetch it (prepare_ahead / bucket_rows(prefetch=)), select fewer columns, or shard the input' FROM a WHERE n >= 3 AND s / n::DOUBLE >= 0.3
 UNION ALL SELECT 'LOOP-BOUND: the event loop was blocked ' || least(100, round_even(100 * sl / greatest(t, 1e-9), 0)::BIGINT) || '% of the run (parse, and any to_request share under the prep threshold); keep parse cheap and move to_request work off the loop' FROM a WHERE n >= 3 AND l / n::DOUBLE >= 0.3""")
 def input_hints(spark, sf_dir):
-    j = _judged(spark, sf_dir)
-    advice = telemetry.advise_input(j.select("t", "ok", "bp", "bound_by", F.col("prep").alias("prep_s"), F.col("source").alias("source_s"), F.col("lag").alias("loop_lag_s"), (F.col("ok") + F.col("bp")).alias("prep_n")))
-    return telemetry.input_hints(advice, 4)
+    return telemetry.input_hints(telemetry.advise_input(_busy(spark, sf_dir)), 4)
 
 
 @query("""SELECT n_name, substr(sha1('bytes-v1:[["n_comment"]]' || chr(10) || '{"n_comment": "' || sha1(n_comment) || '", "n_name": ' || to_json(n_name)::VARCHAR || ', "n_nationkey": ' || n_nationkey || ', "share": ' || (n_nationkey / 4.0::DOUBLE)::VARCHAR || '}'), 1, 16) AS id
@@ -666,28 +675,12 @@ def bytes_ids(spark, sf_dir):
 
 @query(f"""WITH {HOURS} SELECT count(*) AS ticks, sum(ok)::BIGINT AS ok, sum(bp)::BIGINT AS bp, max(t)::DOUBLE AS last FROM ticks""")
 def telemetry_scan(spark, sf_dir):
-    """Ticks written as a run writes them, then read back."""
+    """Ticks written by the log of a run, one for each task that has some, then read back."""
     from .sources import telemetry as ticks
 
-    # the file of a run is written by one task; here the table of ticks stands for many runs
-    folder = f"{scratch(spark)}/{ticks.SIDE}/telemetry"
-    lines = hours(spark, sf_dir).select(F.to_json(F.struct(F.col("t").cast("double").alias("t"), "ok", "bp", F.lit("hold").alias("reason"))).alias("value"))
-    lines.repartition(3).write.text(folder)
-    names = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    fs = names.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for i, f in enumerate(x for x in fs.listStatus(names) if x.getPath().getName().startswith("part-")):
-        fs.rename(f.getPath(), spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"telemetry-shard{i}-1.jsonl"))
-    return ticks.read_ticks(spark, folder.rsplit("/", 2)[0]).agg(F.count("*").alias("ticks"), F.sum("ok").alias("ok"), F.sum("bp").alias("bp"), F.max("t").alias("last"))
-
-
-def scratch(spark: SparkSession) -> str:
-    """A new folder that all executors share: under spark.checkpoint.dir, or a temporary one for a local master."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return f"{folder.rstrip('/')}/{uuid.uuid4().hex[:12]}"
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp") + "/run"
+    folder = scratch(spark)
+    ticks.write_ticks(hours(spark, sf_dir).select(F.col("t").cast("double").alias("t"), "ok", "bp", F.lit("hold").alias("reason")).repartition(3), folder)
+    return ticks.read_ticks(spark, folder).agg(F.count("*").alias("ticks"), F.sum("ok").alias("ok"), F.sum("bp").alias("bp"), F.max("t").alias("last"))
 
 
 @query("""SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 11 = 3 THEN 'http 400: refused' WHEN doc_id % 11 = 4 THEN 'client: ValueError: no reply' END AS error,
@@ -711,3 +704,6 @@ def pump_local_model(spark, sf_dir):
     rows = ids.with_id(table(spark, sf_dir, "documents").select("doc_id", "text"), id_key="doc_id")
     out = T.StructType([T.StructField("id", T.StringType()), T.StructField("error", T.StringType()), T.StructField("size", T.LongType())])
     return call_rows(rows, lambda row: {"n": row["doc_id"], "text": row["text"]}, send, parse, out, Policy(window=4, attempts=1))
+
+
+from . import catalog_live  # noqa: E402, F401  registers its queries

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ids import json_text
+from ..schema import Storing
 
 
 def chat_request(prompt: Column, model: str, max_tokens: int) -> Column:
@@ -35,6 +39,28 @@ def record(out: dict[str, Column], row_id: Column, error: Column) -> list[Column
     return [row_id.alias("id"), error.alias("error"), *[v.alias(k) for k, v in kept.items()]]
 
 
+def parsed(rows: DataFrame, body: str, schema: str) -> DataFrame:
+    """rows with the declared columns of a JSON body; what the body does not have, or not so, is null."""
+    names = [f.split(" ", 1)[0] for f in schema.split(", ")]
+    return rows.withColumn("__body", F.from_json(body, schema)).select("*", *(F.col(f"__body.{n}").alias(n) for n in names)).drop("__body")
+
+
+def cardinality_error(got: Column, want: Column) -> Column:
+    """The error of a reply with another number of items than its request; null where they agree."""
+    return F.when(got != want, F.concat(F.lit("parse: expected "), want, F.lit(" items, got "), got))
+
+
+def conformed(rows: DataFrame, body: str, schema: T.StructType) -> DataFrame:
+    """(id, error, ...) of rows (id, JSON object): the body's values as a declared schema holds them, or why it does not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Storing(schema)
+        for batch in batches:
+            yield store.batch([{**json.loads(text), "id": i, "error": None} for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)])
+
+    return rows.select(F.col("id").cast("string"), F.col(body).cast("string")).mapInArrow(run, schema)
+
+
 def data_uri(content: Column, kind: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
 
@@ -53,9 +79,9 @@ def batched(rows: DataFrame, position: str, value: str, size: int) -> DataFrame:
 
 
 def template_rows(rows: DataFrame, index: str, run: str, words: Sequence[str], length: int) -> DataFrame:
-    """(id, seed, text) of a synthetic prompt per row: the run's tag, the row's number and words chosen by it.
+    """(id, seed, text) of a made-up prompt for each row; rows of different runs share no beginning.
 
-    The tag leads every text and seeds every row, so no run meets another's cached prefix.
+    The text and the choice of words are fixed values.
     """
     i, bag = F.col("__i"), F.array(*map(F.lit, words))
     name = F.concat(F.lit(f"{run}-"), i.cast("string"))

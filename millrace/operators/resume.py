@@ -30,8 +30,21 @@ def error_only_ids(records: DataFrame) -> DataFrame:
     return id_states(records).where("failed and not done").select("id")
 
 
+def not_known(rows: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
+    """rows whose key is not among the known ones; nulls are never known."""
+    return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
+def union_parts(*parts: DataFrame) -> DataFrame:
+    """Parts of one output as one table: columns by name, those that a part lacks as nulls."""
+    out, *more = parts
+    for part in more:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
 def uncovered_parts(parts: DataFrame, manifests: DataFrame) -> DataFrame:
-    """Names of parts (part-x) that no manifest (ids-part-x) covers."""
+    """Parts (part-x), by name, that no manifest (ids-part-x) covers; with whatever columns they have."""
     covered = manifests.select(F.regexp_replace("name", "^ids-", "").alias("name"))
     return parts.join(covered, "name", "left_anti")
 

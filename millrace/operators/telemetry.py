@@ -70,6 +70,20 @@ def evidence(samples: DataFrame, epoch: str, order: str, last: int = 16) -> Data
     return samples.withColumn("n", n).withColumn("completions", ok).withColumn("rows_mean", mean)
 
 
+def sufficient(samples: DataFrame, epoch: str, order: str, limit: str, last: int = 16) -> DataFrame:
+    """evidence with tokens_mean, and whether it suffices to judge a window: two samples, and as many completions as the limit.
+
+    Means leave an epoch's first sample out; that of tokens is there only if every other sample of the reading has some.
+    """
+    recent = Window.partitionBy(epoch).orderBy(order).rowsBetween(-(last - 1), 0)
+    first = lambda c: F.first(c).over(recent)
+    known = F.count("tok_s").over(recent) - F.when(first("tok_s").isNull(), 0).otherwise(1)
+    total = F.sum("tok_s").over(recent) - F.coalesce(first("tok_s"), F.lit(0.0))
+    judged = evidence(samples, epoch, order, last)
+    enough = (F.col("completions") >= F.col(limit)) & (F.col("n") >= 2)
+    return judged.withColumn("tokens_mean", F.when(known == F.col("n") - 1, F.try_divide(total, known))).withColumn("enough", enough)
+
+
 def preempt_deltas(readings: DataFrame, lane: str, order: str, value: str = "preempts") -> DataFrame:
     """readings with `preempted`: the counter's rise; a fall counts one, a gap or the first reading none."""
     before = F.lag(value).over(Window.partitionBy(lane).orderBy(order))

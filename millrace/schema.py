@@ -111,10 +111,25 @@ def stored_as(values: pa.Array, target: pa.DataType, at: str) -> pa.Array:
         raise DoesNotFit(f"{at}: {e}") from None
 
 
-def _hollow(value: Any) -> bool:
-    """Whether an object or list holds an object without fields, which no file can tell from null."""
-    inner = value.values() if isinstance(value, dict) else value
-    return any(isinstance(x, dict | list | tuple) and (x == {} or _hollow(x)) for x in inner)
+def _uniform(values: Sequence[Any], at: str, inner: bool = False) -> None:
+    """DoesNotFit unless all values at each place are of one Python type, or whole and fractional numbers, or null.
+
+    Arrow would join others without a word (True and 0.5, a date and 3).  Nor may an object within a value be empty:
+    no file can tell it from null.
+    """
+    kinds = set(map(type, values)) - {type(None)}
+    if kinds <= {int, float}:
+        return
+    if kinds <= {list, tuple}:
+        _uniform([x for v in values if v is not None for x in v], f"{at}[]", True)
+    elif len(kinds) > 1:
+        raise DoesNotFit(f"{at}: values of several kinds: {', '.join(sorted(k.__name__ for k in kinds))}")
+    elif kinds == {dict}:
+        held = [v for v in values if v is not None]
+        if inner and not all(held):
+            raise DoesNotFit(f"{at}: an object without fields can't be stored")
+        for key in dict.fromkeys(k for v in held for k in v):
+            _uniform([v[key] for v in held if key in v], f"{at}.{key}", True)
 
 
 class Storing:
@@ -125,21 +140,16 @@ class Storing:
 
     def __init__(self, schema: T.StructType):
         self.kind = to_arrow_schema(schema)
-        self.nested = [f.name for f in self.kind if pa.types.is_nested(f.type)]
-        self.binary = [f.name for f in self.kind if pa.types.is_binary(f.type)]
 
     def _columns(self, records: Sequence[dict]) -> pa.RecordBatch:
-        for name in self.nested:
-            if any(isinstance(r.get(name), dict | list | tuple) and _hollow(r[name]) for r in records):
-                raise DoesNotFit(f"{name}: an object without fields inside a value can't be stored")
-        for name in self.binary:
-            if any(isinstance(r.get(name), str) for r in records):
-                raise DoesNotFit(f"{name}: text is no binary")
         extra = sorted({k for r in records for k in r if k not in self.kind.names})
         if extra:
             raise DoesNotFit(f"undeclared keys: {', '.join(map(str, extra))}")
+        columns = {f.name: [None if (v := r.get(f.name)) == {} and isinstance(v, dict) else v for r in records] for f in self.kind}
+        for name, values in columns.items():
+            _uniform(values, name)
         try:
-            made = [pa.array([None if (v := r.get(f.name)) == {} and isinstance(v, dict) else v for r in records]) for f in self.kind]
+            made = [pa.array(values) for values in columns.values()]
         except (pa.ArrowException, TypeError, ValueError, OverflowError) as e:
             raise DoesNotFit(str(e)) from None
         return pa.RecordBatch.from_arrays([stored_as(x, f.type, f.name) for x, f in zip(made, self.kind, strict=True)], schema=self.kind)

@@ -15,23 +15,18 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.fs
 import pyarrow.parquet as pq
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from ..operators import resume
+from .reader import filesystem, newest_schema, stored_records
 
 SIDE = "__millrace"
 FORMAT = "millrace_parts"
 
 
-def filesystem(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
-    return pyarrow.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pyarrow.fs.LocalFileSystem(), path)
-
-
 def _publish(path: str, name: str, data: pa.Table, attempts: int = 4, pause: float = 1.0) -> None:
     """Write under a hidden name, then rename; a write that fails is tried again after 1, 2 and 4 seconds."""
     for turn in range(attempts):
@@ -127,35 +122,26 @@ def finish(path: str, name: str, stats: dict) -> None:
         out.write(json.dumps(stats).encode())
 
 
-def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
-    """A folder of parts, or None where there is none; files that cannot be read are skipped."""
-    reader = spark.read.option("mergeSchema", schema is None).option("ignoreCorruptFiles", True)
-    try:
-        return (reader.schema(schema) if schema else reader).parquet(path)
-    except AnalysisException as missing:
-        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
-
-
 def parts(spark: SparkSession, path: str) -> DataFrame | None:
-    """All records with part and pos, the order in which they were written."""
-    found = _read(spark, path)
-    return None if found is None else found.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("pos"))
+    """All records with part and pos, the order in which they were written; files that can't be read are skipped.
+
+    None where there is no part.
+    """
+    if newest_schema(path) is None:
+        return None
+    found = spark.read.option("mergeSchema", True).option("ignoreCorruptFiles", True).parquet(path)
+    return found.select("*", F.col("_metadata.file_name").alias("part"), F.col("_metadata.row_index").alias("pos"))
 
 
 def id_errors(spark: SparkSession, path: str) -> DataFrame:
-    """(id, error) of all records: from the manifests, and from the parts that no manifest covers."""
-    kind = "id string, error string"
-    held, listed = _read(spark, path, kind), _read(spark, f"{path}/{SIDE}/manifest", kind)
-    if held is None:
-        return spark.createDataFrame([], kind) if listed is None else listed
-    if listed is None:
-        return held
-    named = held.select("id", "error", F.col("_metadata.file_name").alias("name"))
-    covered = listed.select(F.col("_metadata.file_name").alias("name")).distinct()
-    bare = resume.uncovered_parts(named.select("name").distinct(), covered)
-    return listed.union(named.join(bare, "name", "left_semi").select("id", "error"))
+    """(id, error) of all records: from the manifests, and from the parts that no readable manifest covers.
+
+    A file that stays unreadable is named on the task's error stream (`reader.unreadable` lists them).
+    """
+    manifests = stored_records(spark, f"{path}/{SIDE}/manifest").where("fault is null")
+    held = stored_records(spark, path).where("fault is null")
+    bare = resume.uncovered_parts(held.select("name", "id", "error"), manifests.select("name").distinct())
+    return manifests.select("id", "error").union(bare.select("id", "error"))
 
 
 def read_output(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Inputs with their ids: tables and folders of files, in the order limit, shard, skip, read."""
+"""Tables as inputs with ids: the limit first, then the shard."""
 
 from __future__ import annotations
 
@@ -38,15 +38,3 @@ def _by_file():
     from pyspark.sql import Window
 
     return Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)
-
-
-def file_rows(spark: SparkSession, pattern: str, *, root: str | None = None, read: bool = True, known: DataFrame | None = None, limit: int | None = None, shard: tuple[int, int] = (0, 1)) -> DataFrame:
-    """Files of a glob as rows (id, path, length[, content]); known ids are left out before any content is read."""
-    listed = spark.read.format("binaryFile").load(pattern)
-    chosen = listed.select("path", "length", *(["content"] if read else []))
-    if limit is not None:
-        first = listed.select("path").orderBy("path").limit(max(0, limit))
-        chosen = chosen.join(first, "path", "left_semi")
-    plain = F.regexp_replace("path", "^file:/*", "/")
-    rows = ids.shard_select(ids.with_id(chosen, id_column=ids.path_id(plain, root)), *shard)
-    return rows if known is None else rows.join(known, "id", "left_anti")

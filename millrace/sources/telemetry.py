@@ -5,9 +5,12 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .output import SIDE, filesystem
@@ -47,6 +50,20 @@ class TickLog:
         fs.move(f"{root}/.{self.name}", f"{root}/{self.name}")
 
 
+def write_ticks(of: DataFrame, path: str) -> None:
+    """Ticks (some of a tick's keys) that are a table already, as the files of a run: one of each task, by its log."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        log = TickLog(path)
+        for batch in batches:
+            for tick in batch.to_pylist():
+                log.note(tick)
+        log.write()
+        yield pa.RecordBatch.from_pydict({"n": [len(log.ticks)]})
+
+    of.mapInArrow(run, "n long").agg(F.sum("n")).first()
+
+
 def read_ticks(spark: SparkSession, path: str) -> DataFrame:
     """The ticks of all runs and tasks of an output, with the file they stand in; of the old layout, at its root, too."""
     found = spark.createDataFrame([], T.StructType([*TICK.fields, T.StructField("file", T.StringType())]))

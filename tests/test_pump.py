@@ -17,7 +17,7 @@ from millrace.plans import requests
 from millrace.plans.calls import Breaker, Failed, Policy, Request, ServerLost, attempt, call_rows, ended_calls, http_json
 from millrace.plans.pump import AllFailed, pump
 from millrace.settings import Interval
-from millrace.sources import output, sinks, tables
+from millrace.sources import files, output, sinks, tables
 from millrace.streaming import dedup
 
 OUT = T.StructType([T.StructField("id", T.StringType()), T.StructField("error", T.StringType()), T.StructField("said", T.StringType())])
@@ -160,10 +160,10 @@ def test_table_and_file_sources(spark, tmp_path):
     (tmp_path / "f/v1").mkdir(parents=True)
     for n, x in (("v1/a.png", b"one"), ("v1/b.png", b"two"), ("c.txt", b"no")):
         (tmp_path / "f" / n).write_bytes(x)
-    files = tables.file_rows(spark, f"{tmp_path}/f/*/*.png", root=str(tmp_path / "f"))
-    assert {r.id: bytes(r.content) for r in files.collect()} == {"v1/a.png": b"one", "v1/b.png": b"two"}
+    found = files.file_rows(spark, f"{tmp_path}/f/*/*.png", root=str(tmp_path / "f"))
+    assert {r.id: bytes(r.content) for r in found.collect()} == {"v1/a.png": b"one", "v1/b.png": b"two"}
     known = spark.createDataFrame([("v1/a.png",)], "id string")
-    assert [r.id for r in tables.file_rows(spark, f"{tmp_path}/f/*/*.png", root=str(tmp_path / "f"), known=known, read=False).collect()] == ["v1/b.png"]
+    assert [r.id for r in files.file_rows(spark, f"{tmp_path}/f/*/*.png", root=str(tmp_path / "f"), known=known, read=False).collect()] == ["v1/b.png"]
 
 
 def test_stream_admits_each_id_once(spark, tmp_path):
@@ -336,8 +336,8 @@ def test_a_file_per_success(spark, rows, tmp_path):
     odd = lambda row, reply: {"said": None if row["n"] == 7 else reply["said"]}
     stats = pump(rows, REQUEST, echo, odd, sink, OUT, policy=QUICK, partitions=3)
     assert (stats.rows_processed, stats.rows_failed) == (53, 7)
-    files = {p.name: p.read_text() for p in (tmp_path / "f").iterdir()}
-    assert files == {f"{i}.txt": f"ROW {i}" for i in range(60) if i % 10 != 3 and i != 7}
+    made = {p.name: p.read_text() for p in (tmp_path / "f").iterdir()}
+    assert made == {f"{i}.txt": f"ROW {i}" for i in range(60) if i % 10 != 3 and i != 7}
     again = pump(rows, REQUEST, lambda body: {"said": "new"}, PARSE, sink, OUT, policy=QUICK, fail_fast=0)
     assert (again.rows_done_prior, again.rows_processed) == (53, 7)
     assert (tmp_path / "f/3.txt").read_text() == "new"
