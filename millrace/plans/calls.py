@@ -25,12 +25,16 @@ from ..settings import checked
 from .ahead import plain_rows
 from .requests import Failed, Request, as_request, http_json, probe_body, transport
 
-__all__ = ["Breaker", "Failed", "Policy", "Request", "ServerLost", "attempt", "call_rows", "ended_calls", "http_json", "two_argument_parse"]
+__all__ = ["Breaker", "Failed", "InputFailed", "Policy", "Request", "ServerLost", "attempt", "call_rows", "ended_calls", "http_json", "two_argument_parse"]
 
 #: Rows that a task has read before their calls may begin.
 READ_AHEAD = 64
 
 
+class InputFailed(RuntimeError):
+    """The rows of a task broke off; those before have been called."""
+
+
 class ServerLost(RuntimeError):
     """The breaker has given up: the run ends, and no row is told that it failed."""
 
@@ -249,34 +253,40 @@ def ended_calls(rows: Iterable[dict], to_request: Callable[[dict], dict | Reques
         except Exception as e:
             return {"id": row["id"], "error": f"client: {type(e).__name__}: {e}"}
 
-    began, source, more = time.monotonic(), _Reader(rows), True
+    began, source, more, broken = time.monotonic(), _Reader(rows), True, None
     source.start()
-    with ThreadPoolExecutor(policy.window) as pool:
-        running: set[Future] = set()
-        try:
-            while more or running:
-                open_ = policy.window if not policy.ramp_s else max(1, min(policy.window, int(policy.window * (time.monotonic() - began) / policy.ramp_s)))
-                idle = False
-                while more and len(running) < open_:
-                    try:
-                        row = source.next()
-                    except queue.Empty:
-                        idle = True
-                        break
-                    if row is None:
-                        more = False
-                    else:
-                        running.add(pool.submit(one, row))
-                if running:
-                    done, running = wait(running, min(tick_s, 0.005) if idle else tick_s, FIRST_COMPLETED)
-                    yield store.batch([f.result() for f in done])
-                elif more:
-                    time.sleep(0.002)
-                    yield store.batch([])
-        finally:
-            source.ended = True
-            for f in running:
-                f.cancel()
+    pool = ThreadPoolExecutor(policy.window)
+    running: set[Future] = set()
+    try:
+        while more or running:
+            open_ = policy.window if not policy.ramp_s else max(1, min(policy.window, int(policy.window * (time.monotonic() - began) / policy.ramp_s)))
+            idle = False
+            while more and len(running) < open_:
+                try:
+                    row = source.next()
+                except queue.Empty:
+                    idle = True
+                    break
+                except Exception as e:  # what is under way ends first
+                    row, broken = None, InputFailed(f"{type(e).__name__}: {e}")
+                if row is None:
+                    more = False
+                else:
+                    running.add(pool.submit(one, row))
+            if running:
+                done, running = wait(running, min(tick_s, 0.005) if idle else tick_s, FIRST_COMPLETED)
+                lost = next((e for f in done if (e := f.exception()) is not None), None)
+                yield store.batch([f.result() for f in done if f.exception() is None])
+                if lost is not None:
+                    raise lost
+            elif more:
+                time.sleep(0.002)
+                yield store.batch([])
+        if broken is not None:
+            raise broken
+    finally:
+        source.ended = True
+        pool.shutdown(wait=False, cancel_futures=True)
 
 
 def call_rows(rows: DataFrame, to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable, schema: T.StructType, policy: Policy | None = None, together: int = 500) -> DataFrame:

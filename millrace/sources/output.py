@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
@@ -114,12 +115,22 @@ def append(records: DataFrame, path: str, flush_rows: int = 1000) -> None:
     records.write.format(FORMAT).option("path", path).option("flush_rows", flush_rows).mode("append").save()
 
 
-def finish(path: str, name: str, stats: dict) -> None:
-    """The marker of a finished run, with its counts; written last."""
+def write_marker(path: str, name: str, content: bytes) -> None:
+    """A small file of a run beside its parts."""
     fs, root = filesystem(f"{path}/{SIDE}/runs")
     fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/{name}.done") as out:
-        out.write(json.dumps(stats).encode())
+    with fs.open_output_stream(f"{root}/{name}") as out:
+        out.write(content)
+
+
+def has_marker(path: str, name: str) -> bool:
+    fs, place = filesystem(f"{path}/{SIDE}/runs/{name}")
+    return fs.get_file_info(place).type == FileType.File
+
+
+def finish(path: str, name: str, stats: dict) -> None:
+    """The marker of a finished run, with its counts; written last."""
+    write_marker(path, f"{name}.done", json.dumps(stats).encode())
 
 
 def parts(spark: SparkSession, path: str) -> DataFrame | None:

@@ -61,6 +61,14 @@ class Sink(ABC):
     def finish(self, name: str, stats: dict) -> None:
         """The run has ended well."""
 
+    def ask_to_stop(self, name: str) -> bool:
+        """Leave word for a run's tasks that they should stop; whether that is possible."""
+        return False
+
+    def stop_asked(self, name: str) -> bool:
+        """Whether a run's tasks should stop; tasks ask every few seconds."""
+        return False
+
 
 class _Parts(Rows):
     def __init__(self, sink: PartsSink, schema: T.StructType):
@@ -104,6 +112,13 @@ class PartsSink(Sink):
     def finish(self, name: str, stats: dict) -> None:
         output.finish(self.path, name, stats)
 
+    def ask_to_stop(self, name: str) -> bool:
+        output.write_marker(self.path, f"{name}.stop", b"")
+        return True
+
+    def stop_asked(self, name: str) -> bool:
+        return output.has_marker(self.path, f"{name}.stop")
+
 
 class _Files(Rows):
     FIRST = 32
