@@ -13,8 +13,8 @@ import random
 import threading
 import time
 from collections.abc import Callable, Iterable, Iterator
-from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from dataclasses import asdict, dataclass
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,13 +133,19 @@ def _alive(send: Callable, request: Request) -> bool:
 
 def _timed(send: Callable) -> Callable[[Request | dict, float | None], dict]:
     """send with a timeout where it takes one; a sender without one can't be stopped."""
+    if getattr(send, "timed", False):
+        return send
     try:
         taken = inspect.signature(send).parameters
     except (TypeError, ValueError):
         taken = {}
-    if "timeout" in taken:
-        return lambda body, left: send(body, timeout=left) if left is not None else send(body)
-    return lambda body, left: send(body)
+    takes = "timeout" in taken
+
+    def timed(body: Request | dict, left: float | None = None) -> dict:
+        return send(body, timeout=left) if takes and left is not None else send(body)
+
+    timed.timed = True
+    return timed
 
 
 def _what_failed(e: Exception) -> Failed:
@@ -198,38 +204,67 @@ def two_argument_parse(parse: Callable) -> Callable[[dict, dict], dict]:
     return (lambda row, reply: parse(reply)) if len(needed) < 2 else parse
 
 
-class _Reader(threading.Thread):
-    """Reads a task's rows ahead, so that a slow input keeps no finished record back; an error comes after the rows before it."""
+class _Calls:
+    """A task's threads: one reads rows ahead, so that a slow input keeps no finished record back; the others call.
+
+    Records and the ends of callers come through `out`.  An input that breaks off is told after all its rows have ended.
+    """
+
+    END = object()
 
-    def __init__(self, rows: Iterable[dict]):
-        super().__init__(daemon=True)
-        self.rows, self.held, self.ended = rows, queue.Queue(READ_AHEAD), False
+    def __init__(self, rows: Iterable[dict], one: Callable[[dict], dict], policy: Policy):
+        self.rows, self.one, self.policy = rows, one, policy
+        self.held: queue.SimpleQueue = queue.SimpleQueue()
+        self.ahead = max(READ_AHEAD, 2 * policy.window)
+        self.out: queue.SimpleQueue = queue.SimpleQueue()
+        self.closed, self.broken = threading.Event(), None
+        for work in (self._read, *(partial(self._call, i) for i in range(policy.window))):
+            threading.Thread(target=work, daemon=True).start()
 
-    def run(self) -> None:
-        last: tuple = (None, None)
+    def _read(self) -> None:
         try:
             for row in self.rows:
-                if not self._put((row, None)):
+                if not self._hold(row):
                     return
-        except BaseException as e:
-            last = (None, e)
-        self._put(last)
-
-    def _put(self, item: tuple) -> bool:
-        while not self.ended:
+        except Exception as e:
+            self.broken = InputFailed(f"{type(e).__name__}: {e}")
+        self._hold(self.END)
+
+    def _hold(self, item: object) -> bool:
+        while self.held.qsize() >= self.ahead and not self.closed.is_set():
+            time.sleep(0.002)
+        self.held.put(item)
+        return not self.closed.is_set()
+
+    def _call(self, number: int) -> None:
+        # a window that opens over ramp_s
+        self.closed.wait(self.policy.ramp_s * number / self.policy.window)
+        while not self.closed.is_set():
             try:
-                self.held.put(item, timeout=0.2)
-                return True
-            except queue.Full:
+                row = self.held.get(timeout=0.2)
+            except queue.Empty:
                 continue
-        return False
+            if row is self.END:
+                self.held.put(row)  # for the next caller
+                break
+            try:
+                self.out.put(self.one(row))
+            except BaseException as e:
+                self.out.put(e)
+        self.out.put(self.END)
 
-    def next(self) -> dict | None:
-        """The next row if one is there; raises queue.Empty if not yet, gives None at the end."""
-        row, error = self.held.get_nowait()
-        if error is not None:
-            raise error
-        return row
+    def ended(self, tick_s: float) -> list:
+        """What has come out, after tick_s at most; records, errors and ends."""
+        try:
+            found = [self.out.get(timeout=tick_s)]
+        except queue.Empty:
+            return []
+        while len(found) < 1000:
+            try:
+                found.append(self.out.get_nowait())
+            except queue.Empty:
+                break
+        return found
 
 
 def ended_calls(rows: Iterable[dict], to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable, schema: T.StructType, policy: Policy, tick_s: float = 0.2, meter: Meter | None = None) -> Iterator[pa.RecordBatch]:
@@ -238,7 +273,8 @@ def ended_calls(rows: Iterable[dict], to_request: Callable[[dict], dict | Reques
     Whatever goes wrong with a row alone is its error: building or encoding the request, the sender, the reply, parse,
     a value that the schema does not hold.
     """
-    breaker, dice, store, parse = Breaker(policy.breaker, policy.probe_s, policy.open_s), random.Random(), lattice.Storing(schema), two_argument_parse(parse)
+    breaker, dice, store = Breaker(policy.breaker, policy.probe_s, policy.open_s), random.Random(), lattice.Storing(schema)
+    send, parse = _timed(send), two_argument_parse(parse)
 
     def one(row: dict) -> dict:
         try:
@@ -253,40 +289,19 @@ def ended_calls(rows: Iterable[dict], to_request: Callable[[dict], dict | Reques
         except Exception as e:
             return {"id": row["id"], "error": f"client: {type(e).__name__}: {e}"}
 
-    began, source, more, broken = time.monotonic(), _Reader(rows), True, None
-    source.start()
-    pool = ThreadPoolExecutor(policy.window)
-    running: set[Future] = set()
+    calls, callers = _Calls(rows, one, policy), policy.window
     try:
-        while more or running:
-            open_ = policy.window if not policy.ramp_s else max(1, min(policy.window, int(policy.window * (time.monotonic() - began) / policy.ramp_s)))
-            idle = False
-            while more and len(running) < open_:
-                try:
-                    row = source.next()
-                except queue.Empty:
-                    idle = True
-                    break
-                except Exception as e:  # what is under way ends first
-                    row, broken = None, InputFailed(f"{type(e).__name__}: {e}")
-                if row is None:
-                    more = False
-                else:
-                    running.add(pool.submit(one, row))
-            if running:
-                done, running = wait(running, min(tick_s, 0.005) if idle else tick_s, FIRST_COMPLETED)
-                lost = next((e for f in done if (e := f.exception()) is not None), None)
-                yield store.batch([f.result() for f in done if f.exception() is None])
-                if lost is not None:
-                    raise lost
-            elif more:
-                time.sleep(0.002)
-                yield store.batch([])
-        if broken is not None:
-            raise broken
+        while callers:
+            found = calls.ended(tick_s)
+            callers -= sum(x is calls.END for x in found)
+            lost = next((x for x in found if isinstance(x, BaseException)), None)
+            yield store.batch([x for x in found if isinstance(x, dict)])
+            if lost is not None:
+                raise lost
+        if calls.broken is not None:
+            raise calls.broken
     finally:
-        source.ended = True
-        pool.shutdown(wait=False, cancel_futures=True)
+        calls.closed.set()
 
 
 def call_rows(rows: DataFrame, to_request: Callable[[dict], dict | Request], send: Callable[[dict], dict], parse: Callable, schema: T.StructType, policy: Policy | None = None, together: int = 500) -> DataFrame:

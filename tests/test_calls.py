@@ -198,16 +198,16 @@ def test_the_server_is_lost(spark, tmp_path):
 
 
 class Breaking(sinks.PartsSink):
-    """A sink whose third batch of records meets a full disk."""
+    """A sink that meets a full disk after some records."""
 
     def rows(self, schema):
-        rows, calls, add = super().rows(schema), [], None
+        rows, held = super().rows(schema), []
         add = rows.add_batch
 
         def failing(records):
-            calls.append(1)
-            if len(calls) == 3:
+            if sum(held) >= 10:
                 raise OSError("disk full")
+            held.append(records.num_rows)
             return add(records)
 
         rows.add_batch = failing
@@ -217,7 +217,7 @@ class Breaking(sinks.PartsSink):
 def test_the_sink_fails(spark, tmp_path):
     path = str(tmp_path / "o")
     with pytest.raises(SinkFailed, match="OSError: disk full"):
-        pump(all_rows(spark), lambda row: {}, lambda body: {"said": "x"}, lambda reply: reply, Breaking(path, flush_rows=1), OUT, policy=Policy(window=2, attempts=1), fail_fast=0)
+        pump(all_rows(spark), lambda row: {}, lambda body: time.sleep(0.02) or {"said": "x"}, lambda reply: reply, Breaking(path, flush_rows=1), OUT, policy=Policy(window=2, attempts=1), fail_fast=0)
     before = landed(spark, path)
     done = pump(all_rows(spark), lambda row: {}, lambda body: {"said": "x"}, lambda reply: reply, path, OUT)
     assert 0 < len(before) < 60 and done.rows_done_prior == len(before) and len(landed(spark, path)) == 60
