@@ -37,7 +37,7 @@ from .vector_codes import whole_vectors
 #: Rows of a data tile and of a query tile, about; cells at most, and sampled rows for each of them.
 TILE, QUERY_TILE, CELLS, SAMPLED = 4096, 1024, 1024, 16
 #: Points of a node that is not split, and the most children that a node may need for half its points.
-LEAF, CHILDREN = 64, 32
+LEAF, CHILDREN = 16, 32
 NO_ID = np.iinfo(np.int64).max
 NOTHING = np.iinfo(np.int64).min
 
@@ -199,8 +199,10 @@ def search(best: Best, queries: Tile, data: Tile) -> int:
             compared += (qs.stop - qs.start) * (ds.stop - ds.start)
             _compare(best, queries, data, qs, ds, most)
             continue
-        # the wider node is split; what may hold the best comes last, and so is taken next
-        if d.count[b] and (d.radius[b] >= q.radius[a] or not q.count[a]):
+        # queries without k candidates yet are split, so that each group finds its own; then the wider node is.
+        # What may hold the best comes last, and so is taken next.
+        unmet = best.kth[qs].min() == NOTHING
+        if d.count[b] and not (q.count[a] and (unmet or q.radius[a] > d.radius[b])):
             right = np.arange(d.first[b], d.first[b] + d.count[b])
             left = np.full(len(right), a)
         else:
