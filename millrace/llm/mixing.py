@@ -76,12 +76,12 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, mos
 def assign_positions(docs: DataFrame, curriculum: Sequence[Schedule] = CURRICULUM, share: float = 1.0, most: float = 3.0, bucket_digits: int = 3, carry: Sequence[Column] = ()) -> DataFrame:
     """A row per document: doc_id, source, size, source_size, target, taken, copies (position and words of each).
 
-    The order of a source's documents is that of the MD5 of doc_id.  Running sums go by buckets of that hash
+    The order of a source's documents is that of the MD5 of doc_id, or of the text's hash where that is null.  Running sums go by buckets of that hash
     (16 ** bucket_digits for each source), so the largest source is spread as widely as any.  `carry`: more columns.
     Sizes are stored, so that words are counted once.
     """
-    sized = docs.select("doc_id", "source", n_words().alias("size"), *carry).withColumn("dice", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = stored(sized.withColumn("bucket", F.substring("dice", 1, bucket_digits)), "sizes")
+    sized = docs.select("doc_id", "source", n_words().alias("size"), F.xxhash64(F.col("text").cast("string")).cast("string").alias("__none"), *carry).withColumn("dice", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.col("__none"))))
+    sized = stored(sized.drop("__none").withColumn("bucket", F.substring("dice", 1, bucket_digits)), "sizes")
     cells = sized.groupBy("source", "bucket").agg(F.sum("size").alias("cell"))
     over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.withColumn("ahead", F.coalesce(F.sum("cell").over(over), F.lit(0)))

@@ -4,13 +4,14 @@ The base patterns (fixed values, below) give the seeds, and long mixed hexadecim
 secrets.  Every identifier-like token is an instance.  Its lexical patterns are the two words before it, the word
 before it, the word after it (lower-cased, digits as zeros, read within CONTEXT code points; one without a letter is
 none) and its own shape.  The
-graph of patterns and instances is scored in rounds: a pattern's confidence for a kind is the smoothed share of its
-distinct instances' scores.  A seed scores 1; another instance scores as the surest pattern that it is met in, where a
-pattern of words is judged by the instances' own forms and one of forms by the words around them, so that no pattern
-proves itself or its like.  A pattern needs `support`
-instances that score at least `confidence`, seeds or discovered ones.  Patterns of that confidence name unseen
-identifiers at their places, where no base span is; a secret is named only so, whatever its form.  Both sides of the
-graph are aggregated before they are joined, so a context that a third of all texts share is a row.
+graph of patterns and instances is scored in rounds.  A seed scores 1.  What has a kind's form and fails its check (a
+number that is no card) counts against every pattern and is never named.  Any other instance scores, for the judgement
+of a pattern, as the surest pattern of the other views that it is met in; the views are the words before it, the
+word after it and its own form, so no pattern proves itself or its like, and words can vouch for words.  A pattern's
+confidence for a kind is the lower bound of its share, given how many instances it has: those of which nothing is
+known count in part, since they are what patterns are asked for.  A pattern also needs `support` instances that score at least `confidence`.  Patterns of that confidence name unseen identifiers at
+their places, where no base span is; a secret is named only so, whatever its form.  Both sides of the graph are
+aggregated before they are joined, so a context that a third of all texts share is a row.
 
 Positions are code points, from the pieces between matches.  Texts are told apart by a 64-bit hash.  Edge cases: null
 and empty texts have no spans; repeated rows get the same spans; quantifiers that cannot backtrack keep very long
@@ -39,6 +40,8 @@ HINTS = {"email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x
 KINDS = tuple(PATTERNS)
 ALL_KINDS = (*KINDS, "secret")
 SPAN = "array<struct<kind:string,start:int,stop:int>>"
+#: The digits of a card as a token of their own.
+WHOLE_CARD = r"[0-9](?:[\x20-]?[0-9]){12,}+(?![0-9A-Za-z:/@]|\.[0-9])"
 #: A token with a digit or an at sign.
 IDENTIFIER = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 #: What is no part of a token: opening signs, and all signs at its end.
@@ -49,6 +52,12 @@ SECRET = r"^(?=[0-9]*[A-Fa-f])(?=[A-Fa-f]*[0-9])[0-9A-Fa-f]{32,}+$"
 CONTEXT = 80
 #: The patterns of a token itself; the others are of the words around it.
 OWN = ("shape", "form", "checked")
+#: Which patterns are one view of a token.
+VIEWS = {"two before": "left", "before": "left", "after": "right", **dict.fromkeys(OWN, "own")}
+#: The mark of a token that has a kind's form and fails its check.
+REFUSED = "none"
+#: What an instance of which nothing is known counts in a pattern, and the squared score of the lower bound.
+DOUBT, Z2 = 0.25, 1.96**2
 _CANDIDATE = "array<struct<token:string,start:int,stop:int,left:string,right:string>>"
 
 
@@ -131,10 +140,11 @@ def base_spans(text: Column) -> Column:
 def located(docs: DataFrame) -> DataFrame:
     """(tkey, base, found): a row per distinct text that may hold an identifier, with base spans and identifier-like tokens.
 
-    A base match is one token, whatever white space it holds.
+    A base match is one token, whatever white space it holds; of digits, only if there are enough for a card and no more
+    of the token follows.
     """
     text = F.col("text")
-    base = "|".join(f"(?:{p})" for p in PATTERNS.values())
+    base = "|".join(f"(?:{p})" for p in (PATTERNS | {"card": WHOLE_CARD}).values())
     texts = docs.select(F.col("text").cast("string").alias("text")).where(text.rlike("[0-9@]"))
     rows = texts.select(F.xxhash64("text").alias("tkey"), base_spans(text).alias("base"), _located(text, f"{base}|{IDENTIFIER}", True).alias("found"))
     return rows.where("size(found) > 0").dropDuplicates(["tkey"])
@@ -148,6 +158,12 @@ def _kind_of(token: Column) -> Column:
     return kind.otherwise(F.lit(None).cast("string"))
 
 
+def _refused(token: Column) -> Column:
+    """Whether a whole token has the form of a kind and fails its check; few digits are no card's form."""
+    enough = {"card": F.length(_digits(token)).between(13, 19)}
+    return F.coalesce(*[F.when(token.rlike(f"^(?:{PATTERNS[k]})$") & enough.get(k, F.lit(True)) & ~_valid(k, token), F.lit(True)) for k in KINDS if k != "email"], F.lit(False))
+
+
 def _shape(token: Column) -> Column:
     """Digits as zeros and runs of letters as one; of a long mix of letters and digits only the length."""
     mixed = (F.length(token) >= 16) & token.rlike("^(?=[0-9]*[A-Za-z])(?=[A-Za-z]*[0-9])[0-9A-Za-z]++$")
@@ -162,7 +178,7 @@ def candidates_of(located_: DataFrame) -> DataFrame:
     bare = F.regexp_replace("match", LEAD, "")
     plain = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(c), "[0-9]", "0"), rf"{blank}++", " "))
     rows = rows.select("tkey", (F.col("from") + F.length("match") - F.length(bare)).alias("start"), F.regexp_replace(bare, TAIL, "").alias("token"), plain(F.col("left")).alias("left"), plain(F.col("right")).alias("right"))
-    rows = rows.where(F.length("token") > 0).withColumn("seed", F.coalesce(_kind_of(F.col("token")), F.when(F.col("token").rlike(SECRET), F.lit("secret"))))
+    rows = rows.where(F.length("token") > 0).withColumn("seed", F.coalesce(_kind_of(F.col("token")), F.when(F.col("token").rlike(SECRET), F.lit("secret")), F.when(_refused(F.col("token")), F.lit(REFUSED))))
     two, after = F.regexp_extract("left", r"([^ ]++ )?[^ ]++$", 0), F.regexp_extract("right", r"^[^ ]++", 0)
     sides = {"two before": two, "before": F.regexp_extract("left", r"[^ ]++$", 0), "after": after}
     spoken = [F.when(c.rlike(r"\p{L}") & (c.contains(" ") if side == "two before" else F.lit(True)), F.struct(F.lit(side).alias("side"), c.alias("context"))) for side, c in sides.items()]
@@ -178,7 +194,17 @@ def _alike(kind: Column, token: Column) -> Column:
     """Whether an unseen token can stand for a kind at all."""
     n = F.length(_digits(token))
     secret = (F.length(token) >= 16) & (n > 0) & token.rlike("[A-Za-z]") & ~token.contains("@")
-    return F.when(kind == "email", token.contains("@") & (F.length(token) >= 5)).when(kind == "ip", (n >= 4) & token.contains(".")).when(kind == "card", n >= 12).when(kind == "secret", secret).otherwise(n >= 7)
+    return F.when(kind == "email", token.contains("@") & (F.length(token) >= 5)).when(kind == "ip", (n >= 4) & token.rlike("[.:]")).when(kind == "card", n >= 12).when(kind == "secret", secret).otherwise(n >= 7)
+
+
+def _view(side: Column) -> Column:
+    return F.when(side.isin(*OWN), "own").when(side == "after", "right").otherwise("left")
+
+
+def _lower(mass: Column, n: Column) -> Column:
+    """The lower end of the interval in which a share of mass / n lies (Wilson's, 95 %)."""
+    p = mass / n
+    return (p + Z2 / (2 * n) - Z2**0.5 * F.sqrt(F.greatest(F.lit(0.0), p * (1 - p)) / n + Z2 / (4 * n * n))) / (1 + Z2 / n)
 
 
 def bootstrap(candidates: DataFrame, rounds: int = 3, confidence: float = 0.75, support: int = 5) -> DataFrame:
@@ -187,20 +213,23 @@ def bootstrap(candidates: DataFrame, rounds: int = 3, confidence: float = 0.75,
     edges = candidates.select("token", "seed", F.inline("patterns")).distinct()
     # stored, so that a join has plain shuffles on both sides and a hot context's rows can be split
     edges = stored(edges, "edges")
-    shared = stored(edges.groupBy(p).agg(F.count("*").alias("degree")).where(F.col("degree") >= support), "degrees")
+    shared = stored(edges.groupBy(p).agg(F.count("*").alias("degree"), F.count("seed").alias("known")).where(F.col("degree") >= support), "degrees")
     edges = stored(edges.join(shared, p), "patterns")
-    seeds = edges.where("seed is not null").groupBy(*p, F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("mass"), F.count("*").alias("strong"), F.first("degree").alias("degree"))
-    unseen, evidence = edges.where("seed is null").drop("seed"), seeds
+    both = [F.first("degree").alias("degree"), F.first("known").alias("known")]
+    seeds = edges.where(F.col("seed") != REFUSED).groupBy(*p, F.col("seed").alias("kind")).agg(F.count("*").cast("double").alias("mass"), F.lit(0.0).alias("gained"), F.count("*").alias("strong"), *both)
+    unseen, evidence = edges.where("seed is null").drop("seed").withColumn("view", _view(F.col("side"))), seeds
     for turn in range(rounds):
-        judged = evidence.groupBy(*p, "kind").agg(F.sum("mass").alias("mass"), F.sum("strong").alias("strong"), F.first("degree").alias("degree")).where(F.col("strong") >= support)
-        patterns = stored(judged.select(*p, "kind", (F.col("mass") / (F.col("degree") + 0.5)).alias("confidence")), f"scores{turn}")
+        judged = evidence.groupBy(*p, "kind").agg(F.sum("mass").alias("mass"), F.sum("gained").alias("gained"), F.sum("strong").alias("strong"), *both).where(F.col("strong") >= support)
+        n = F.col("known") + F.col("gained") + DOUBT * (F.col("degree") - F.col("known") - F.col("gained"))
+        patterns = stored(judged.select(*p, "kind", _lower(F.least(F.col("mass"), n), n).alias("confidence")), f"scores{turn}")
         if turn == rounds - 1:
             break
         met = unseen.join(patterns, p).where(_alike(F.col("kind"), F.col("token")))
-        # by view: what the words say of a token, and what its form says
-        told = stored(met.groupBy("token", "kind", (~F.col("side").isin(*OWN)).alias("of_form")).agg(F.max("confidence").alias("score")), f"told{turn}")
-        met = unseen.withColumn("of_form", F.col("side").isin(*OWN)).join(told, ["token", "of_form"])
-        gained = met.groupBy(*p, "kind").agg(F.sum("score").alias("mass"), F.count_if(F.col("score") >= confidence).alias("strong"), F.first("degree").alias("degree"))
+        # what the other views say of a token, for each view
+        others = F.array_remove(F.array(*map(F.lit, sorted(set(VIEWS.values())))), F.col("view"))
+        said = met.groupBy("token", "kind", "view").agg(F.max("confidence").alias("score"))
+        told = stored(said.select("token", "kind", "score", F.explode(others).alias("view")).groupBy("token", "kind", "view").agg(F.max("score").alias("score")), f"told{turn}")
+        gained = unseen.join(told, ["token", "view"]).groupBy(*p, "kind").agg(F.sum("score").alias("mass"), F.sum("score").alias("gained"), F.count_if(F.col("score") >= confidence).alias("strong"), *both)
         evidence = seeds.unionByName(gained)
     return patterns.where(F.col("confidence") >= confidence)
 

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 KINDS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 ORDER = [*KINDS, "secret"]
-CANDIDATE = re.compile("|".join(f"(?:{p})" for p in (KINDS["email"], r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", KINDS["card"], KINDS["phone"], r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")))
+CANDIDATE = re.compile("|".join(f"(?:{p})" for p in (KINDS["email"], r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9](?:[\x20-]?[0-9]){12,}+(?![0-9A-Za-z:/@]|\.[0-9])", KINDS["phone"], r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")))
 
 
 def luhn(digits):
@@ -36,7 +36,12 @@ def kind_of(token):
         if re.fullmatch(p, token) and valid(k, token):
             return k
     mixed = re.fullmatch("[0-9A-Fa-f]{32,}", token) and re.search("[0-9]", token) and re.search("[A-Fa-f]", token)
-    return "secret" if mixed else None
+    return "secret" if mixed else "none" if any(re.fullmatch(p, token) and (k != "card" or 13 <= len(digits_of(token)) <= 19) for k, p in KINDS.items()) else None
+
+
+def lower(share, n):
+    z = 1.96
+    return (share + z * z / (2 * n) - z * (max(0.0, share * (1 - share)) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
 
 
 def form(token):
@@ -66,7 +71,7 @@ def alike(kind, token):
         return "@" in token and len(token) >= 5
     if kind == "secret":
         return len(token) >= 16 and n > 0 and re.search("[A-Za-z]", token) is not None and "@" not in token
-    return n >= 4 and "." in token if kind == "ip" else n >= 12 if kind == "card" else n >= 7
+    return n >= 4 and ("." in token or ":" in token) if kind == "ip" else n >= 12 if kind == "card" else n >= 7
 
 
 def private_spans(texts, rounds=3, confidence=0.75, support=5):
@@ -86,21 +91,24 @@ def private_spans(texts, rounds=3, confidence=0.75, support=5):
     for t, p in edges:
         tokens[p].add(t)
     tokens = {p: ts for p, ts in tokens.items() if len(ts) >= support}
-    words = lambda p: p[0] in ("two before", "before", "after")
-    scores, trust = {}, {}  # scores: (token, kind, said by words)
+    view = lambda p: {"two before": "left", "before": "left", "after": "right"}.get(p[0], "own")
+    scores, trust = {}, {}  # scores: (token, kind, view of the pattern that says so)
     for _ in range(rounds):
         trust = {}
         for p, ts in tokens.items():
+            known = sum(kind_of(t) is not None for t in ts)
             for kind in ORDER:
-                each = [float(kind_of(t) == kind) if kind_of(t) else scores.get((t, kind, not words(p)), 0.0) for t in ts]
-                if sum(x >= confidence for x in each) >= support:
-                    trust[p, kind] = sum(each) / (len(ts) + 0.5)
+                seeds = [1.0 for t in ts if kind_of(t) == kind]
+                told = [max((s for v in ("left", "right", "own") if v != view(p) and (s := scores.get((t, kind, v))) is not None), default=0.0) for t in ts if kind_of(t) is None]
+                if sum(x >= confidence for x in seeds + told) >= support:
+                    n = known + sum(told) + 0.25 * (len(ts) - known - sum(told))
+                    trust[p, kind] = lower(min(sum(seeds) + sum(told), n) / n, n)
         scores = {}
         for p, ts in tokens.items():
             for t in ts:
                 for kind in ORDER:
                     if kind_of(t) is None and (p, kind) in trust and alike(kind, t):
-                        at = (t, kind, words(p))
+                        at = (t, kind, view(p))
                         scores[at] = max(scores.get(at, 0.0), trust[p, kind])
     out = [base_spans(t) for t in texts]
     for i, start, token, ps in places:
