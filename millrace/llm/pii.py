@@ -159,8 +159,8 @@ def _kind_of(token: Column) -> Column:
 
 
 def _refused(token: Column) -> Column:
-    """Whether a whole token has the form of a kind and fails its check; few digits are no card's form."""
-    enough = {"card": F.length(_digits(token)).between(13, 19)}
+    """Whether a whole token has the form of a kind and fails its check; few digits are no card's form, parts of many no address's."""
+    enough = {"card": F.length(_digits(token)).between(13, 19), "ip": token.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$")}
     return F.coalesce(*[F.when(token.rlike(f"^(?:{PATTERNS[k]})$") & enough.get(k, F.lit(True)) & ~_valid(k, token), F.lit(True)) for k in KINDS if k != "email"], F.lit(False))
 
 

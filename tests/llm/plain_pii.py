@@ -36,7 +36,7 @@ def kind_of(token):
         if re.fullmatch(p, token) and valid(k, token):
             return k
     mixed = re.fullmatch("[0-9A-Fa-f]{32,}", token) and re.search("[0-9]", token) and re.search("[A-Fa-f]", token)
-    return "secret" if mixed else "none" if any(re.fullmatch(p, token) and (k != "card" or 13 <= len(digits_of(token)) <= 19) for k, p in KINDS.items()) else None
+    return "secret" if mixed else "none" if any(re.fullmatch(p, token) and (k != "card" or 13 <= len(digits_of(token)) <= 19) and (k != "ip" or re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", token)) for k, p in KINDS.items()) else None
 
 
 def lower(share, n):
