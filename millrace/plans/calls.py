@@ -196,12 +196,12 @@ def attempt(send: Callable[[Request | dict], dict], asked: Request | dict, polic
 
 
 def two_argument_parse(parse: Callable) -> Callable[[dict, dict], dict]:
-    """parse(row, reply) from that or from parse(reply); arguments with defaults don't count."""
+    """parse(row, reply), from that or from a function that is satisfied with the reply alone."""
     try:
-        needed = [p for p in inspect.signature(parse).parameters.values() if p.default is p.empty and p.kind < p.VAR_POSITIONAL]
-    except (TypeError, ValueError):  # nothing is known of it
+        inspect.signature(parse).bind(None)
+    except (TypeError, ValueError):  # it needs more, or nothing is known of it
         return parse
-    return (lambda row, reply: parse(reply)) if len(needed) < 2 else parse
+    return lambda row, reply: parse(reply)
 
 
 class _Calls:
