@@ -1,5 +1,10 @@
+import html
+import math
+import random
+import re
 import time
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -89,3 +94,67 @@ def test_time_grows_with_the_length_only(piece):
 def test_pieces_of_text(source, want):
     page = h.parse(source)
     assert h._text(page, np.ones(len(page.tag), bool)) == want
+
+
+# ---- the decoder and the query against plain versions
+
+
+def small_page(parents):
+    page = h.Page.__new__(h.Page)
+    page.parent, page.tag = parents, ["div"] * len(parents)
+    return page
+
+
+def total(labels, scores):
+    """The log likelihood of a labelling."""
+    return sum(-math.log1p(math.exp(-s)) if kept else -math.log1p(math.exp(s)) for kept, s in zip(labels, scores, strict=True))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_decoding_is_the_best_of_all_labellings(seed):
+    dice = random.Random(seed)
+    for n in range(1, 11):
+        parents = [-1, *(dice.randrange(i) for i in range(1, n))]
+        scores = [dice.gauss(0, 2) for _ in range(n)]
+        allowed = [x for x in product((True, False), repeat=n) if all(p < 0 or x[p] or not x[i] for i, p in enumerate(parents))]
+        got = h.decode(small_page(parents), np.array(scores)).tolist()
+        assert tuple(got) in allowed and total(got, scores) == pytest.approx(max(total(x, scores) for x in allowed))
+
+
+def plain_score(trees, row):
+    out = trees.base
+    for feature, threshold, leaf in trees.trees:
+        node = 0
+        for _ in range(trees.depth):
+            node = 2 * node + (2 if row[feature[node]] > threshold[node] else 1)
+        out += leaf[node - (2**trees.depth - 1)]
+    return out
+
+
+def plain_text(source, model):
+    """The extraction with a walk through each tree and a choice for each subtree, from the root down."""
+    page = h.parse(source or "")
+    scores = [plain_score(model[0], row) for row in h.features(page, model[1])]
+    below = [[] for _ in scores]
+    for i, p in enumerate(page.parent):
+        if p >= 0:
+            below[p].append(i)
+    keep, drop = {}, {}
+    for i in sorted(range(len(scores)), reverse=True):
+        drop[i] = -math.log1p(math.exp(scores[i])) + sum(drop[c] for c in below[i])
+        keep[i] = -math.log1p(math.exp(-scores[i])) + sum(max(keep[c], drop[c]) for c in below[i])
+    kept, todo = set(), [0]
+    while todo:
+        i = todo.pop()
+        if keep[i] >= drop[i]:
+            kept.add(i)
+            todo += below[i]
+    pieces = [x for i, text, apart in page.text for x in ((" " if apart else ""), text if i in kept else "")]
+    return re.sub(r"\s+", " ", html.unescape("".join(pieces))).strip()
+
+
+def test_query_against_a_plain_version(spark, sf, model):
+    pages = spark.read.parquet(f"{sf}/pages.parquet").collect()
+    want = sorted((r.page_id, r.url, text := plain_text(r.html, model), len(text)) for r in pages)
+    got = h.op5_main_text(spark, sf).collect()
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in got) == want and sum(n > 0 for *_, n in want) > len(want) / 2
