@@ -12,7 +12,7 @@ bytes before the anchors agree; all but the first by (doc_id, start) are repeats
 Anchors with more than `group_limit` different blocks are compared by the hashes of their strings as plain rows
 instead, so that no anchor is one task's work.
 
-Edge cases: a null text has no bytes; documents shorter than `length` keep all; doc_id is a long, nulls come last;
+Edge cases: a null text has no bytes; documents shorter than `length` keep all; doc_id is a whole number (other kinds are ranked in their order), nulls come last;
 rows equal in doc_id and text are one document; very long texts are read in overlapping pieces; columns beside
 doc_id and text are ignored; an empty table gives an empty result.  What is left of a text is binary, since a cut
 may fall inside a character.
@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BASE, BYTE_VALUE, mix64, powers, release, stored, string_bytes, table
 
@@ -334,7 +335,16 @@ def later_strings(rows: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, gr
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, k: int = SEED_BYTES, group_limit: int = GROUP_LIMIT) -> DataFrame:
-    """(doc_id, n_bytes, spans, kept): the removed runs of bytes, and the bytes that are left."""
+    """(doc_id, n_bytes, spans, kept): the removed runs of bytes, and the bytes that are left.
+
+    Ids that are no whole numbers are ranked in their own order, and given back as they were.
+    """
+    if not isinstance(docs.schema["doc_id"].dataType, T.IntegralType):
+        # numbers that grow with the order of a sorted table, whatever its partitions
+        ranks = stored(docs.select(F.col("doc_id").alias("id")).where("id is not null").distinct().sort("id").select("id", F.monotonically_increasing_id().alias("rank")), "id-ranks")
+        ranked = docs.select(F.col("doc_id").alias("id"), "text").join(ranks, "id", "left").select(F.col("rank").alias("doc_id"), "text")
+        found = without_repeats(ranked, length, k, group_limit)
+        return found.join(ranks, F.col("doc_id") == F.col("rank"), "left").select(F.col("id").alias("doc_id"), "n_bytes", "spans", "kept")
     rows = keyed(docs)
     found = later_strings(rows, length, k, group_limit)
     ranges = found.groupBy("row").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))

@@ -607,3 +607,11 @@ def test_empty_decontamination(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.find_benchmark(corpora.empty(spark), none).count() == 0
     assert decontaminate.find_benchmark(corpora.odd(spark), none).where("n_hit > 0").count() == 0
+
+
+def test_bytes_of_documents_with_text_ids(spark):
+    rows = [(f"{i:04d}" if i is not None else None, t) for i, t, *_ in corpora.odd_rows()]
+    numbers = spark.createDataFrame([(None if i is None else int(i), t) for i, t in rows], "doc_id long, text string")
+    names = spark.createDataFrame(rows, "doc_id string, text string").repartition(3)
+    plain = lambda df: key([(None if r.doc_id is None else int(r.doc_id), r.n_bytes, bytes(r.kept)) for r in suffix_dedup.without_repeats(df).collect()])
+    assert plain(names) == plain(numbers)
