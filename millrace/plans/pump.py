@@ -193,5 +193,5 @@ def pump(rows: DataFrame, to_request: Callable[[dict], dict], send: Callable[[di
     stats = Stats(counts["rows_total"] or 0, counts["rows_done_prior"] or 0, counts["rows_errored_prior"] or 0, counts["rows_deduped"] or 0, ok, failed, time.time() - began)
     if stats.rows_unaccounted:
         raise RowsLost(f"{stats.rows_unaccounted} of {stats.rows_total} rows are neither done, deduplicated, processed nor failed")
-    sink.finish(f"shard-{shard[0]}-{name}", asdict(stats))
+    sink.finish(f"shard-{shard[0]}-{name}", asdict(stats) | {"rank": shard[0], "world": shard[1]})
     return stats

@@ -59,6 +59,8 @@ def test_shards_are_disjoint_and_cover(spark, rows, tmp_path):
         pump(rows, REQUEST, echo, PARSE, path, OUT, policy=QUICK, shard=(rank, 3), fail_fast=0)
     assert resume.output_audit(output.parts(spark, path)).first()["unique_ids"] == 60
     assert output.parts(spark, path).count() == 60
+    stats = [json.loads(f.read_text()) for f in (tmp_path / "out/__millrace/runs").glob("*.done")]
+    assert sorted((s["rank"], s["world"]) for s in stats) == [(k, 3) for k in range(3)] and sum(s["rows_processed"] + s["rows_failed"] for s in stats) == 60
 
 
 def test_all_failed_stores_nothing(spark, rows, tmp_path):
