@@ -62,7 +62,8 @@ def conformed(rows: DataFrame, body: str, schema: T.StructType) -> DataFrame:
 
 
 def data_uri(content: Column, kind: str = "image/jpeg") -> Column:
-    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+    """content as a data address on one line: Spark breaks what it encodes after 76 characters."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.translate(F.base64(content), "\r\n", ""))
 
 
 def first_rows_failed(records: DataFrame, position: str, n: int) -> bool:
