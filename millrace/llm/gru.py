@@ -7,6 +7,8 @@ next, and set to zero where a document begins.  Gradients reach back to the begi
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,6 +16,8 @@ import numpy as np
 HIDDEN, EMBED, CLASSES, PER_CLASS = 24, 16, 32, 64
 SIZE = CLASSES * PER_CLASS
 WINDOW = 32
+#: Rows whose outputs stay in a core's cache, and rows that are scored together.
+ROWS, TOGETHER = 1024, 1 << 14
 
 Params = dict[str, np.ndarray]
 
@@ -65,53 +69,127 @@ def lanes(symbols: np.ndarray, first: np.ndarray, end_symbol: int, width: int) -
     return Lanes(target, before, begins, doc)
 
 
-def _forward(p: Params, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool):
-    """(states after each step, last state, what the way back needs); x: what the symbols before say to the gates."""
+class _Space:
+    """Memory by name that one window after another takes, so that it is not fetched anew for each."""
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] = {}
+
+    def of(self, name: str, dtype: np.dtype, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or self.held[name].size < n or self.held[name].dtype != dtype:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
+
+
+def _inputs(p: Params, before: np.ndarray, space: _Space) -> tuple[np.ndarray, np.ndarray]:
+    """(embeddings of the symbols before and a one, what they say to the gates: a row of lanes for each step and input).
+
+    A gate is 1 / (1 + exp(-x)), so the inputs of the gates are negated once.
+    """
+    (steps, width), dtype = before.shape, p["wx"].dtype
+    emb = space.of("emb", dtype, SIZE, EMBED + 1)
+    emb[:, :-1], emb[:, -1] = p["emb"], 1
+    wx = np.concatenate([p["wx"], p["bx"][None]])
+    wx[:, : 2 * HIDDEN] *= -1
+    said = np.take(emb, before, axis=0, out=space.of("said", dtype, steps, width, EMBED + 1), mode="clip")
+    return said, np.matmul(wx.T, said.transpose(0, 2, 1), out=space.of("x", dtype, steps, 3 * HIDDEN, width))
+
+
+def _forward(p: Params, x: np.ndarray, begins: np.ndarray, h: np.ndarray, keep: bool, space: _Space):
+    """(states before the first step and after each, what the way back needs), each of them with a row of lanes for a unit."""
     steps, width = begins.shape
-    states = np.empty((steps, width, HIDDEN), x.dtype)
-    # of each step: the state before it, both gates, the candidate's recurrent part and the candidate
-    held = [np.empty((steps, width, k), x.dtype) for k in (HIDDEN, 2 * HIDDEN, HIDDEN, HIDDEN)] if keep else None
-    bn, k = p["bn"], HIDDEN
-    # a gate is 1 / (1 + exp(-x)), so its inputs are negated once
-    wh = p["wh"].copy()
-    wh[:, : 2 * k] *= -1
-    gates, candidates = -x[:, :, : 2 * k], np.ascontiguousarray(x[:, :, 2 * k :])
-    for t, new in enumerate(begins.any(axis=1).tolist()):
-        if new:
-            h = h * ~begins[t][:, None]
-        u = h @ wh
-        zr = np.add(gates[t], u[:, : 2 * k], out=held[1][t] if keep else gates[t])
-        np.minimum(zr, 60, out=zr)  # exp stays finite
-        np.exp(zr, out=zr)
-        zr += 1
-        np.reciprocal(zr, out=zr)
-        un = np.add(u[:, 2 * k :], bn, out=held[2][t] if keep else None)
-        n = np.multiply(zr[:, k:], un, out=held[3][t] if keep else None)
-        n += candidates[t]
-        np.tanh(n, out=n)
-        if keep:
-            held[0][t] = h
-        step = np.subtract(h, n, out=states[t])
-        step *= zr[:, :k]
-        step += n
-        h = step
-    return states, h.copy(), held
-
-
-def _table(p: Params) -> np.ndarray:
-    return p["emb"] @ p["wx"] + p["bx"]
+    k = HIDDEN
+    states = space.of("states", x.dtype, steps + 1, k, width)
+    states[0] = h
+    # of each step: both gates, the candidate's recurrent part and the candidate
+    held = [space.of(name, x.dtype, steps if keep else 1, n, width) for name, n in (("zr", 2 * k), ("un", k), ("n", k))]
+    wh = p["wh"].T.copy()
+    wh[: 2 * k] *= -1
+    bn, u, going = p["bn"][:, None], space.of("u", x.dtype, 3 * k, width), ~begins
+    gates_said, candidate_said = u[: 2 * k], u[2 * k :]
+    with np.errstate(over="ignore"):  # a gate at infinity is shut
+        for t, new in enumerate(begins.any(axis=1).tolist()):
+            h = states[t] * going[t] if new else states[t]
+            zr, un, n = (a[t if keep else 0] for a in held)
+            said, step = x[t], states[t + 1]
+            np.matmul(wh, h, out=u)
+            np.add(gates_said, said[: 2 * k], out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            np.add(candidate_said, bn, out=un)
+            np.multiply(zr[k:], un, out=n)
+            n += said[2 * k :]
+            np.tanh(n, out=n)
+            np.subtract(h, n, out=step)
+            step *= zr[:k]
+            step += n
+    return states, held
+
+
+def _by_place(states: np.ndarray, places: np.ndarray, space: _Space, out: np.ndarray | None = None) -> np.ndarray:
+    """The states at some places, a row for each, with a one behind the units for the biases."""
+    steps, k, width = states.shape
+    rows = space.of("rows", states.dtype, steps - 1, width, k + 1)
+    rows[:, :, :k], rows[:, :, k] = states[1:].transpose(0, 2, 1), 1
+    return np.take(rows.reshape(-1, k + 1), places, axis=0, out=out, mode="clip")
+
+
+class _Outputs:
+    """Both softmaxes over rows of states that are sorted by class; the biases are the weights' last row."""
+
+    def __init__(self, p: Params, space: _Space):
+        k, dtype = HIDDEN, p["ww"].dtype
+        self.space, self.classes = space, np.concatenate([p["wc"], p["bc"][None]])
+        self.words = space.of("words", dtype, CLASSES, k + 1, PER_CLASS)
+        self.words[:, :k], self.words[:, k] = p["ww"], p["bw"]
+        # states are within 1, so no output is over the sum of its weights
+        sizes = np.abs(self.words, out=space.of("sizes", dtype, *self.words.shape)).sum(axis=1)
+        self.wide = bool(max(sizes.max(), np.abs(self.classes).sum(axis=0).max()) > 60)
+
+    def _rows(self, n: int, columns: int) -> np.ndarray:
+        return self.space.of("outputs", self.words.dtype, n, columns)
+
+    def of_classes(self, rows: np.ndarray) -> np.ndarray:
+        """Unnormalised logarithms of the classes' shares, in memory that the next call takes."""
+        return self._bounded(np.matmul(rows, self.classes, out=self._rows(len(rows), CLASSES)))
+
+    def of_words(self, rows: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+        """The same of the words of each row's class; spans: (class, from, to) of the rows."""
+        x = self._rows(len(rows), PER_CLASS)
+        for c, a, b in spans:
+            np.matmul(rows[a:b], self.words[c], out=x[a:b])
+        return self._bounded(x)
+
+    def _bounded(self, x: np.ndarray) -> np.ndarray:
+        return np.minimum(x, 60, out=x) if self.wide else x  # exp stays finite
+
+
+def _sorted_kinds(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order by class, the classes in that order)."""
+    kind = (target // PER_CLASS).astype(np.int16)
+    order = np.argsort(kind, kind="stable")
+    return order, kind[order]
+
+
+def _blocks(kind: np.ndarray) -> Iterator[tuple[slice, list[tuple[int, int, int]]]]:
+    """Blocks of ROWS rows of sorted classes, each with the (class, from, to) within it."""
+    edges = np.searchsorted(kind, np.arange(CLASSES + 1)).tolist()
+    for a in range(0, len(kind), ROWS):
+        b = min(a + ROWS, len(kind))
+        cut = [(c, max(edges[c] - a, 0), min(edges[c + 1], b) - a) for c in range(kind[a], kind[b - 1] + 1)]
+        yield slice(a, b), [x for x in cut if x[1] < x[2]]
 
 
 def _log_share(x: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     """The log softmax of each row at its chosen column."""
-    np.minimum(x, 60, out=x)  # exp stays finite
     at = x[np.arange(len(x)), chosen]
     return at - np.log(np.exp(x, out=x) @ np.ones(x.shape[1], x.dtype))
 
 
 def _misses(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(softmax of each row less one at its chosen column, the share that the chosen one has)."""
-    np.minimum(x, 60, out=x)
     np.exp(x, out=x)
     x *= (1 / (x @ np.ones(x.shape[1], x.dtype)))[:, None]
     at = (np.arange(len(x)), chosen)
@@ -120,108 +198,123 @@ def _misses(x: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, share
 
 
+def _scores(outputs: _Outputs, flat: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """The log probability of each target after its state."""
+    # by class, so that a class's words are one product
+    order, kind = _sorted_kinds(target)
+    flat, word, out = flat[order], target[order] % PER_CLASS, np.empty(len(flat), flat.dtype)
+    for own, spans in _blocks(kind):
+        score = _log_share(outputs.of_classes(flat[own]), kind[own])
+        score += _log_share(outputs.of_words(flat[own], spans), word[own])
+        out[order[own]] = score
+    return out
+
+
 def log_likelihood(p: Params, data: Lanes, n_docs: int) -> np.ndarray:
     """The natural log probability of each document; states carry over all windows of a lane."""
-    table, h = _table(p), np.zeros((data.target.shape[1], HIDDEN), np.float32)
-    out = np.zeros(n_docs)
+    space, h = _Space(), np.zeros((HIDDEN, data.target.shape[1]), p["wh"].dtype)
+    outputs, out, waiting = _Outputs(p, space), np.zeros(n_docs), []
     for t in range(0, len(data.target), WINDOW):
         piece = slice(t, t + WINDOW)
         live = np.flatnonzero(data.doc[t] >= 0)  # a lane that has ended stays ended
-        if len(live) < len(h):
+        if len(live) < h.shape[1]:
             data = Lanes(data.target[:, live], data.before[:, live], data.begins[:, live], data.doc[:, live])
-            h = h[live]
+            h = h[:, live]
+        if len(live):
+            states, _ = _forward(p, _inputs(p, data.before[piece], space)[1], data.begins[piece], h, False, space)
+            h, doc = states[-1].copy(), data.doc[piece].ravel()
+            real = np.flatnonzero(doc >= 0)
+            waiting.append((_by_place(states, real, space), data.target[piece].ravel()[real], doc[real]))
+        # windows of few lanes are scored together
+        if sum(len(x[2]) for x in waiting) >= TOGETHER or waiting and (not len(live) or piece.stop >= len(data.target)):
+            flat, target, doc = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            out += np.bincount(doc, _scores(outputs, flat, target), n_docs)
+            waiting = []
         if not len(live):
             break
-        states, h, _ = _forward(p, table[data.before[piece]], data.begins[piece], h, False)
-        doc, target = data.doc[piece].ravel(), data.target[piece].ravel()
-        real = np.flatnonzero(doc >= 0)
-        # by class, so that each class's words are one product
-        real = real[np.argsort(target[real] // PER_CLASS, kind="stable")]
-        flat, target, doc = states.reshape(-1, HIDDEN)[real], target[real], doc[real]
-        kind = target // PER_CLASS
-        score = _log_share(flat @ p["wc"] + p["bc"], kind)
-        edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            own = slice(edges[c], edges[c + 1])
-            if edges[c + 1] > edges[c]:
-                score[own] += _log_share(flat[own] @ p["ww"][c] + p["bw"][c], target[own] % PER_CLASS)
-        out += np.bincount(doc, score, n_docs)
     return out
 
 
-def gradients(p: Params, data: Lanes, h: np.ndarray) -> tuple[Params, np.ndarray, float, int]:
-    """(gradients of the mean loss of a window, last state, loss, symbols)."""
-    steps, width = data.target.shape
-    before = data.before.ravel()
-    said = p["emb"][before]
-    x = said @ p["wx"]
-    x += p["bx"]
-    states, last, held = _forward(p, x.reshape(steps, width, -1), data.begins, h, True)
-    kind_of, ones = x.dtype, np.ones(steps * width, x.dtype)
+def gradients(p: Params, data: Lanes, h: np.ndarray, space: _Space | None = None) -> tuple[Params, np.ndarray, float, int]:
+    """(gradients of the mean loss of a window, last state, loss, symbols); the gradients lie in space."""
+    (steps, width), k, space = data.target.shape, HIDDEN, space or _Space()
+    said, x = _inputs(p, data.before, space)
+    states, (zr, un, m) = _forward(p, x, data.begins, h.T, True, space)
+    dtype = x.dtype
+    array = lambda name, *shape: space.of(name, dtype, *shape)
     # the places that hold a symbol, by class, so that a class's words are one slice
     real = np.flatnonzero(data.doc.ravel() >= 0)
-    kind = data.target.ravel()[real] // PER_CLASS
-    order = np.argsort(kind, kind="stable")
-    real, kind = real[order], kind[order]
-    flat, word = states.reshape(-1, HIDDEN)[real], data.target.ravel()[real] % PER_CLASS
+    order, kind = _sorted_kinds(data.target.ravel()[real])
+    real = real[order]
+    flat, word = _by_place(states, real, space, array("flat", len(real), k + 1)), data.target.ravel()[real] % PER_CLASS
     n = max(1, len(real))
-    g = {k: np.zeros_like(v) for k, v in p.items()}
-    d, share = _misses(flat @ p["wc"] + p["bc"], kind)
-    loss = -np.log(share).sum()
-    g["wc"], g["bc"] = flat.T @ d, ones[: len(d)] @ d
-    dreal = d @ p["wc"].T
-    edges = np.searchsorted(kind, np.arange(CLASSES + 1))
-    shares = np.empty_like(share)
-    for c in np.flatnonzero(np.diff(edges)).tolist():
-        own = slice(edges[c], edges[c + 1])
-        mine, ww = flat[own], p["ww"][c]
-        x = mine @ ww
-        x += p["bw"][c]
-        d, shares[own] = _misses(x, word[own])
-        g["ww"][c], g["bw"][c] = mine.T @ d, ones[: len(d)] @ d
-        dreal[own] += d @ ww.T
-    loss -= np.log(shares).sum()
-    for k in ("wc", "bc", "ww", "bw"):
-        g[k] /= kind_of.type(n)
-    dreal /= kind_of.type(n)
-    dflat = np.zeros((steps * width, HIDDEN), kind_of)
+    outputs = _Outputs(p, space)
+    classes, words = np.zeros_like(outputs.classes), array("dwords", *outputs.words.shape)
+    words[:] = 0
+    dreal, shares = array("dreal", len(real), k), np.empty((2, len(real)), dtype)
+    for own, spans in _blocks(kind):
+        mine, dmine = flat[own], dreal[own]
+        d, shares[0, own] = _misses(outputs.of_classes(mine), kind[own])
+        classes += mine.T @ d
+        np.matmul(d, p["wc"].T, out=dmine)
+        d, shares[1, own] = _misses(outputs.of_words(mine, spans), word[own])
+        dw = array("dw", *dmine.shape)
+        for c, a, b in spans:
+            words[c] += mine[a:b].T @ d[a:b]
+            np.matmul(d[a:b], p["ww"][c].T, out=dw[a:b])
+        dmine += dw
+    loss = -np.log(shares).sum()
+    for x in (classes, words, dreal):
+        x /= dtype.type(n)
+    g = {"wc": classes[:k], "bc": classes[k], "ww": words[:, :k], "bw": words[:, k]}
+    dflat = array("dflat", steps * width, k)
+    dflat[:] = 0
     dflat[real] = dreal
-    dstates, dh, k = dflat.reshape(steps, width, HIDDEN), np.zeros((width, HIDDEN), kind_of), HIDDEN
-    h0, zr, un, m = held
-    z, r = zr[:, :, :k], zr[:, :, k:]
-    # what does not hang on the gradient that comes back is one product for all steps
-    rest = 1 - z
-    for_z = h0 - m
+    dstates, dh = array("dstates", steps, k, width), np.zeros((k, width), dtype)
+    dstates[:] = dflat.reshape(steps, width, k).transpose(0, 2, 1)
+    new, going = data.begins.any(axis=1).tolist(), ~data.begins
+    h0 = np.multiply(states[:-1], going[:, None], out=array("h0", steps, k, width)) if any(new) else states[:-1]
+    z, r = zr[:, :k], zr[:, k:]
+    # what does not hang on the gradient that comes back is one product for all steps: the parts of it that the gates and
+    # the candidate take
+    takes = array("takes", steps, 3, k, width)
+    for_z, for_r, for_un = (takes[:, i] for i in range(3))
+    rest = np.subtract(1, z, out=array("rest", steps, k, width))
+    np.subtract(h0, m, out=for_z)
     for_z *= z
     for_z *= rest
-    for_m = 1 - m * m
+    for_m = np.multiply(m, m, out=m)
+    np.subtract(1, for_m, out=for_m)
     for_m *= rest
-    for_r = 1 - r
-    for_r *= r
+    np.multiply(for_m, r, out=for_un)
+    np.subtract(1, r, out=for_r)
+    for_r *= for_un
     for_r *= un
-    du, dm = np.empty((steps, width, 3 * k), kind_of), np.empty((steps, width, k), kind_of)
-    wh, new = np.ascontiguousarray(p["wh"].T), data.begins.any(axis=1).tolist()
+    du, back = array("du", steps, 3 * k, width), array("back", k, width)
     for t in range(steps - 1, -1, -1):
-        dh = dh + dstates[t]
-        step, candidate = du[t], dm[t]
-        np.multiply(dh, for_z[t], out=step[:, :k])
-        np.multiply(dh, for_m[t], out=candidate)
-        np.multiply(candidate, for_r[t], out=step[:, k : 2 * k])
-        np.multiply(candidate, r[t], out=step[:, 2 * k :])
-        dh *= z[t]
-        dh += step @ wh
+        own, step = dstates[t], du[t]
+        own += dh
+        np.multiply(takes[t], own, out=step.reshape(3, k, width))
+        np.matmul(p["wh"], step, out=back)
+        np.multiply(own, z[t], out=dh)
+        dh += back
         if new[t]:
-            dh *= ~data.begins[t][:, None]
-    g["wh"] = h0.reshape(-1, k).T @ du.reshape(-1, 3 * k)
-    g["bn"] = (ones @ du.reshape(-1, 3 * k))[2 * k :]
-    du[:, :, 2 * k :] = dm
-    dx = du.reshape(-1, 3 * k)
-    g["wx"], g["bx"] = said.T @ dx, ones @ dx
+            dh *= going[t]
+    g["wh"] = np.matmul(h0, du.transpose(0, 2, 1)).sum(axis=0)
+    g["bn"] = (du[:, 2 * k :] @ np.ones(width, dtype)).sum(axis=0)
+    np.multiply(dstates, for_m, out=du[:, 2 * k :])  # the candidate takes its input whole
+    by_lane = du.transpose(0, 2, 1)
+    wx = np.matmul(said.transpose(0, 2, 1), by_lane).sum(axis=0)
+    g["wx"], g["bx"] = wx[:-1], wx[-1]
     # the symbols of the window, each with the sum over its places
-    order = np.argsort(before, kind="stable")
+    before = data.before.ravel()
+    order = np.argsort(before.astype(np.int16), kind="stable")
     edges = np.flatnonzero(np.concatenate([[True], np.diff(before[order]) != 0]))
-    g["emb"][before[order[edges]]] = np.add.reduceat((dx @ p["wx"].T)[order], edges, axis=0)
-    return g, last, float(loss), n
+    dsaid = np.matmul(by_lane, p["wx"].T, out=array("dsaid", steps, width, EMBED)).reshape(-1, EMBED)
+    g["emb"] = array("demb", SIZE, EMBED)
+    g["emb"][:] = 0
+    g["emb"][before[order[edges]]] = np.add.reduceat(np.take(dsaid, order, axis=0, out=array("sorted", *dsaid.shape), mode="clip"), edges, axis=0)
+    return g, states[-1].T.copy(), float(loss), n
 
 
 def train(p: Params, data: Lanes, rate: float = 0.01, clip: float = 1.0, block: int = 1 << 13) -> Params:
@@ -232,32 +325,32 @@ def train(p: Params, data: Lanes, rate: float = 0.01, clip: float = 1.0, block:
     p = {k: flat[a:b].reshape(x.shape) for (k, x), a, b in zip(p.items(), edges, edges[1:], strict=False)}
     # output biases begin at the frequencies and move slowly
     rates = np.concatenate([np.full(x.size, rate * (0.1 if k in ("bc", "bw") else 1.0), flat.dtype) for k, x in p.items()])
+    # ten times the mean and a hundred times the mean square
     m, v, x = np.zeros_like(flat), np.zeros_like(flat), np.empty_like(flat)
-    h = np.zeros((data.target.shape[1], HIDDEN), np.float32)
+    h, space = np.zeros((data.target.shape[1], HIDDEN), np.float32), _Space()
     for i, t in enumerate(range(0, len(data.target), WINDOW), 1):
         piece = slice(t, t + WINDOW)
-        g, h, _, _ = gradients(p, Lanes(data.target[piece], data.before[piece], data.begins[piece], data.doc[piece]), h)
+        g, h, _, _ = gradients(p, Lanes(data.target[piece], data.before[piece], data.begins[piece], data.doc[piece]), h, space)
         np.concatenate([g[k].ravel() for k in p], out=x)
         scale = np.float32(min(1.0, clip / max(float(np.sqrt(x @ x)), 1e-9)))
-        root, mean = np.float32((1 - 0.99**i) ** -0.5), np.float32(1 / (1 - 0.9**i))
+        root = 0.1 * (1 - 0.99**i) ** -0.5
+        least, mean = np.float32(1e-6 / root), np.float32(0.1 / (1 - 0.9**i) / root)
         # in blocks that stay in a core's cache
         for a in range(0, len(flat), block):
             own = slice(a, a + block)
             y, mm, vv = x[own], m[own], v[own]
             y *= scale
             mm *= np.float32(0.9)
-            mm += np.float32(0.1) * y
+            mm += y
             y *= y
             vv *= np.float32(0.99)
-            y *= np.float32(0.01)
             vv += y
             np.sqrt(vv, out=y)
-            y *= root
-            y += np.float32(1e-6)
-            step = rates[own] * mm
-            step *= mean
-            step /= y
-            flat[own] -= step
+            y += least
+            np.divide(mm, y, out=y)
+            y *= mean
+            y *= rates[own]
+            flat[own] -= y
     return {k: x.copy() for k, x in p.items()}
 
 

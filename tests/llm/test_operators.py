@@ -591,6 +591,49 @@ def test_state_is_carried_over_windows():
     assert abs(lost[:10].sum() - one[0]) > 0.1
 
 
+def test_windows_take_the_memory_of_those_before(monkeypatch):
+    import tracemalloc
+
+    from millrace.llm import gru
+
+    r, taken, plain = np.random.default_rng(4), [], gru.gradients
+
+    def measured(*given):
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        out = plain(*given)
+        taken.append(tracemalloc.get_traced_memory()[1] - before)
+        return out
+
+    monkeypatch.setattr(gru, "gradients", measured)
+    ids = r.integers(0, gru.SIZE, 96 * 200).astype(np.int32)
+    tracemalloc.start()
+    try:
+        gru.train(gru.initial(np.ones(gru.SIZE)), gru.lanes(ids, np.arange(97) * 200, gru.SIZE - 1, 96))
+    finally:
+        tracemalloc.stop()
+    assert len(taken) == 7 and max(taken[1:]) < 1_500_000  # one window's states, gates and gradients are over 5 MB
+
+
+def test_blocks_of_rows_change_no_result(monkeypatch):
+    from millrace.llm import gru
+
+    r = np.random.default_rng(5)
+    ids = (gru.SIZE * r.random(900) ** 3).astype(np.int32)
+    data = gru.lanes(ids, np.array([0, 1, 40, 41, 300, 870, 900]), gru.SIZE - 1, 3)
+    p = {k: v.astype(np.float64) for k, v in gru.initial(np.bincount(ids, minlength=gru.SIZE)).items()}
+    window = gru.Lanes(*(getattr(data, k)[20:52] for k in ("target", "before", "begins", "doc")))
+    want, score = gru.gradients(p, window, np.full((3, gru.HIDDEN), 0.1)), gru.log_likelihood(p, data, 6)
+    monkeypatch.setattr(gru, "ROWS", 7)
+    monkeypatch.setattr(gru, "TOGETHER", 50)
+    got = gru.gradients(p, window, np.full((3, gru.HIDDEN), 0.1))
+    assert all(got[0][k] == pytest.approx(want[0][k], rel=1e-9, abs=1e-14) for k in p)
+    assert got[1] == pytest.approx(want[1]) and got[2] == pytest.approx(want[2]) and gru.log_likelihood(p, data, 6) == pytest.approx(score, rel=1e-9)
+    # weights of which an output could be over 60
+    p["bw"] = p["bw"] + 80
+    assert np.isfinite(gru.log_likelihood({k: v.astype(np.float32) for k, v in p.items()}, data, 6)).all()
+
+
 # ---- empty tables
 
 
