@@ -47,14 +47,14 @@ def scratch() -> Iterator[list[DataFrame]]:
         release(*held)
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, **options) -> DataFrame:
     """Write df as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-    The table stays until `release` or the `scratch` around it deletes it.
+    The table stays until `release` or the `scratch` around it deletes it.  options: more of the writer's.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
     if _SCRATCH:

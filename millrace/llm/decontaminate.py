@@ -1,13 +1,15 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index has a row per block of documents: its terms (64-bit hashes, sorted), and for each term how often and at
-which ascending positions it stands in the block.  The benchmark is a table of phrases.  Corpus counts of its terms
+The index counts positions over blocks of documents.  It has a row per term (a 64-bit hash) and block, how often and
+at which ascending positions the term stands there, and a row per document, its place in the block and its words; so
+no row grows with the block or the table.  The benchmark is a table of phrases.  Corpus counts of its terms
 tell each phrase's rarest term; a phrase is a candidate in the blocks that hold that term, and one with a term that
-the corpus lacks is none.  In a block the rarest term's positions, less its offset in the phrase, are where the
+the corpus lacks is none.  A block's candidates meet the postings of the benchmark's terms, no others.  There the
+rarest term's positions, less its offset in the phrase, are where the
 phrase may begin, and each further term, rarest first, keeps those at which its own positions less its offset agree
 (exact phrases) or come within `slop` (proximity).  Nothing is collected: phrases, postings and hits meet in joins.
 
-Words are known by 64-bit hashes alone.  A task holds one block and its candidate phrases.  Edge cases: null and
+Words are known by 64-bit hashes alone.  A task holds one block's postings of the benchmark's terms and its candidate phrases.  Edge cases: null and
 empty texts have no words and are never hit; items without words have no phrase; repeated rows and items count each
 for itself (an item id once); long texts get a block of their own; a null item id is reported as an empty string;
 doc_id keeps its type; extra columns are ignored; empty tables give empty results or no hits.
@@ -26,17 +28,23 @@ from pyspark.sql import functions as F
 from .common import release, stored, string_bytes, table, words_of
 
 BLOCK_BYTES = 2_000_000
+#: A task that writes or reads the index holds a row group.
+ROW_GROUP = {"parquet.block.size": 32 << 20}
 
 
 def build_index(docs: DataFrame) -> DataFrame:
-    """The positional index of the words of all documents, a row per block of about BLOCK_BYTES of text.
+    """The positional index of the words of all documents, over blocks of about BLOCK_BYTES of text.
 
-    Position p of the block is word p - d of document d of the block, counted over the block: a gap parts documents.
+    A row has either term, n (times in the block) and postings, or place (in the block), doc_id and n_words.  Position p
+    of the block is word p - d of document d of the block, counted over the block: a gap parts documents.
     """
-    names = ["block", "doc_ids", "n_words", "terms", "counts", "postings"]
+    names = ["block", "term", "n", "postings", "place", "doc_id", "n_words"]
+
+    def rows(block: int, size: int, *columns: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(size, block)), *columns], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = TaskContext.get().partitionId() << 32
+        block = TaskContext.get().partitionId() << 32
         for batch in batches:
             _, offsets = string_bytes(batch.column(1))
             at = 0
@@ -44,18 +52,27 @@ def build_index(docs: DataFrame) -> DataFrame:
                 to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + BLOCK_BYTES, side="right")) - 1)
                 ids, texts = batch.column(0).slice(at, to - at), batch.column(1).slice(at, to - at)
                 terms, doc, *_ = words_of(texts, lower=True, alnum=True)
-                position = np.arange(len(terms)) + doc
+                no = lambda kind, size=to - at: pa.nulls(size, kind)
+                yield rows(block, to - at, no(pa.int64()), no(pa.int32()), no(pa.binary()), pa.array(np.arange(to - at, dtype=np.int32)), ids, pa.array(np.bincount(doc, minlength=to - at).astype(np.int64)))
                 order = np.argsort(terms, kind="stable")
-                found, counts = np.unique(terms, return_counts=True)
-                posted = position[order].astype(np.uint32)
+                posted, terms = (np.arange(len(terms)) + doc)[order].astype(np.uint32), terms[order]
+                begin = np.flatnonzero(np.diff(terms, prepend=~terms[:1]))
+                edges = np.append(begin, len(terms)).astype(np.int32)
                 # differences within a term compress better
-                posted[1:] -= posted[:-1].copy()
-                lists = [ids, pa.array(np.bincount(doc, minlength=to - at).astype(np.int64)), pa.array(found.view(np.int64)), pa.array(counts.astype(np.int32))]
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.ListArray.from_arrays([0, len(x)], x) for x in lists), pa.array([posted.tobytes()], pa.binary())], names)
-                at, n = to, n + 1
+                steps = np.diff(posted, prepend=posted[:1])
+                steps[begin] = posted[begin]
+                n = len(begin)
+                postings = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(4 * edges), pa.py_buffer(steps)])
+                yield rows(block, n, pa.array(terms[begin].view(np.int64)), pa.array(np.diff(edges)), postings, pa.nulls(n, pa.int32()), pa.nulls(n, ids.type), pa.nulls(n, pa.int64()))
+                at, block = to, block + 1
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"block long, doc_ids array<{kind}>, n_words array<long>, terms array<long>, counts array<int>, postings binary")
+    return docs.select("doc_id", F.col("text").cast("string")).mapInArrow(run, f"block long, term long, n int, postings binary, place int, doc_id {kind}, n_words long")
+
+
+def places(index: DataFrame) -> DataFrame:
+    """(block, place, doc_id, n_words) of all documents of an index."""
+    return index.where("place is not null").select("block", "place", "doc_id", "n_words")
 
 
 def item_phrases(benchmark: DataFrame, window: int) -> DataFrame:
@@ -78,11 +95,10 @@ def item_phrases(benchmark: DataFrame, window: int) -> DataFrame:
     return items.mapInArrow(run, "item string, phrase array<long>").distinct()
 
 
-def candidates(index: DataFrame, phrases: DataFrame) -> DataFrame:
+def candidates(index: DataFrame, phrases: DataFrame, terms: DataFrame) -> DataFrame:
     """(block, phrase): distinct phrases all of whose terms the corpus has, in the blocks that hold their rarest term."""
-    terms = stored(phrases.select(F.explode("phrase").alias("term")).distinct(), "phrase-terms")
     # stored, so that a join has plain shuffles on both sides and the rows of a frequent term can be split
-    met = stored(index.select("block", F.inline(F.arrays_zip("terms", "counts")).alias("term", "n")).join(terms, "term"), "met-terms")
+    met = stored(index.select("block", "term", "n").join(terms, "term"), "met-terms")
     counts = stored(met.groupBy("term").agg(F.sum("n").alias("n")), "term-counts")
     spread = phrases.select("phrase", F.explode(F.array_distinct("phrase")).alias("term")).join(counts, "term")
     rarest = spread.groupBy("phrase").agg(F.count("*").alias("known"), F.min(F.struct("n", "term")).alias("least")).where(F.col("known") == F.size(F.array_distinct("phrase")))
@@ -95,77 +111,80 @@ def _agree(starts: np.ndarray, positions: np.ndarray, slop: int) -> np.ndarray:
     return starts[(at < len(positions)) & (positions[np.minimum(at, len(positions) - 1)] <= starts + slop)]
 
 
-def search_index(index: DataFrame, asked: DataFrame, slop: int = 0) -> DataFrame:
+def search_index(index: DataFrame, asked: DataFrame, terms: DataFrame, slop: int = 0) -> DataFrame:
     """Per document with a hit: block, place, spans (start, stop of words hit, merged), phrases; asked: (block, phrase).
 
-    With slop 0 spans are exact occurrences; otherwise each term stands within slop of its place in the phrase.
+    With slop 0 spans are exact occurrences; otherwise each term stands within slop of its place in the phrase.  terms
+    has every term of the phrases asked for.
     """
     span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    kinds = (pa.int64(), pa.int32(), span, pa.list_(pa.list_(pa.int64())))
 
     def run(part: pa.Table, wanted: pa.Table) -> pa.Table:
         out: dict[str, list] = {"block": [], "place": [], "spans": [], "phrases": []}
         phrases = wanted["phrase"].combine_chunks()
-        size, flat = phrases.value_lengths().to_numpy(), phrases.flatten().to_numpy().view(np.uint64)
+        size, flat = phrases.value_lengths().to_numpy(), phrases.flatten().to_numpy()
         where = np.cumsum(size) - size
-        for i in range(part.num_rows):
-            values = lambda c: part[c][i].values.to_numpy()  # noqa: B023, E731
-            own, n_words = values("terms").view(np.uint64), values("n_words")
-            ends = np.cumsum(values("counts").astype(np.int64))
-            posted = np.cumsum(np.frombuffer(part["postings"][i].as_buffer(), np.uint32), dtype=np.uint32).astype(np.int64)
-            if not len(own) or not len(flat):
-                continue
-            first = np.cumsum(n_words + 1) - n_words - 1
-            term = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-            whole = np.logical_and.reduceat(own[term] == flat, where)
-            begin = ends - np.diff(ends, prepend=0)
-            cover, hits = np.zeros(int(first[-1] + n_words[-1]) + 2, np.int64), {}
-            for k in np.flatnonzero(whole).tolist():
-                length, phrase = size[k], term[where[k] : where[k] + size[k]]
-                rarest = np.argsort((ends - begin)[phrase], kind="stable")
-                lists = ((posted[begin[phrase[o]] : ends[phrase[o]]] - o) for o in rarest)  # noqa: B023
-                starts = next(lists)
-                for other in lists:
-                    starts = _agree(starts, other, slop)
-                    if not len(starts):
-                        break
-                docs = np.searchsorted(first, starts, side="right") - 1
-                inside = (docs >= 0) & (starts >= first[docs]) & (starts + length <= first[docs] + n_words[docs])
-                np.add.at(cover, starts[inside], 1)
-                np.add.at(cover, starts[inside] + length, -1)
-                for d in set(docs[inside].tolist()):
-                    hits.setdefault(d, []).append(k)
-            turns = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover) > 0]).astype(np.int8)))
-            spans: dict[int, list] = {d: [] for d in hits}
-            for d, s, e in zip((np.searchsorted(first, turns[0::2], side="right") - 1).tolist(), turns[0::2].tolist(), turns[1::2].tolist(), strict=True):
-                spans[d].append({"start": s - int(first[d]), "stop": e - int(first[d])})
-            for d in sorted(hits):
-                for c, x in zip(out, (part["block"][i].as_py(), d, spans[d], [phrases[k].as_py() for k in hits[d]]), strict=True):
-                    out[c].append(x)
-        kinds = (pa.int64(), pa.int32(), span, pa.list_(pa.list_(pa.int64())))
+        held, docs = (part.filter(part[c].is_valid()).sort_by(c) for c in ("term", "place"))
+        own, n_words = held["term"].to_numpy(), docs["n_words"].to_numpy()
+        if not len(own) or not len(flat):
+            return pa.table([pa.array([], k) for k in kinds], names=list(out))
+        ends = np.cumsum(held["n"].to_numpy().astype(np.int64))
+        begin = ends - np.diff(ends, prepend=0)
+        posted = np.cumsum(string_bytes(held["postings"])[0].view(np.uint32), dtype=np.int64)
+        posted -= np.repeat(np.append(0, posted[ends[:-1] - 1]), ends - begin)
+        first = np.cumsum(n_words + 1) - n_words - 1
+        term = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+        whole = np.logical_and.reduceat(own[term] == flat, where)
+        cover, hits = np.zeros(int(first[-1] + n_words[-1]) + 2, np.int64), {}
+        for k in np.flatnonzero(whole).tolist():
+            length, phrase = size[k], term[where[k] : where[k] + size[k]]
+            rarest = np.argsort((ends - begin)[phrase], kind="stable")
+            lists = ((posted[begin[phrase[o]] : ends[phrase[o]]] - o) for o in rarest)  # noqa: B023
+            starts = next(lists)
+            for other in lists:
+                starts = _agree(starts, other, slop)
+                if not len(starts):
+                    break
+            at = np.searchsorted(first, starts, side="right") - 1
+            inside = (at >= 0) & (starts >= first[at]) & (starts + length <= first[at] + n_words[at])
+            np.add.at(cover, starts[inside], 1)
+            np.add.at(cover, starts[inside] + length, -1)
+            for d in set(at[inside].tolist()):
+                hits.setdefault(d, []).append(k)
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], np.cumsum(cover) > 0]).astype(np.int8)))
+        spans: dict[int, list] = {d: [] for d in hits}
+        for d, s, e in zip((np.searchsorted(first, turns[0::2], side="right") - 1).tolist(), turns[0::2].tolist(), turns[1::2].tolist(), strict=True):
+            spans[d].append({"start": s - int(first[d]), "stop": e - int(first[d])})
+        for d in sorted(hits):
+            for c, x in zip(out, (part["block"][0].as_py(), d, spans[d], [phrases[k].as_py() for k in hits[d]]), strict=True):
+                out[c].append(x)
         return pa.table([pa.array(x, k) for x, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     named = asked.select(F.col("block").alias("of"), "phrase")
-    held = index.join(asked.select("block").distinct(), "block", "left_semi").select("block", "n_words", "terms", "counts", "postings")
+    both = index.join(terms, "term").select("block", "term", "n", "postings").unionByName(places(index).select("block", "place", "n_words"), allowMissingColumns=True)
+    # stored, so that its size is known: the join is moved below the other one, where the whole index would be shuffled
+    held = both.join(stored(asked.select("block").distinct(), "blocks"), "block", "left_semi")
     return held.groupBy("block").cogroup(named.groupBy("of")).applyInArrow(run, "block long, place int, spans array<struct<start:int,stop:int>>, phrases array<array<long>>")
 
 
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
     """Per document: doc_id, n_words, n_hit (words inside occurrences), items (sorted), spans."""
-    return find_in_index(stored(build_index(docs), "positions"), benchmark, window, slop)
+    return find_in_index(stored(build_index(docs), "positions", **ROW_GROUP), benchmark, window, slop)
 
 
 def find_in_index(index: DataFrame, benchmark: DataFrame, window: int = 13, slop: int = 0) -> DataFrame:
     """As find_benchmark, over an index that is stored already."""
     by_item = stored(item_phrases(benchmark, window), "phrases")
-    asked = stored(candidates(index, by_item.select("phrase").distinct()), "candidates")
-    hits = stored(search_index(index, asked, slop), "hits")
+    terms = stored(by_item.select(F.explode("phrase").alias("term")).distinct(), "phrase-terms")
+    asked = stored(candidates(index, by_item.select("phrase").distinct(), terms), "candidates")
+    hits = stored(search_index(index, asked, terms, slop), "hits")
     named = hits.select("block", "place", F.explode("phrases").alias("phrase")).join(by_item, "phrase")
     items = named.groupBy("block", "place").agg(F.array_sort(F.collect_set("item")).alias("items"))
     found = stored(hits.select("block", "place", "spans").join(items, ["block", "place"]), "found")
-    rows = index.select("block", F.posexplode(F.arrays_zip("doc_ids", "n_words")).alias("place", "d")).select("block", "place", F.col("d.doc_ids").alias("doc_id"), F.col("d.n_words").alias("n_words"))
     n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["stop"] - s["start"]), F.lit(0).cast("long"))
     none = F.array().cast("array<struct<start:int,stop:int>>")
-    return rows.join(found, ["block", "place"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"))
+    return places(index).join(found, ["block", "place"], "left").select("doc_id", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", none).alias("spans"))
 
 
 def contaminated():
@@ -176,7 +195,7 @@ def contaminated():
 def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that are not contaminated; texts are judged once for all rows that hold them."""
     key = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    index = stored(build_index(docs.select(key.alias("doc_id"), "text")), "positions")
+    index = stored(build_index(docs.select(key.alias("doc_id"), "text")), "positions", **ROW_GROUP)
     found = find_in_index(index, benchmark)
     leave = stored(found.where(contaminated()).select(F.col("doc_id").alias("__key")).distinct(), "contaminated")
     release(index)

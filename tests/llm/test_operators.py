@@ -470,6 +470,13 @@ def test_decontamination(docs, spark):
     assert decontaminate.uncontaminated(docs, bench).count() == sum(not (h and 20 * h >= n) for _, n, h, _ in want)
 
 
+def test_index_rows_hold_one_term(spark):
+    text = " ".join(f"the w{i % 5000}" for i in range(50_000))
+    index = decontaminate.build_index(spark.createDataFrame([(1, text), (2, "the end"), (3, None)], "doc_id long, text string").coalesce(1))
+    assert {r.n for r in index.select((F.length("postings") / 4).alias("n")).where("n is not null").collect()} == {50_001, 10, 1}
+    assert index.where("place is not null").select("doc_id", "n_words").collect() == [(1, 100_000), (2, 2), (3, 0)]
+
+
 def test_proximity_allows_slop(spark):
     docs = spark.createDataFrame([(1, "alpha beta x gamma delta"), (2, "alpha beta gamma delta"), (3, "alpha delta")], "doc_id long, text string")
     bench = spark.createDataFrame([("q", "alpha beta gamma delta")], "item_id string, text string")
