@@ -1,13 +1,13 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
 The index counts positions over blocks of documents.  It has a row per term (a 64-bit hash) and block, how often and
-at which ascending positions the term stands there, and a row per document, its place in the block and its words; so
-no row grows with the block or the table.  The benchmark is a table of phrases.  Corpus counts of its terms
-tell each phrase's rarest term; a phrase is a candidate in the blocks that hold that term, and one with a term that
-the corpus lacks is none.  A block's candidates meet the postings of the benchmark's terms, no others.  There the
-rarest term's positions, less its offset in the phrase, are where the
-phrase may begin, and each further term, rarest first, keeps those at which its own positions less its offset agree
-(exact phrases) or come within `slop` (proximity).  Nothing is collected: phrases, postings and hits meet in joins.
+at which ascending positions the term stands there, and a row per document, its place in the block and its words; no
+row holds more than one term of one block.  The benchmark is a table of phrases.  Corpus counts of its terms tell each
+phrase's rarest term; a phrase is a candidate in the blocks that hold that term, and one with a term that the corpus
+lacks is none.  A block's candidates meet the postings of the benchmark's terms, no others.  There the rarest term's
+positions, less its offset in the phrase, are where the phrase may begin, and each further term, rarest first, keeps
+those at which its own positions less its offset agree (exact phrases) or come within `slop` (proximity).  Nothing is
+collected: phrases, postings and hits meet in joins.
 
 Words are known by 64-bit hashes alone.  A task holds one block's postings of the benchmark's terms and its candidate phrases.  Edge cases: null and
 empty texts have no words and are never hit; items without words have no phrase; repeated rows and items count each
